@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.llm import ann, fingerprint, license_scan, mixing, packing, repair, url_rules
+from searchlake.llm import ann, fingerprint, jaccard, license_scan, mixing, packing, repair, url_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
@@ -41,5 +45,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_repair_tokens, op5_pfair_mix, op6_url_rules, op7_collision_counting, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_repair_tokens, op4_ngram_join, op5_pfair_mix, op6_url_rules, op7_collision_counting, op8_packing)}
 SQL: dict[str, str] = {"op5_pfair_mix": mixing.oracle(), "op6_url_rules": url_rules.oracle()}
