@@ -1,9 +1,66 @@
-"""Corpus pipeline (being assembled)."""
+"""Corpus pipeline: language ID, quality, near-duplicate removal, source mixing, packing.
 
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
+last return the columns of documents. :func:`run` writes what a stage returns as Parquet in the shared
+folder and reads it back as the next stage's input.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from searchlake.llm import jaccard, language, mixing, packing, quality
+from searchlake.llm.common import Scratch
+
+#: Below this confidence a language prediction is a rejection, as is ``und``.
+SURE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    judged = language.predict(docs, language.fit(docs), carry=True)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as low quality go."""
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, net, carry=True).where("predicted = 1").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component stays; of rows with that id, one."""
+    kept = jaccard.join_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept.distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the Pfair schedule."""
+    return mixing.mix(docs, carry=True).orderBy("position").select("row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("quality classifier", quality_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The stages train models and pack ids, which SQL can't express; tests compare them with plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences of the whole corpus."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs

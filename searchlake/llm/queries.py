@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.llm import ann, fingerprint, jaccard, license_scan, mixing, packing, repair, url_rules
+from searchlake.llm import ann, fingerprint, jaccard, language, license_scan, mixing, packing, quality, repair, url_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,5 +45,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_repair_tokens, op4_ngram_join, op5_pfair_mix, op6_url_rules, op7_collision_counting, op8_packing)}
+def op9_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return language.predict(docs, language.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_repair_tokens, op4_ngram_join, op5_pfair_mix, op6_url_rules, op7_collision_counting, op8_packing, op9_byte_quality, op10_kernel_language)}
 SQL: dict[str, str] = {"op5_pfair_mix": mixing.oracle(), "op6_url_rules": url_rules.oracle()}
