@@ -33,7 +33,7 @@ def query(*ids: str, sql: str | None = None, name: str | None = None) -> Callabl
 def _import_plans() -> None:
     import searchlake.plans as plans
 
-    for found in pkgutil.iter_modules(plans.__path__):
+    for found in sorted(pkgutil.iter_modules(plans.__path__), key=lambda m: m.name):
         importlib.import_module(f"searchlake.plans.{found.name}")
 
 
