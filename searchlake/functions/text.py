@@ -72,11 +72,14 @@ def sql_main_text(html: str, cap: int = 6500) -> str:
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of the ASCII characters among the first 2000; null without any."""
     chars = F.regexp_replace(F.left(text, F.lit(2000)), r"[^\x00-\x7F]", "")
-    total = F.length(chars).cast("double")
-    # counted one distinct character at a time, without leaving the row
-    distinct = F.array_sort(F.array_distinct(F.filter(F.split(chars, ""), lambda c: c != "")))
-    count = lambda c: (F.length(chars) - F.length(F.replace(chars, c, F.lit("")))).cast("double")
-    return F.when(total > 0, -F.aggregate(distinct, F.lit(0.0), lambda a, c: a + (count(c) / total) * F.log2(count(c) / total)))
+
+    def of(held: Column) -> Column:  # the lambda's variable is computed once, a plain column would be for every character
+        total = F.length(held).cast("double")
+        distinct = F.array_sort(F.array_distinct(F.filter(F.split(held, ""), lambda c: c != "")))
+        shares = F.transform(distinct, lambda c: (F.length(held) - F.length(F.replace(held, c, F.lit("")))) / total)
+        return F.when(total > 0, -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
+
+    return F.get(F.transform(F.array(chars), of), 0)
 
 
 def sql_entropy(text: str) -> str:
