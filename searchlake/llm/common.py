@@ -49,6 +49,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel to Python in Arrow batches of at most ``rows`` rows, so memory stays small on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,6 +100,19 @@ def order_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted({int(row["low"]), *(int(x) for x in (row["cuts"] or []))})
 
 
+def range_column(bounds: list[int], key: str, step: int = 64):
+    """The index of :func:`range_id` as a column: a coarse search, then one among ``step`` bounds."""
+    if not bounds:
+        return F.lit(0)
+    value = F.col(key)
+    if len(bounds) <= step:
+        place = F.size(F.filter(F.lit(bounds), lambda b: b <= value))
+    else:
+        coarse = F.greatest(F.size(F.filter(F.lit(bounds[::step]), lambda b: b <= value)) - 1, F.lit(0)) * step
+        place = coarse + F.size(F.filter(F.slice(F.lit(bounds), coarse + 1, F.lit(step)), lambda b: b <= value))
+    return F.coalesce(F.greatest(place - 1, F.lit(0)), F.lit(0))
+
+
 def range_id(bounds: list[int], keys: np.ndarray) -> np.ndarray:
     """Index of the range that holds each key (keys below the first bound: 0)."""
     return np.maximum(np.searchsorted(np.asarray(bounds, dtype=np.int64), keys, side="right") - 1, 0)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import order_bounds, partitions, range_id, slices
+from searchlake.llm.common import order_bounds, partitions, range_id, slices, small_batches
 
 #: Shares of the lexicon that the randomised subsets keep: four subsets for each.
 SHARES = tuple(x for x in (1 / 2, 1 / 8, 1 / 32, 1 / 96, 1 / 256, 1 / 512) for _ in range(4))
@@ -150,6 +150,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Texts are dealt out by ranges of the id; the first document of a range also goes, as an onlooker,
     to the range before it, and the very first one to the last range. Each range is so complete.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = lexicon(slim, "text", slots)

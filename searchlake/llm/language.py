@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import fold_column, fold_of, slices
+from searchlake.llm.common import fold_column, fold_of, slices, small_batches
 
 BUCKETS = 1 << 13
 ORDERS = 4
@@ -83,6 +83,7 @@ def solve(sets: np.ndarray, targets: np.ndarray, languages: list[str], landmarks
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 400) -> Kernel | None:
     """A model from at most ``most_rows`` documents of each language, held-out fold excluded."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold_column("doc_id") != 2))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, model: Kernel | None, id_col: str = "doc_id", text_
                 columns = [part.column(0), pa.array(held), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *part.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *part.schema.names[2:]])
 
+    small_batches(docs.sparkSession)
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
     extra = f", row {slim.schema['row'].dataType.simpleString()}" if carry else ""

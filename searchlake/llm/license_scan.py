@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import slices
+from searchlake.llm.common import slices, small_batches
 
 # fixed values: the phrases of the base count and their labels
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -188,5 +188,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 columns = [part.column(0)] + [pa.array([r[f.name] for r in rows], f.type) for f in list(_ARROW)[1:]]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, f"doc_id long, {SCHEMA}")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import Scratch, slices
+from searchlake.llm.common import Scratch, slices, small_batches
 from searchlake.llm.tokens import encoder, vocabulary_path
 
 GROUP = 64
@@ -108,6 +108,7 @@ def _merger(size: int, lowest: int, last: bool):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, windows: int = 16, end_id: int = 2, vocabulary: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length, ids."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     path = vocabulary or vocabulary_path()

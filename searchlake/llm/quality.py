@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import fold_column, fold_of, slices
+from searchlake.llm.common import fold_column, fold_of, slices, small_batches
 
 CHUNK, WIDTH, STRIDE, SIZE, FILTERS, HIDDEN = 256, 8, 2, 6, 40, 16
 LIMIT = 0.7
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     fills += fill[take].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(chunks, pa.binary()), pa.array(fills, pa.float32())], names=["doc_id", "chunk", "fill"])
 
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isin(ids))
     got = wanted.mapInArrow(cut, "doc_id long, chunk binary, fill float").orderBy("doc_id", "chunk").collect()  # rows of 264 bytes, bounded as above
     if not got:
@@ -185,6 +186,7 @@ def score_documents(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id"
                 names = [*schema.names, *part.schema.names[2:]]
                 yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=names)
 
+    small_batches(docs.sparkSession)
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
     extra = f", row {slim.schema['row'].dataType.simpleString()}" if carry else ""
