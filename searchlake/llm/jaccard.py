@@ -5,10 +5,11 @@ runs over classes. If two sets are similar enough they share a shingle among the
 ``n - ceil(t n) + 1`` of each under *any* global order. Three orders are used, all of them by rarity first
 (levels of how often a shingle was seen; a table of fixed size) and by a different permutation within a level. Pairs that meet
 under the first order, with sizes and positions that leave enough overlap possible, must also meet under the
-second and third; only what passes all three is verified on the whole sets.
+second and third; only what passes all three, and a bound from bit signatures of the sets, is verified on the whole sets.
 
-No group's pairs are all written out. First each row of a shingle's group is compared with the group's
-smallest set and with its neighbour in size. What is similar is merged into components. Only groups that
+No group's pairs are all written out. First every set is compared with two of those that it meets: in each of its
+shingles' groups a pivot of like size and a neighbour are at hand, and of all these the one met most often and the one that
+holds a shared shingle earliest are taken. What is similar is merged into components. Only groups that
 still hold several components go on: the rows outside the group's main component are compared with the rows of other
 components. Every pair that could be similar is so either verified or already connected.
 
@@ -21,6 +22,7 @@ null, and get the component of their text. Rows with equal ids are separate docu
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import Scratch, slices
+from searchlake.llm.common import Scratch, slices, small_batches
 
 WIDTH, PERCENT = 5, 80
 SLOTS, BLOCK = 1 << 22, 1 << 14
@@ -73,10 +75,23 @@ def as_long(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("h", pa.int64()), ("seen", pa.int32())])
+SIGNATURE = 16  # 64-bit words
 
 
-def _describe(width: int, most: int = 4_000_000):
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements that fall to each of ``64 * SIGNATURE`` bits.
+
+    Two sets differ in at least as many elements as their signatures in bits, which bounds their overlap.
+    """
+    place = ((hashes * _MIX[4]) >> np.uint64(20)) % np.uint64(64 * SIGNATURE)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sig", pa.list_(pa.int64())), ("h", pa.int64()), ("seen", pa.int32())])
+
+
+def _describe(width: int, most: int = 2_000_000):
     """doc rows (doc_id, n, c), and rows (h, seen) of shingles that a task met in several sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,22 +102,23 @@ def _describe(width: int, most: int = 4_000_000):
             many = counts > 1
             n = int(many.sum())
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(as_long(values[many])), pa.array(counts[many].astype(np.int32))], schema=_SETS)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(n, pa.list_(pa.int64())), pa.array(as_long(values[many])), pa.array(counts[many].astype(np.int32))], schema=_SETS)
 
         for batch in batches:
             for cut in slices(batch, "text"):
-                sizes, keys = [], []
+                sizes, keys, signs = [], [], []
                 for text in cut.column(1).to_pylist():
                     found = shingles(text, width)
                     sizes.append(len(found))
                     key = class_key(found) if len(found) else None
                     keys.append(key)
+                    signs.append(signature(found) if len(found) else None)
                     if key is not None and key not in known:
                         known.add(key)
                         held.append(found)
                         size += len(found)
                 n = cut.num_rows
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=_SETS)
                 if size > most:
                     yield repeated()
                     held, size, known = [], 0, set()
@@ -210,6 +226,12 @@ def _possible(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Co
     return sizes & (F.least(n - pos, m - at) >= _needed(n, m, percent))
 
 
+def _close(n: Column, sig: Column, m: Column, other: Column, percent: int) -> Column:
+    """The signatures leave enough overlap possible."""
+    apart = sum((F.bit_count(sig[i].bitwiseXOR(other[i])) for i in range(1, SIGNATURE)), F.bit_count(sig[0].bitwiseXOR(other[0])))
+    return (n + m - apart) * (100 + percent) >= (n + m) * (2 * percent)
+
+
 SLOT_BITS = 24
 
 
@@ -233,7 +255,11 @@ class _Join:
         return keep
 
     def verify(self, pairs: DataFrame, classes: DataFrame, levels, name: str) -> DataFrame:
-        """Links (a, b) among candidate pairs (a, na, b, nb): second and third order, then the whole sets."""
+        """Links (a, b) among candidate pairs: signatures, second and third order, then the whole sets."""
+        left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+        right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+        near = pairs.join(left, "a").join(right, "b").where(_close(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), self.percent))
+        pairs = self.scratch.save(near.select("a", "b"), f"near-{name}")
         involved = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").select("c", "rep")
         bits = self.spark.sparkContext.broadcast(self.asked(involved))
         texts = self.docs.select("text", _id_slot("doc_id").alias("slot"))
@@ -265,8 +291,9 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct(), f"{name}-{step}")
+        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(small_least.select("u", F.col("m").alias("v")))
+        after = scratch.save(small.where("u <> v").distinct(), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
         row = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         current = after
@@ -277,39 +304,49 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and class_key of every document."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     job = _Join(slim, width, percent)
     scratch = job.scratch
-    found = scratch.save(slim.mapInArrow(_describe(width), "doc_id long, n long, c long, h long, seen int"), "described")
+    found = scratch.save(slim.mapInArrow(_describe(width), "doc_id long, n long, c long, sig array<long>, h long, seen int"), "described")
     rows = found.where("h is null").select("doc_id", "n", "c")
-    classes = scratch.save(rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.save(found.where("h is null").where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig")), "classes")
     levels = spark.sparkContext.broadcast(_levels(found.where("h is not null")))
 
     tokens = slim.select("text").mapInArrow(_prefixes(width, percent, levels), "token long, c long, n int, pos int")
-    group = Window.partitionBy("token").orderBy("n", "c")
+    # sets of like size side by side, and of these the ones with the shingle early on first: they are likeliest to be similar
+    tokens = tokens.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(1.12)).cast("int"))
+    group = Window.partitionBy("token").orderBy("s", "pos", "c")
+    alike = Window.partitionBy("token", "s").orderBy("pos", "c").rowsBetween(Window.unboundedPreceding, 0)
     row = F.struct("c", "n", "pos")
-    tokens = tokens.select("*", F.lag(row).over(group).alias("one"), F.lead("c").over(group).alias("after"), F.first(row).over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("pivot"))
+    tokens = tokens.select("token", "c", "n", "pos", F.lag(row).over(group).alias("one"), F.lead("c").over(group).alias("after"), F.first(row).over(alike).alias("pivot"))
     shared = scratch.save(tokens.where(F.col("one").isNotNull() | F.col("after").isNotNull()).drop("after"), "shared")
 
     others = F.explode(F.array_distinct(F.array("pivot", "one")))
     pairs = shared.where("one is not null").select("c", "n", "pos", others.alias("o")).where(F.col("o.c") != F.col("c"))
     pairs = pairs.where(_possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent))
-    pairs = scratch.save(pairs.select(F.least("c", "o.c").alias("a"), F.greatest("c", "o.c").alias("b")).distinct(), "pairs-1")
+    # two partners for each set: the one it meets most often, and one with a shared shingle early on
+    met = pairs.groupBy("c", "o.c").agg(F.count(F.lit(1)).alias("k"), F.min("o.pos").alias("at")).toDF("c", "oc", "k", "at")
+    met = met.groupBy("c").agg(F.max_by("oc", F.struct("k", "oc")).alias("x"), F.min_by("oc", F.struct("at", "oc")).alias("y"))
+    pairs = met.select("c", F.explode(F.array_distinct(F.array("x", "y"))).alias("o"))
+    pairs = scratch.save(pairs.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct(), "pairs-1")
     links = job.verify(pairs, classes, levels, "1")
     stars = connected(links, scratch, "stars-1")
 
     labelled = shared.select("token", "c", "n", "pos").join(stars, "c", "left").withColumn("label", F.coalesce("label", "c"))
     kinds = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = kinds.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1")
-    labelled = scratch.save(labelled.join(mixed.select("token", "main"), "token"), "mixed")
-    left = labelled.where("label <> main").select("token", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("label").alias("l1"))
-    right = labelled.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("label").alias("l2"))
+    labelled = labelled.join(mixed.select("token", "main"), "token").join(classes.select("c", "sig"), "c")
+    labelled = scratch.save(labelled, "mixed")
+    left = labelled.where("label <> main").select("token", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("label").alias("l1"), F.col("sig").alias("s1"))
+    right = labelled.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("label").alias("l2"), F.col("sig").alias("s2"))
     on = (left["token"] == right["token"]) & (F.col("l1") != F.col("l2")) & _possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
+    on = on & _close(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), percent)
     more = left.join(right, on).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
     more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     extra = job.verify(more, classes, levels, "2")
-    stars = connected(links.union(extra), scratch, "stars-2")
+    stars = connected(stars.toDF("a", "b").union(extra), scratch, "stars-2")
 
     labels = classes.join(stars, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
