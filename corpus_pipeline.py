@@ -30,9 +30,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; of rows with that id, one."""
-    kept = jaccard.join_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each component stays.
+
+    Rows that share that id but not the text all stay; so does one row of each text among those without an id,
+    which the join's result cannot name.
+    """
+    kept = jaccard.join_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
