@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import Scratch, partitions, prefix_starts, slices
+from searchlake.llm.common import Scratch, order_bounds, partitions, prefix_starts, range_column, slices, small_batches
 from searchlake.llm.tokens import encoder, vocabulary_path
 
 MAGIC = b"RPG1"
@@ -67,6 +67,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int, least: int =
         room = min(batch, symbols - total)
         if len(heavy) > room:
             heavy = np.sort(heavy[np.argpartition(-counts[heavy], room)[:room]])
+        if counts[heavy].sum() < gain * len(seq):
+            break
         number = np.full(1 << _BITS, -1, dtype=np.int32)
         number[heavy] = np.arange(len(heavy), dtype=np.int32)
         rule = number[slot]
@@ -194,12 +196,13 @@ class Shard:
 _FILES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("data", pa.binary())])
 
 
-def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: str | None = None, most_ids: int = 2_000_000, scratch: Scratch | None = None, parts: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: str | None = None, most_ids: int = 1_000_000, scratch: Scratch | None = None, parts: int | None = None) -> DataFrame:
     """Encode all documents and write shard files in ascending id order.
 
     Returns the file table (part, block, doc_ids, n_tokens, data), written in the shared folder; files
     hold at most ``most_ids`` ids, or one document.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     path = vocabulary or vocabulary_path()
@@ -230,7 +233,9 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield flush()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = slim.repartitionByRange(parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    bounds = order_bounds(slim, "doc_id", parts or partitions(spark))
+    dealt = slim.repartitionById(max(1, len(bounds)), range_column(bounds, "doc_id").cast("int"))
+    ordered = dealt.sortWithinPartitions("doc_id", "text")
     return scratch.save(ordered.mapInArrow(run, "part int, block int, doc_ids array<long>, n_tokens long, data binary"), "token-files")
 
 

@@ -1,8 +1,9 @@
-"""Token ids through the ``tokenizers`` library, with one entry per distinct word kept per worker.
+"""Token ids through the ``tokenizers`` library, with one entry per distinct piece kept per worker.
 
 The vocabulary of ``word_bpe_49k.json`` never joins characters across white space (its normaliser
 turns white space into one blank and its splitter drops blanks), so a text's ids are those of its
-blank-separated pieces in turn. Each worker encodes a piece once and remembers its ids as bytes.
+blank-separated pieces in turn. Each worker lets the library encode a piece once. Pieces are found again by
+64-bit hashes, computed and looked up for a whole batch of texts at once; the table of a worker is bounded.
 """
 
 from __future__ import annotations
@@ -18,10 +19,147 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_LETTER = np.array([chr(c).isalpha() for c in range(256)])
+_BETWEEN = "\x1e"  # stands between texts
+_SPREAD = np.random.default_rng(12).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def simplified(texts: list[str]) -> np.ndarray:
+    """Latin-1 texts as the bytes of one text, with far fewer distinct pieces and the same ids.
+
+    Letters become lower-case (the normaliser does that too, letter by letter), and whatever follows a letter and is no
+    letter stands apart (the splitter ends a word there anyway; contractions start with their apostrophe).
+    """
+    raw = np.frombuffer(f" {_BETWEEN} ".join(texts).lower().encode("latin-1"), dtype=np.uint8)
+    letter, blank = _LETTER[raw], (raw == 32) | (raw == 10)
+    return np.insert(np.where(blank, np.uint8(32), raw), np.flatnonzero(letter[:-1] & ~letter[1:] & ~blank[1:]) + 1, 32)
+
+
+def verbatim(texts: list[str]) -> np.ndarray:
+    """Other texts as the UTF-8 bytes of one text."""
+    raw = np.frombuffer(f" {_BETWEEN} ".join(texts).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return np.where(raw == 10, np.uint8(32), raw)
+
+
+def is_plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
+class PieceTable:
+    """Ids of pieces by the hash of their bytes: an open-addressing table in arrays."""
+
+    def __init__(self, learn, codec: str, most: int):
+        self.learn, self.codec, self.most = learn, codec, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits = max(8, (2 * self.most - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.hashes = np.zeros(1 << 12, dtype=np.uint64)
+        self.ends = np.zeros(1 << 12, dtype=np.int64)
+        self.ids = np.zeros(1 << 14, dtype=np.uint32)
+        self.count = 0
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for those that are not there."""
+        place, mask = self._place(hashes), len(self.slots) - 1
+        found = self.slots[place]
+        left = np.flatnonzero((found >= 0) & (self.hashes[found] != hashes))
+        while len(left):  # another piece is there: on to the next place
+            place[left] = (place[left] + 1) & mask
+            found[left] = self.slots[place[left]]
+            left = left[(found[left] >= 0) & (self.hashes[found[left]] != hashes[left])]
+        return found
+
+    def add(self, hashes: np.ndarray, each: list[np.ndarray]) -> None:
+        """New pieces, all different."""
+        n, sizes = len(hashes), np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        start = int(self.ends[self.count - 1]) if self.count else 0
+        total = start + int(sizes.sum())
+        if self.count + n > len(self.hashes):
+            grow = max(self.count + n, 2 * len(self.hashes))
+            self.hashes, self.ends = np.resize(self.hashes, grow), np.resize(self.ends, grow)
+        if total > len(self.ids):
+            self.ids = np.resize(self.ids, max(total, 2 * len(self.ids)))
+        self.hashes[self.count : self.count + n] = hashes
+        self.ends[self.count : self.count + n] = start + np.cumsum(sizes)
+        if n:
+            self.ids[start:total] = np.concatenate(each)
+        self.count += n
+        first = self.count - n
+        while 2 * self.count > len(self.slots):  # at most half full, or looking up would not end
+            self.bits, first = self.bits + 1, 0
+            self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        number, mask = np.arange(first, self.count, dtype=np.int32), len(self.slots) - 1
+        place = self._place(self.hashes[first : self.count])
+        while len(number):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = number[free]  # of several for one place the last stays
+            place, number = (np.delete(x, np.flatnonzero(self.slots[place] == number)) for x in (place, number))
+            place = (place + 1) & mask
+
+    def encode(self, raw: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a batch made by :func:`simplified` or :func:`verbatim`."""
+        if self.count > self.most:
+            self.clear()  # memory stays bounded; what comes back is encoded again
+        power = _powers(len(raw) + 1)
+        summed = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_SPREAD[raw] * power[0][: len(raw)], out=summed[1:])
+        blanks = np.flatnonzero(raw == 32)
+        begins, stops = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(raw)]])
+        real = stops > begins
+        begins, stops = begins[real], stops[real]
+        hashes = (summed[stops] - summed[begins]) * power[1][begins]
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(0xD6E8FEB86659FD93)
+        border = (raw[begins] == 0x1E) & (stops - begins == 1)
+        number = self.find(hashes)
+        gaps = np.flatnonzero(number < 0)
+        if len(gaps):
+            fresh, first = np.unique(hashes[gaps], return_index=True)
+            at = gaps[first]
+            data = raw.tobytes()
+            words = [data[a:b].decode(self.codec, *(() if self.codec == "latin-1" else ("surrogatepass",))) for a, b in zip(begins[at].tolist(), stops[at].tolist())]
+            self.add(fresh, self.learn(words))
+            number[gaps] = self.find(hashes[gaps])
+        high = self.ends[number]
+        low = np.where(number > 0, self.ends[number - 1], 0)
+        sizes = np.where(border, 0, high - low)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.ids[np.arange(total) + np.repeat(low - (ends - sizes), sizes)]
+        return np.split(out, ends[border])
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            powers = np.full(size, base, dtype=np.uint64)
+            powers[0] = 1
+            made.append(np.cumprod(powers, dtype=np.uint64))
+        _POWERS[size] = tuple(made)
+    return _POWERS[size]
+
+
 class WordEncoder:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str | None = None, most: int = 800_000):
+    def __init__(self, path: str | None = None, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,73 +168,41 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.most = most
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.marks = {m: self._plain(m) for m in ".,"}
-
-    def _plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn_cores(self, cores: list[str]) -> None:
-        """Pieces of Latin-1 letters only: one word each, so each ends at its one end-of-word id."""
-        groups = [cores[at : at + 50] for at in range(0, len(cores), 50)]
-        for at in range(0, len(groups), 400):
-            part = groups[at : at + 400]
-            for words, done in zip(part, self.tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)):
-                ids = np.asarray(done.ids, dtype="<u4")
-                cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-                raw = ids.tobytes()
-                if len(cuts) == len(words) + 1:
-                    self.cores.update(zip(words, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
-                else:
-                    self.cores.update((w, self._plain(w)) for w in words)
-
-    def _learn(self, new: set[str]) -> None:
-        split, other = {}, []
-        for w in new:
-            core, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
-            if core.isalpha() and (core.isascii() or max(core) <= "\u00ff"):
-                split[w] = (core.lower(), mark)
-            else:
-                other.append(w)
-        cores = self.cores
-        if missing := {c for c, _ in split.values()}.difference(cores):
-            self._learn_cores(list(missing))
-        marks = self.marks
-        self.known.update((w, cores[c] + marks[m] if m else cores[c]) for w, (c, m) in split.items())
-        rare = [w for w in other if "<|" in w]
-        plain = [w for w in other if "<|" not in w] if rare else other
-        for at in range(0, len(plain), 100):
-            part = plain[at : at + 100]
-            joined = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.asarray(joined.ids, dtype="<u4")
-            starts = np.fromiter((o[0] for o in joined.offsets), dtype=np.int64, count=len(ids))
-            begins = np.cumsum([0] + [len(w) + 1 for w in part])
-            cuts = (np.searchsorted(starts, begins) * 4).tolist()
-            raw = ids.tobytes()
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
-        self.known.update((w, self._plain(w)) for w in rare)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 64):
-            if len(self.known) > self.most or len(self.cores) > self.most // 2:
-                self.known.clear()  # memory stays bounded; what comes back is encoded again
-                self.cores.clear()
-            known, holes, rows = self.known, [], []
-            for text in texts[at : at + 64]:
-                words = (text or "").replace("\n", " ").split(" ")
-                ids = list(map(known.get, words))
-                rows.append(ids)
-                if gaps := [i for i, x in enumerate(ids) if x is None]:
-                    holes.append((words, ids, gaps))
-            if holes:
-                self._learn({words[i] for words, _, gaps in holes for i in gaps})
-                for words, ids, gaps in holes:
-                    for i in gaps:
-                        ids[i] = known[words[i]]
-            out.extend(map(b"".join, rows))
+        self.plain = PieceTable(self._learn, "latin-1", most)
+        self.other = PieceTable(self._learn, "utf-8", most // 2)
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        """The library's ids of each piece."""
+        out: list = [None] * len(words)
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        # a piece of letters is one word and so ends at its one end-of-word id
+        groups = [letters[at : at + 50] for at in range(0, len(letters), 50)]
+        for group, done in zip(groups, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(done.ids, dtype=np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            parts = np.split(ids, cuts[:-1]) if len(cuts) == len(group) else [self._one(words[i]) for i in group]
+            for i, part in zip(group, parts):
+                out[i] = part
+        for i, word in enumerate(words):
+            if out[i] is None:
+                out[i] = self._one(word)
+        return out
+
+    def encode(self, texts: list[str | None], together: int = 64) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        odd = {i for i, t in enumerate(texts) if t and _BETWEEN in t}
+        for i in odd:
+            out[i] = self._one(texts[i]).astype("<u4").tobytes()
+        plain = [i for i, t in enumerate(texts) if t and i not in odd and is_plain(t)]
+        other = sorted({i for i, t in enumerate(texts) if t} - odd - set(plain))
+        for rows, table, joined in ((plain, self.plain, simplified), (other, self.other, verbatim)):
+            for at in range(0, len(rows), together):
+                part = rows[at : at + together]
+                for i, ids in zip(part, table.encode(joined([texts[i] for i in part]))):
+                    out[i] = ids.astype("<u4", copy=False).tobytes()
         return out
 
 
