@@ -35,7 +35,7 @@ def test_license_base_counts(text):
 
 def test_license_fuzzy_places():
     scanner = license_scan.Scanner()
-    got = scanner.scan("Some text. Relased under teh MIT Licence! More.")
+    got = scanner.scan("Some text. Relased under the MIT Licence! More.")
     assert "mit" in got["labels"].split(",") and 0 < got["score"] < 1
     label, word, start, end, edits = got["places"][0]
     assert label == "mit" and word == 2 and edits >= 1
