@@ -89,7 +89,7 @@ def test_predicates(spark):
     assert {q: one(spark, P.query_kind(F.col("q")), q=q) for q in kinds} == kinds
     assert one(spark, P.required_entities(F.col("q")), q="who is the president of France?") == ["france"]
     assert one(spark, P.required_entities(F.col("q")), q="what happened in 1923") == []
-    assert one(spark, P.listicle(F.col("t"), F.lit(""), F.lit("")), t="150 funny jokes") is True
+    assert one(spark, P.listicle(F.col("t"), F.lit(""), F.lit("")), t="150 funny quotes") is True
     assert one(spark, P.goal_error(F.col("g")), g="a1") == "empty_goal" and one(spark, P.goal_error(F.col("g")), g="12 34") == "invalid_goal"
 
 
@@ -108,7 +108,7 @@ def test_query_columns(spark):
 
 
 @pytest.mark.parametrize(
-    "query, label", [("react vs vue", "comparison"), ("is a better than b", "comparison"), ("how to bake bread", "how-to"), ("hello there", "chitchat"), ("latest ai news", "fresh"), ("kubernetes ingress", "technical"), ("red shoes", "informational")]
+    "query, label", [("cats vs dogs", "comparison"), ("react vs vue", "technical"), ("is a better than b", "comparison"), ("how to bake bread", "how-to"), ("hello there", "chitchat"), ("latest ai news", "fresh"), ("kubernetes ingress", "technical"), ("red shoes", "informational")]
 )
 def test_intents(spark, query, label):
     assert one(spark, L.intent(F.col("q"), F.lit("informational"), F.lit(0.3))[0], q=query) == label
