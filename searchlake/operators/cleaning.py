@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from searchlake.functions import text as T
 from searchlake.functions.dialect import has_any
@@ -106,7 +107,7 @@ def without_styles(text: str) -> str:
     return out + text[at:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unbraced(texts: pd.Series) -> pd.Series:
     """Both scanners; texts without a brace pass untouched."""
     return texts.map(lambda t: without_styles(without_structured_data(t)) if t and "{" in t else t)
@@ -130,19 +131,23 @@ def title_echo(content: Column, title: Column) -> Column:
     return F.when(n < 15, content).when(n >= F.length(c), "").otherwise(rest)
 
 
-def cleaned(raw: Column, title: Column) -> Column:
-    """The whole chain: scripts, structured data, styles, tags, entities, boilerplate, blanks, title echo, last sentence."""
+def clean(rows: DataFrame, raw: str, title: str, out: str = "content") -> DataFrame:
+    """The whole chain: scripts, structured data, styles, tags, entities, boilerplate, blanks, title echo, last sentence.
+
+    Three projections, as the scanners are Python and the title echo is a higher-order function.
+    """
     s = F.regexp_replace(F.regexp_replace(raw, r"(?is)<style[^>]*>.*?</style>", " "), r"(?is)<script[^>]*>.*?</script>", " ")
-    s = unbraced(s)
-    s = F.regexp_replace(F.regexp_replace(s, r"(?s)\{[^{}]*\{[^{}]*\}[^{}]*\}", " "), r"(?s)\{[^{}]*\}", " ")
+    rows = rows.withColumn(out, unbraced(s))
+    s = F.regexp_replace(F.regexp_replace(out, r"(?s)\{[^{}]*\{[^{}]*\}[^{}]*\}", " "), r"(?s)\{[^{}]*\}", " ")
     s = F.regexp_replace(s, r"(?i)url\(\s*['\"]?[^\"')]*['\"]?\s*\)", " ")
     for word in AT_WORDS:
         s = F.regexp_replace(s, f"(?i){word}", " ")
     s = T.decoded(F.regexp_replace(s, r"(?s)<[^>]+>", " "))
     for pattern in BOILERPLATE:
         s = F.regexp_replace(s, pattern, " ")
-    s = F.trim(F.regexp_replace(s, r"[\n\r\t ]+", " "))
-    return T.bounded(title_echo(s, title))
+    rows = rows.withColumn(out, F.trim(F.regexp_replace(s, r"[\n\r\t ]+", " ")))
+    rows = rows.withColumn(out, title_echo(F.col(out), F.col(title)))
+    return rows.withColumn(out, T.bounded(F.col(out)))
 
 
 def _amount(value) -> float | None:

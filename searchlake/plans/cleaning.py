@@ -12,8 +12,8 @@ from searchlake.session import load
 
 @query("T1", "T2", "T3", "T4")
 def clean_content(spark, sf_dir):
-    p = load(spark, sf_dir, "pages")
-    return p.select("page_id", C.cleaned(F.col("html"), T.page_title(F.col("html"))).alias("content"))
+    p = load(spark, sf_dir, "pages").select("page_id", "html", T.page_title(F.col("html")).alias("title"))
+    return C.clean(p, "html", "title").select("page_id", "content")
 
 
 _ECHO = "case page_id % 3 when 0 then upper(title) || ' - ' || 'body of ' || page_id when 1 then title else 'Other text ' || title end"
