@@ -75,7 +75,7 @@ def as_long(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-SIGNATURE = 16  # 64-bit words
+SIGNATURE = 8  # 64-bit words
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sig", pa.list_(pa.int64())), ("h", pa.int64()), ("seen", pa.int32())])
 
 
-def _describe(width: int, most: int = 2_000_000):
+def _describe(width: int, most: int = 4_000_000):
     """doc rows (doc_id, n, c), and rows (h, seen) of shingles that a task met in several sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def _levels(seen: DataFrame) -> bytes:
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["block", "data"])
 
     slot = F.pmod(F.col("h"), F.lit(SLOTS))  # SLOTS is a power of two, so the sign does not matter
-    counted = seen.groupBy("h").agg(F.sum("seen").alias("total")).where(F.col("total") >= 4)
+    counted = seen.groupBy("h").agg(F.sum("seen").alias("total")).where(F.col("total") >= 2)
     counted = counted.groupBy(slot.cast("int").alias("slot")).agg(F.floor(F.log2(F.max("total").cast("double"))).cast("int").alias("level"))
     counted = counted.select((F.col("slot") / BLOCK).cast("int").alias("block"), (F.col("slot") % BLOCK).alias("at"), F.least("level", F.lit(31)).alias("level"))
     table = np.zeros(SLOTS, dtype=np.uint8)
@@ -320,8 +320,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = Window.partitionBy("token").orderBy("s", "pos", "c")
     alike = Window.partitionBy("token", "s").orderBy("pos", "c").rowsBetween(Window.unboundedPreceding, 0)
     row = F.struct("c", "n", "pos")
-    tokens = tokens.select("token", "c", "n", "pos", F.lag(row).over(group).alias("one"), F.lead("c").over(group).alias("after"), F.first(row).over(alike).alias("pivot"))
-    shared = scratch.save(tokens.where(F.col("one").isNotNull() | F.col("after").isNotNull()).drop("after"), "shared")
+    tokens = tokens.select("token", "c", "n", "pos", F.lag(row).over(group).alias("one"), F.lead("c").over(group).alias("after"), F.first(row).over(alike).alias("pivot"), F.coalesce(F.lag("c", 2).over(group), F.lead("c", 2).over(group)).alias("third"))
+    tokens = tokens.where(F.col("one").isNotNull() | F.col("after").isNotNull())
+    three = F.col("third").isNotNull() | (F.col("one").isNotNull() & F.col("after").isNotNull())
+    shared = scratch.save(tokens.withColumn("three", three).drop("after", "third"), "shared")
 
     others = F.explode(F.array_distinct(F.array("pivot", "one")))
     pairs = shared.where("one is not null").select("c", "n", "pos", others.alias("o")).where(F.col("o.c") != F.col("c"))
@@ -334,7 +336,11 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = job.verify(pairs, classes, levels, "1")
     stars = connected(links, scratch, "stars-1")
 
-    labelled = shared.select("token", "c", "n", "pos").join(stars, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    # a group of two is one pair, which is at hand
+    one = F.col("one")
+    twos = shared.where(~F.col("three") & one.isNotNull()).where((one["c"] != F.col("c")) & _possible(F.col("n"), F.col("pos"), one["n"], one["pos"], percent))
+    twos = twos.select(F.least("c", one["c"]).alias("a"), F.greatest("c", one["c"]).alias("b"))
+    labelled = shared.where("three").select("token", "c", "n", "pos").join(stars, "c", "left").withColumn("label", F.coalesce("label", "c"))
     kinds = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = kinds.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1")
     labelled = labelled.join(mixed.select("token", "main"), "token").join(classes.select("c", "sig"), "c")
@@ -343,7 +349,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = labelled.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("label").alias("l2"), F.col("sig").alias("s2"))
     on = (left["token"] == right["token"]) & (F.col("l1") != F.col("l2")) & _possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
     on = on & _close(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), percent)
-    more = left.join(right, on).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
+    more = left.join(right, on).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).union(twos).distinct()
     more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     extra = job.verify(more, classes, levels, "2")
     stars = connected(stars.toDF("a", "b").union(extra), scratch, "stars-2")
@@ -354,3 +360,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for name in ("shared", "mixed", "pairs-1", "pairs-2"):
         scratch.drop(name)
     return rows.join(by_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("c").alias("class_key"))
+
+
+def oracle(table: str = "documents", width: int = WIDTH, percent: int = PERCENT) -> str:
+    """DuckDB SQL for doc_id, n_shingles and component_id of tables whose ids are distinct: every shared shingle, then all that links reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {table}),
+s as (select distinct doc_id, case when len(w) < {width} then array_to_string(w, ' ') else array_to_string(w[i:i + {width - 1}], ' ') end as sh
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1)::int + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= {percent} * (nx.n + ny.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as d, doc_id as m from w union select e.y, r.m from r join e on e.x = r.d)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(m) from r where r.d = w.doc_id) as component_id from w left join n on n.doc_id = w.doc_id
+"""

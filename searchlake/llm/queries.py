@@ -56,4 +56,4 @@ def op10_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_repair_tokens, op4_ngram_join, op5_pfair_mix, op6_url_rules, op7_collision_counting, op8_packing, op9_byte_quality, op10_kernel_language)}
-SQL: dict[str, str] = {"op5_pfair_mix": mixing.oracle(), "op6_url_rules": url_rules.oracle()}
+SQL: dict[str, str] = {"op4_ngram_join": jaccard.oracle(), "op5_pfair_mix": mixing.oracle(), "op6_url_rules": url_rules.oracle()}
