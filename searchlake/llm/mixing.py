@@ -47,7 +47,7 @@ def schedule(spark, weights: list[int]) -> DataFrame:
     return spark.range(1).select(F.inline(F.expr(made)))
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = OTHER, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, carry: bool = False, bucket_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = OTHER, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, carry: bool = False, bucket_rows: int = 4_000) -> DataFrame:
     """doc_id, source, stream, block, slot, position (dense, from 0); with ``carry`` also the whole row as a struct ``row``."""
     spark = docs.sparkSession
     weights = WEIGHTS if weights is None else weights
