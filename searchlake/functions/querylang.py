@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.functions.dialect import has_any, quoted, sql_any, sql_list
+from searchlake.functions.dialect import has_any, quoted, sql_any, sql_list, starts_any
 
 # fixed values: number words
 NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
@@ -214,32 +214,30 @@ CODE_WORDS = (
 )
 
 
-def intent(text: Column, label: Column, confidence: Column) -> tuple[Column, Column]:
-    """Label and confidence after the ordered lexical overrides; each sees what the one before wrote."""
-    q = F.lower(text)
-    words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
-    lift = lambda when, floor, conf: F.when(when, F.greatest(conf, F.lit(floor))).otherwise(conf)
+def with_intent(rows: DataFrame, text: str, label: str = "intent", confidence: str = "confidence") -> DataFrame:
+    """Label and confidence after the ordered lexical overrides; each is a projection, as it reads what the one before wrote."""
+    rows = rows.withColumn("_q", F.lower(text)).withColumn("_w", F.filter(F.split("_q", r"\s+"), lambda w: w != ""))
+    q, words, now = F.col("_q"), F.col("_w"), F.col(label)
+    starts = lambda *openings: starts_any(q, openings)
     versus = has_any(q, (" vs ", " versus ", " or ")) | F.rlike(q, F.lit("^(vs|versus) "))
-    for rule, name, floor in ((versus, "comparison", 0.9), (has_any(q, THAN), "comparison", 0.9)):
-        change = rule & (label != name)
-        confidence, label = lift(change, floor, confidence), F.when(change, name).otherwise(label)
-    how = has_any(q, ("how to", "how do i ", "how do you ", "how can i ", "steps to ", "tutorial for ")) | F.startswith(q, F.lit("how do"))
-    clear = F.contains(q, F.lit("how to")) | F.startswith(q, F.lit("how do")) | F.contains(q, F.lit("steps to "))
-    change = how & ((label == "how-to") | clear)
-    confidence, label = lift(change, 0.6, confidence), F.when(change, "how-to").otherwise(label)
-    change = (has_any(q, CHITCHAT) | F.trim(q).isin(*GREETINGS)) & (label != "chitchat")
-    confidence, label = lift(change, 0.7, confidence), F.when(change, "chitchat").otherwise(label)
+    how = has_any(q, ("how to", "how do i ", "how do you ", "how can i ", "steps to ", "tutorial for ")) | starts("how do")
+    clear = has_any(q, ("how to", "steps to ")) | starts("how do")
     recent = has_any(q, RECENT)
-    topics = F.exists(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(*NO_TOPIC))
-    change = recent & topics & (label != "fresh")
-    confidence, label = lift(change, 0.7, confidence), F.when(change, "fresh").otherwise(label)
-    stale = (label == "fresh") & ~recent
-    asks, why = F.startswith(q, F.lit("how ")), F.startswith(q, F.lit("why ")) | F.startswith(q, F.lit("what causes"))
-    confidence = lift(stale & (asks | why), 0.6, confidence)
-    label = F.when(stale & asks, "how-to").when(stale & why, "informational").otherwise(label)
+    topic = F.exists(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(*NO_TOPIC))
     coded = F.exists(words, lambda w: w.isin(*CODE_WORDS) | F.regexp_replace(w, "s+$", "").isin(*CODE_WORDS))
-    change = coded & (has_any(q, DOC_WORDS) | (F.size(words) >= 2)) & (label != "technical")
-    return F.when(change, "technical").otherwise(label), lift(change, 0.6, confidence)
+    rules = (
+        (versus & (now != "comparison"), F.lit("comparison"), 0.9),
+        (has_any(q, THAN) & (now != "comparison"), F.lit("comparison"), 0.9),
+        (how & ((now == "how-to") | clear), F.lit("how-to"), 0.6),
+        ((has_any(q, CHITCHAT) | F.trim(q).isin(*GREETINGS)) & (now != "chitchat"), F.lit("chitchat"), 0.7),
+        (recent & topic & (now != "fresh"), F.lit("fresh"), 0.7),
+        ((now == "fresh") & ~recent & starts("how ", "why ", "what causes"), F.when(starts("how "), "how-to").otherwise("informational"), 0.6),
+        (coded & (has_any(q, DOC_WORDS) | (F.size(words) >= 2)) & (now != "technical"), F.lit("technical"), 0.6),
+    )
+    for change, name, floor in rules:
+        rows = rows.withColumn("_c", change)
+        rows = rows.withColumns({confidence: F.when(F.col("_c"), F.greatest(F.col(confidence), F.lit(floor))).otherwise(F.col(confidence)), label: F.when(F.col("_c"), name).otherwise(now)})
+    return rows.drop("_q", "_w", "_c")
 
 
 def sql_intent(table: str) -> str:

@@ -20,6 +20,11 @@ def asked(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(L.QUERY_TEXT).alias("text"))
 
 
+def guessed(spark, sf_dir):
+    """Intents by the lexical rules alone, over the fallback label."""
+    return L.with_intent(asked(spark, sf_dir).withColumn("intent", F.lit("informational")).withColumn("confidence", F.lit(0.3)), "text")
+
+
 @query("Q1", sql=f"select conv_id, turn, array_to_string({L.sql_phrases('text')}, '|') as phrases, {L.sql_without_phrases('text')} as rest from ({_Q})")
 def query_phrases(spark, sf_dir):
     return asked(spark, sf_dir).select("conv_id", "turn", F.array_join(L.phrases(F.col("text")), "|").alias("phrases"), L.without_phrases(F.col("text")).alias("rest"))
@@ -92,8 +97,7 @@ def entity_subsets(spark, sf_dir):
 
 @query("Q25", sql=f"with q0 as (select conv_id, turn, lower(text) as q, 'informational' as label, 0.3::double as conf from ({_Q})), {L.sql_intent('q0')} select conv_id, turn, label as intent, conf as confidence from intents")
 def intent_override(spark, sf_dir):
-    label, conf = L.intent(F.col("text"), F.lit("informational"), F.lit(0.3))
-    return asked(spark, sf_dir).select("conv_id", "turn", label.alias("intent"), conf.alias("confidence"))
+    return guessed(spark, sf_dir).select("conv_id", "turn", "intent", "confidence")
 
 
 _PARENT = "case intent when 'how-to' then 'learn' when 'technical' then 'learn' when 'informational' then 'learn' when 'comparison' then 'decide' when 'transactional' then 'decide' when 'fresh' then 'follow' else 'other' end"
@@ -101,8 +105,7 @@ _PARENT = "case intent when 'how-to' then 'learn' when 'technical' then 'learn'
 
 @query("Q29", sql=f"with q0 as (select conv_id, turn, lower(text) as q, 'informational' as label, 0.3::double as conf from ({_Q})), {L.sql_intent('q0')} select {_PARENT} as category, count(*)::bigint as n from (select label as intent from intents) group by 1")
 def intent_categories(spark, sf_dir):
-    label, _ = L.intent(F.col("text"), F.lit("informational"), F.lit(0.3))
-    return asked(spark, sf_dir).select(label.alias("intent")).groupBy(F.expr(_PARENT).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return guessed(spark, sf_dir).groupBy(F.expr(_PARENT).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("Q27", sql=f"select conv_id, turn, case when contains(lower(text), 'past 7 days') or contains(lower(text), 'this week') then '2024-01-25' when contains(lower(text), 'today') then '2024-02-01' when contains(lower(text), 'latest') then '2024-01-02' end as after_date from ({_Q})")
@@ -148,8 +151,7 @@ def constraints_full(spark, sf_dir):
 
 @query("Q18", "Q19", "Q20")
 def expand_query(spark, sf_dir):
-    label, _ = L.intent(F.col("text"), F.lit("informational"), F.lit(0.3))
-    return N.expand(asked(spark, sf_dir).withColumn("intent", label))
+    return N.expand(guessed(spark, sf_dir))
 
 
 _PAIR = "bigrams as (select w[i:i+1] as b, count(*) as n from (select w, unnest(range(1, length(w)::int)) as i from words) group by 1), total as (select sum(n)::double as t, count(*)::double as k from bigrams)"

@@ -111,7 +111,8 @@ def test_query_columns(spark):
     "query, label", [("cats vs dogs", "comparison"), ("react vs vue", "technical"), ("is a better than b", "comparison"), ("how to bake bread", "how-to"), ("hello there", "chitchat"), ("latest ai news", "fresh"), ("kubernetes ingress", "technical"), ("red shoes", "informational")]
 )
 def test_intents(spark, query, label):
-    assert one(spark, L.intent(F.col("q"), F.lit("informational"), F.lit(0.3))[0], q=query) == label
+    rows = spark.createDataFrame([(query, "informational", 0.3)], "q string, intent string, confidence double")
+    assert L.with_intent(rows, "q").first().intent == label
 
 
 @pytest.mark.parametrize("text, expected", [("two hundred fifty", "250"), ("one thousand two hundred", "1200"), ("nineteen cats", "19 cats"), ("hundred", "hundred")])
