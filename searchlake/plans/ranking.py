@@ -82,11 +82,14 @@ def signal_quality(spark, sf_dir):
 @query("R10", sql=f"""with q as (select item_id as query_id, list_distinct({R.sql_distinctive('text')}) as t from benchmark), d as (select doc_id, ' ' || lower(text) as hay from documents where doc_id % 50 = 0)
     select query_id, doc_id, {sql_quantised("len(list_filter(t, lambda w: contains(hay, ' ' || w || ' ') or contains(hay, w || '.') or contains(hay, w || ' '))) / len(t)::double")} as overlap from q join d on (q.query_id % 20) = (d.doc_id // 50) % 20""")
 def topic_overlap(spark, sf_dir):
-    q = asked(spark, sf_dir).select("query_id", F.array_distinct(R.distinctive(F.col("text"))).alias("t"))
-    d = docs(spark, sf_dir).where("doc_id % 50 = 0").select("doc_id", F.concat(F.lit(" "), F.lower("text")).alias("hay"))  # the pairs of a judged pool
-    rows = q.withColumn("k", F.col("query_id") % 20).join(d.withColumn("k", F.floor(F.col("doc_id") / 50) % 20), "k")
+    """Of all retrieved pairs: the share of the query's distinctive terms that the document has; 1 for a query without any."""
+    asks, d = asked(spark, sf_dir), docs(spark, sf_dir)
+    q = asks.select("query_id", F.array_distinct(R.distinctive(F.col("text"))).alias("t"))
+    pairs = R.floored(R.top_ranked(R.bm25(asks, d))).select("query_id", "doc_id")
+    rows = pairs.join(q, "query_id").join(d.select("doc_id", F.concat(F.lit(" "), F.lower("text")).alias("hay")), "doc_id")
     found = F.filter("t", lambda w: F.contains(F.col("hay"), F.concat(F.lit(" "), w, F.lit(" "))) | F.contains(F.col("hay"), F.concat(w, F.lit("."))) | F.contains(F.col("hay"), F.concat(w, F.lit(" "))))
-    return rows.select("query_id", "doc_id", quantised(F.size(found) / F.size("t").cast("double")).alias("overlap"))
+    overlap = F.when(F.size("t") == 0, 1.0).otherwise(F.size(found) / F.greatest(F.size("t"), F.lit(1)).cast("double"))
+    return rows.select("query_id", "doc_id", quantised(overlap).alias("overlap"))
 
 
 @query("R8", "R9", sql=f"with o as (select o_orderkey, date_diff('second', o_orderdate, timestamp '1999-01-01') as age, 1 / (60.0::double + o_orderkey % 50) as s from orders) select o_orderkey, {sql_quantised('s * (1 + 0.5 * (604800.0 / (604800.0 + age)))')} as fresh, {sql_quantised('s * (1 + 0.3 * 0.5)')} as trusted from o where age >= 0")
