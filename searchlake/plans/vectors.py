@@ -19,11 +19,10 @@ def rows(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"), "label")
 
 
-def against(spark, sf_dir):
-    """A handful of stated queries against all rows."""
-    e = rows(spark, sf_dir)
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+def against(spark, sf_dir, kind, **kept):
+    """Every row whose id is divisible by 20 as a query against all other rows."""
+    e = rows(spark, sf_dir).select("vec_id", "v")
+    return V.block_scores(e, e.where("vec_id % 20 = 0"), kind, **kept)
 
 
 def _topk(name, score):
@@ -33,12 +32,12 @@ def _topk(name, score):
 
 @query("R3", "J2", sql=f"{_PAIRS} select query_id, rank::integer as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select query_id, vec_id, {sql_quantised('list_inner_product(qv, v)')} as score from q join e on vec_id <> query_id)) where rank <= 10")
 def vector_dot_topk(spark, sf_dir):
-    return _topk("dot", against(spark, sf_dir).select("query_id", "vec_id", quantised(V.dot(F.col("qv"), F.col("v"))).alias("score")))
+    return _topk("dot", against(spark, sf_dir, "dot", top=10))
 
 
 @query("R4", sql=f"{_PAIRS} select query_id, rank::integer as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select query_id, vec_id, {sql_quantised('list_cosine_similarity(qv, v)')} as score from q join e on vec_id <> query_id)) where rank <= 10")
 def vector_cosine_topk(spark, sf_dir):
-    return _topk("cosine", against(spark, sf_dir).select("query_id", "vec_id", quantised(V.cosine(F.col("qv"), F.col("v"))).alias("score")))
+    return _topk("cosine", against(spark, sf_dir, "cosine", top=10))
 
 
 @query("R5", sql=f"with e as ({_E}) select vec_id, {sql_quantised('list_sum(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))))')} as total, {sql_quantised('v[1] / sqrt(list_inner_product(v, v))')} as first from e")
@@ -78,10 +77,13 @@ _GATE = f"""{_PAIRS}, s as (select query_id, vec_id, {sql_quantised('list_inner_
 
 @query("F15", "G2", sql=f"{_GATE} select query_id, vec_id, sim from g where sim >= {R.SEMANTIC_EACH} and best >= {R.SEMANTIC_MIN} and n >= {R.SEMANTIC_ROWS}")
 def semantic_gate(spark, sf_dir):
-    s = against(spark, sf_dir).select("query_id", "vec_id", quantised(V.dot(F.col("qv"), F.col("v"))).alias("sim"))
-    gate = s.groupBy("query_id").agg(F.max("sim").alias("best"), F.count(F.lit(1)).alias("n"))
-    open_ = gate.where((F.col("best") >= R.SEMANTIC_MIN) & (F.col("n") >= R.SEMANTIC_ROWS)).select("query_id")
-    return s.where(F.col("sim") >= R.SEMANTIC_EACH).join(open_, "query_id", "left_semi")
+    s = against(spark, sf_dir, "dot", least=R.SEMANTIC_EACH).withColumnRenamed("score", "sim")
+    copies = rows(spark, sf_dir).where("vec_id is not null").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
+    total = copies.agg(F.sum("n")).first()[0] or 0  # one number; a query meets all rows but those of its own id
+    # a best score that opens the gate is among the rows that pass
+    best = s.groupBy("query_id").agg(F.max("sim").alias("best")).where(F.col("best") >= R.SEMANTIC_MIN)
+    open_ = best.join(copies.withColumnRenamed("vec_id", "query_id"), "query_id").where(F.lit(total) - F.col("n") >= R.SEMANTIC_ROWS).select("query_id")
+    return s.join(open_, "query_id", "left_semi")
 
 
 @query("R7", "J4", "G3", sql=f"""with {R.sql_bm25()}, {R.SQL_RANKED}, e as ({_E}),
@@ -92,8 +94,8 @@ def semantic_gate(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     """Lexical and semantic lists fused; the semantic one only adds."""
     asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    lexical = R.floored(R.top_ranked(R.bm25(asked, load(spark, sf_dir, "documents")))).where("query_id < 5")
-    s = against(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), quantised(V.dot(F.col("qv"), F.col("v"))).alias("sim")).where("sim >= 0.3")
+    lexical = R.floored(R.top_ranked(R.bm25(asked, load(spark, sf_dir, "documents"))))
+    s = against(spark, sf_dir, "dot", least=0.3).select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("sim"))
     semantic = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")))
     kept = lexical.select("query_id", "doc_id", F.lit(True).alias("hit"))
     fused = R.fuse(lexical, semantic).join(kept, ["query_id", "doc_id"], "left")

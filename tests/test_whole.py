@@ -1,7 +1,10 @@
 """Queries do the whole job: small tables, expected rows by brute force."""
 
+import math
+
 from searchlake.catalog import all_queries
 from searchlake.operators import retrieval as R
+from searchlake.operators import vectors as V
 
 
 def table(spark, folder, name, rows, schema):
@@ -20,3 +23,29 @@ def test_topic_overlap_of_all_retrieved_pairs(spark, tmp_path):
         terms = [w for w in dict(asks)[q].split() if len(w) >= 3 and w not in R.TOPIC_STOPS]
         hay = " " + dict(texts)[d].lower()
         assert abs(overlap - sum(f"{w} " in hay or f"{w}." in hay for w in terms) / len(terms)) < 1e-6
+
+
+def test_every_twentieth_vector_is_asked(spark, tmp_path):
+    vectors = {i: [math.cos(0.37 * i), math.sin(0.37 * i), math.cos(0.11 * i)] for i in range(70)}
+    table(spark, tmp_path, "embeddings", [(i, v, i % 3) for i, v in vectors.items()], "vec_id long, embedding array<double>, label int")
+    table(spark, tmp_path, "documents", [(i, f"copper lantern number {i}", "src0") for i in range(4)], "doc_id long, text string, source string")
+    table(spark, tmp_path, "benchmark", [(33, "copper lantern")], "item_id long, text string")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    plain = lambda x: math.floor(x * 1e6 + 0.5) / 1e6
+    dots = {(q, v): plain(dot(vectors[q], vectors[v])) for q in range(0, 70, 20) for v in vectors if v != q}
+    cosines = {(q, v): plain(dot(vectors[q], vectors[v]) / math.sqrt(dot(vectors[q], vectors[q]) * dot(vectors[v], vectors[v]))) for q, v in dots}
+    for name, scores in (("vector_dot_topk", dots), ("vector_cosine_topk", cosines)):
+        expected = {(q, r, v, s) for q in range(0, 70, 20) for r, (v, s) in enumerate(sorted(((v, s) for (p, v), s in scores.items() if p == q), key=lambda x: (-x[1], x[0]))[:10], 1)}
+        assert {tuple(r) for r in all_queries()[name](spark, str(tmp_path)).collect()} == expected
+    got = all_queries()["semantic_gate"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.vec_id): r.sim for r in got} == {k: s for k, s in dots.items() if s >= R.SEMANTIC_EACH}
+    fused = all_queries()["hybrid_rrf"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.doc_id) for r in fused if not r.lexical} == {k for k, s in dots.items() if s >= 0.3}
+    assert {r.query_id for r in fused if r.lexical} <= {33}
+
+
+def test_block_scores_of_small_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)] + [(50, [1.0]), (51, None)], "vec_id long, v array<double>")
+    whole = {tuple(r) for r in V.block_scores(rows, rows.where("vec_id % 20 = 0"), "cosine").collect()}
+    cut = {tuple(r) for r in V.block_scores(rows, rows.where("vec_id % 20 = 0"), "cosine", vectors=9, asked=2).collect()}
+    assert whole == cut and len(whole) == 3 * 51
