@@ -39,9 +39,11 @@ _SNIPPETS = "case doc_id % 3 when 0 then 'Now 19.99 USD in stock' when 1 then 'P
 
 @query("C5", sql=f"select doc_id, try_cast(coalesce(nullif(regexp_extract(s, '([0-9]+[.][0-9]+) USD', 1), ''), nullif(regexp_extract(s, '[$]([0-9]+)', 1), '')) as double) as price, 'snippet_extracted' as source from (select doc_id, {_SNIPPETS} as s from documents where doc_id % 3 < 2)")
 def snippet_prices(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("doc_id % 3 < 2").select("doc_id", F.expr(_SNIPPETS).alias("s"))
+    """Every snippet is searched; one without a price or an availability (documents have no titles, so no names) has no source."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.expr(_SNIPPETS).alias("s"))
+    stock = F.rlike(F.lower("s"), F.lit(r"\b(in stock|out of stock)\b"))
     found = F.coalesce(F.nullif(F.regexp_extract("s", "([0-9]+[.][0-9]+) USD", 1), F.lit("")), F.nullif(F.regexp_extract("s", "[$]([0-9]+)", 1), F.lit("")))
-    return d.select("doc_id", found.cast("double").alias("price"), F.lit("snippet_extracted").alias("source"))
+    return d.select("doc_id", found.cast("double").alias("price"), F.when(found.isNotNull() | stock, "snippet_extracted").alias("source"))
 
 
 _ASK = "case doc_id % 4 when 0 then 'why is the apache web server named after a helicopter' when 1 then 'where does the name ford come from' when 2 then 'how to make biryani at home' else 'best keyboard' end"

@@ -83,7 +83,7 @@ def ext_rollup(spark, sf_dir):
 @query("W11", sql="select event_id, lag(event_id) over w as previous, ntile(4) over w::integer as quarter from events where user_id < 50 window w as (partition by user_id order by event_id)")
 def ext_analytic_functions(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return load(spark, sf_dir, "events").where("user_id < 50").select("event_id", F.lag("event_id").over(w).alias("previous"), F.ntile(4).over(w).alias("quarter"))
+    return load(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(w).alias("previous"), F.ntile(4).over(w).alias("quarter"))
 
 
 @query("X1", sql="select event_type, (epoch_us(ts) // 3600000000) as hour, count(*)::bigint as n from events group by 1, 2")

@@ -91,8 +91,8 @@ def word_stems(spark, sf_dir):
 @query("Q21", "L5", "O3")
 def entity_subsets(spark, sf_dir):
     """Query variants from the subject words, most specific first, at most 16 of at most 8 words."""
-    q = asked(spark, sf_dir).where("turn = 0").select("conv_id", N.entities(F.col("text")).alias("e"))
-    return q.select("conv_id", F.posexplode(F.slice(N.subsets(F.col("e")), 1, 16)).alias("pos", "variant"))
+    q = asked(spark, sf_dir).select("conv_id", "turn", N.entities(F.col("text")).alias("e"))
+    return q.select("conv_id", "turn", F.posexplode(F.slice(N.subsets(F.col("e")), 1, 16)).alias("pos", "variant"))
 
 
 @query("Q25", sql=f"with q0 as (select conv_id, turn, lower(text) as q, 'informational' as label, 0.3::double as conf from ({_Q})), {L.sql_intent('q0')} select conv_id, turn, label as intent, conf as confidence from intents")

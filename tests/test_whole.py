@@ -49,3 +49,22 @@ def test_block_scores_of_small_blocks(spark):
     whole = {tuple(r) for r in V.block_scores(rows, rows.where("vec_id % 20 = 0"), "cosine").collect()}
     cut = {tuple(r) for r in V.block_scores(rows, rows.where("vec_id % 20 = 0"), "cosine", vectors=9, asked=2).collect()}
     assert whole == cut and len(whole) == 3 * 51
+
+
+def test_snippets_of_all_documents(spark, tmp_path):
+    texts = ["only 7.50 USD today", "no facts", "now Out of stock", "costs $12 or more", None]
+    rows = [(3 * i + 2, t) for i, t in enumerate(texts)] + [(0, "x"), (1, "y")]
+    table(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    got = {r.doc_id: (r.price, r.source) for r in all_queries()["snippet_prices"](spark, str(tmp_path)).collect()}
+    said = "snippet_extracted"
+    assert got == {0: (19.99, said), 1: (5.0, said), 2: (7.5, said), 5: (None, None), 8: (None, said), 11: (12.0, said), 14: (None, None)}
+
+
+def test_no_ids_are_left_out(spark, tmp_path):
+    table(spark, tmp_path, "events", [(i, 40 + i % 20) for i in range(60)], "event_id long, user_id long")
+    table(spark, tmp_path, "embeddings", [(i, [0.5 * i, 1.0]) for i in range(25)], "vec_id long, embedding array<float>")
+    table(spark, tmp_path, "conversations", [(1, t, "user", f"copper lantern repair {t}") for t in range(3)], "conv_id long, turn int, role string, text string")
+    got = {r.event_id: (r.previous, r.quarter) for r in all_queries()["ext_analytic_functions"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i - 20 if i >= 20 else None, i // 20 + 1) for i in range(60)}
+    assert {tuple(r) for r in all_queries()["embedding_lookup"](spark, str(tmp_path)).collect()} == {(i, 2, 0.5 * i) for i in range(25)}
+    assert {r.turn for r in all_queries()["entity_subsets"](spark, str(tmp_path)).collect()} == {0, 1, 2}
