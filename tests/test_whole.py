@@ -3,6 +3,7 @@
 import math
 
 from searchlake.catalog import all_queries
+from searchlake.functions import querylang as L
 from searchlake.operators import retrieval as R
 from searchlake.operators import vectors as V
 
@@ -68,3 +69,10 @@ def test_no_ids_are_left_out(spark, tmp_path):
     assert got == {i: (i - 20 if i >= 20 else None, i // 20 + 1) for i in range(60)}
     assert {tuple(r) for r in all_queries()["embedding_lookup"](spark, str(tmp_path)).collect()} == {(i, 2, 0.5 * i) for i in range(25)}
     assert {r.turn for r in all_queries()["entity_subsets"](spark, str(tmp_path)).collect()} == {0, 1, 2}
+
+
+def test_language_of_the_whole_text(spark, tmp_path):
+    filler = "zzz " * 150
+    table(spark, tmp_path, "documents", [(1, filler + " ".join(sorted(L.MARKERS["fr"])) + " " + " ".join(sorted(L.SIGNATURES["fr"])), "fr"), (2, filler, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.detected, r.correct) for r in all_queries()["detect_language"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("fr", True), 2: (None, False)}
