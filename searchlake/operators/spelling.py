@@ -64,10 +64,14 @@ def perplexity(words: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def near_words(typos: DataFrame, words: DataFrame, most: int = MOST_EDITS) -> DataFrame:
-    """Dictionary words within ``most`` edits whose length differs by no more: joined on the length, not all against all."""
+    """Dictionary words within ``most`` edits whose length differs by no more: joined on the length, not all against all.
+
+    There are few lengths, so the typos are dealt out by themselves; the dictionary, which is bounded, goes to every task.
+    """
     asked = typos.select(F.col("word").alias("typo"), F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("size"))
     known = words.select("word", "freq", F.length("word").alias("size"))
-    return asked.join(known, "size").where(F.levenshtein("typo", "word", most) >= 0).select("typo", "word", "freq", F.levenshtein("typo", "word").alias("edits"))
+    asked = asked.repartition(int(typos.sparkSession.conf.get("spark.sql.shuffle.partitions")), "typo")
+    return asked.join(F.broadcast(known), "size").where(F.levenshtein("typo", "word", most) >= 0).select("typo", "word", "freq", F.levenshtein("typo", "word").alias("edits"))
 
 
 def osa_distance(a: str, b: str, most: int = MOST_EDITS) -> int:

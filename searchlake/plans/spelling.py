@@ -27,7 +27,7 @@ def spell_dictionary(spark, sf_dir):
     two as (select word, substr(form, 1, i - 1) || substr(form, i + 1) as form from (select word, form, unnest(range(1, length(form)::int + 1)) as i from one where length(word) >= 4))
     select form, count(distinct word)::bigint as words from (select * from one union select * from two) group by 1 having count(distinct word) >= 3""")
 def spell_deletes(spark, sf_dir):
-    return S.deletes(known(spark, sf_dir)).groupBy("form").agg(F.count(F.lit(1)).alias("words")).where("words >= 3")
+    return S.deletes(known(spark, sf_dir)).groupBy("form").agg(F.count(F.lit(1)).alias("words"))
 
 
 @query("G7", "P7", sql=f"with {_WORDS}, {_PAIRS} select bigram, n::bigint as n, {sql_quantised('logp')} as logp from model")
@@ -54,11 +54,9 @@ _TYPOS = f"typos as (select word as typo from counts where n between 3 and 4 and
 
 @query("J10", "P4", "O9", sql=f"with {_WORDS}, {_TYPOS}, c as (select word, freq from dict where freq >= 0.02 and regexp_matches(word, '^[a-z]+$')) select typo, word, freq, levenshtein(typo, word)::integer as edits from typos join c on abs(length(typo) - length(word)) <= 2 and levenshtein(typo, word) <= 2")
 def linear_candidates(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    """Every dictionary word against the whole dictionary."""
     words = known(spark, sf_dir)
-    counts = docs.select(F.explode(T.words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    typos = counts.where("n between 3 and 4 and word rlike '^[a-z]{6,7}$'").join(words, "word", "left_semi").select("word")
-    return S.near_words(typos, words.where("freq >= 0.02 and word rlike '^[a-z]+$'"))
+    return S.near_words(words.select("word"), words)
 
 
 @query("P8", sql=f"with {_WORDS} select word, array_to_string(list_transform(list_filter(range(1, length(word)::int + 1), lambda i: i = 1 or substr(word, i::int, 1) <> substr(word, i::int - 1, 1)), lambda i: substr(word, i::int, 1)), '') as collapsed from dict")

@@ -76,3 +76,25 @@ def test_language_of_the_whole_text(spark, tmp_path):
     table(spark, tmp_path, "documents", [(1, filler + " ".join(sorted(L.MARKERS["fr"])) + " " + " ".join(sorted(L.SIGNATURES["fr"])), "fr"), (2, filler, "en")], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.detected, r.correct) for r in all_queries()["detect_language"](spark, str(tmp_path)).collect()}
     assert got == {1: ("fr", True), 2: (None, False)}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_spelling_over_the_whole_dictionary(spark, tmp_path):
+    words = ["forêt", "forêts", "copper", "cooper", "coper", "straße", "strasse", "ab\u0142", "lamp", "lamb", "marketplaces", "marketplace"]
+    table(spark, tmp_path, "documents", [(i, " ".join(words)) for i in range(3)] + [(9, "lamp")] * 500, "doc_id long, text string")
+    got = {(r.typo, r.word): r.edits for r in all_queries()["linear_candidates"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b): edits(a, b) for a in words for b in words if edits(a, b) <= 2}
+    forms = {}
+    for w in words:
+        one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        for f in one | ({f[:i] + f[i + 1 :] for f in one for i in range(len(f))} if len(w) >= 4 else set()):
+            forms[f] = forms.get(f, 0) + 1
+    assert {r.form: r.words for r in all_queries()["spell_deletes"](spark, str(tmp_path)).collect()} == forms
