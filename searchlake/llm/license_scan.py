@@ -129,19 +129,23 @@ class Scanner:
         for i, mine in windows.items():
             notice, label, errors = self.notices[i]
             for low, high in mine:
-                at = low
-                while at < high:
-                    hit = self.patterns[i].search(text, at, high)
+                stretches = [(low, high)]
+                while stretches:
+                    at, to = stretches.pop()
+                    hit = self.patterns[i].search(text, at, to) if to - at >= max(1, len(notice) - errors) else None
                     if hit is None:
-                        break
+                        continue
                     edits = sum(hit.fuzzy_counts)
                     start = hit.start() + (len(hit.group()) - len(hit.group().lstrip()))
                     found.append(Place(label, text.count(" ", 0, start + 1) - 1, start, hit.end(), edits, 1 - edits / len(notice)))
-                    at = max(hit.end(), at + 1)
+                    # the best place of a stretch need not be its first
+                    if hit.end() > hit.start():
+                        stretches.append((at, hit.start()))
+                    stretches.append((max(hit.end(), at + 1), to))
         kept: list[Place] = []
         for place in sorted(found, key=lambda p: (p.edits, p.start, p.end, p.label)):
-            # of notices that lie over one another, those with the fewest edits count
-            if not any(k.edits < place.edits and k.start < place.end and place.start < k.end for k in kept):
+            # a place with fewer edits removes those that it covers, not longer notices around it
+            if not any(k.edits < place.edits and k.start <= place.start and place.end <= k.end for k in kept):
                 kept.append(place)
         return sorted(kept, key=lambda p: (p.start, p.end, p.label))
 
