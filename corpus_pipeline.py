@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.llm import jaccard, language, mixing, packing, quality
-from searchlake.llm.common import Scratch
+from searchlake.llm.common import Scratch, partitions
 
 #: Below this confidence a language prediction is a rejection, as is ``und``.
 SURE = 0.3
@@ -45,9 +45,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, carry=True).orderBy("position").select("row.*")
 
 
+def in_schedule_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text in the order of the Pfair schedule: even ranges of positions, sorted inside.
+
+    A written table is read back in any order of its files, so the positions are computed from the rows again.
+    """
+    total, parts = docs.count(), partitions(docs.sparkSession)
+    placed = mixing.mix(docs.select("doc_id", "source", "text"), carry=True).select("position", "row.doc_id", "row.text")
+    part = F.floor(F.col("position") * parts / max(total, 1)).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("position").select("doc_id", "text")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences with their ids."""
-    return packing.pack(docs)
+    """Pieces of packed sequences with their ids; sequences are filled in the order of the schedule."""
+    return packing.pack(in_schedule_order(docs))
 
 
 STAGES = [
