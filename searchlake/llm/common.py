@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
+import os
+import tempfile
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests on one machine, a local default is used.
+    Only on one machine, as in tests, that setting may be absent; a folder of this process is used then.
     """
     try:
         found = spark.conf.get("spark.checkpoint.dir")
@@ -26,18 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
         if "spark.checkpoint.dir" not in str(error):
             raise
         found = None
-    return (found or DEFAULT_SHARED).rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/searchlake-{os.getpid()}"
 
 
 class Scratch:
     """Intermediate Parquet tables in the shared folder; :meth:`drop` removes one that is done with.
 
-    A written table cuts the lineage: a lost executor costs the tasks it was running and no more.
+    A written table cuts the lineage: a lost executor costs the tasks it was running and no more. Results are lazy and
+    read these tables, so what is left of them goes when the process ends, or when :meth:`drop` is called.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/searchlake-{uuid.uuid4().hex}"
+        atexit.register(self._close)
+
+    def _close(self) -> None:
+        try:
+            self.drop()
+        except Exception as error:  # the JVM may be gone by then; nothing else is to be done
+            logging.getLogger(__name__).debug("scratch folder %s is left: %s", self.root, error)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -113,6 +127,39 @@ def range_column(bounds: list[int], key: str, step: int = 64):
     return F.coalesce(F.greatest(place - 1, F.lit(0)), F.lit(0))
 
 
+#: Rows of one key are told apart by a hash below this.
+TIES = 1 << 20
+_NULL = -(1 << 63)
+
+
+def order_cuts(df: DataFrame, key: str, parts: int) -> dict[int, int]:
+    """Ascending key values that cut the rows into about ``parts`` even ranges, each with the number of parts it takes.
+
+    A value that holds the rows of several parts is cut that often. Nulls count as the smallest value.
+    """
+    filled = df.select(F.coalesce(key, F.lit(_NULL)).alias(key))
+    share = [float(i / parts) for i in range(1, parts)] or [0.5]
+    row = filled.agg(F.min(key).alias("low"), F.percentile_approx(key, share, max(10_000, 20 * parts)).alias("cuts")).first()
+    if row["low"] is None:
+        return {}
+    return dict(sorted(Counter([int(row["low"]), *(int(x) for x in row["cuts"])]).items()))
+
+
+def deal_column(cuts: dict[int, int], key: str, tie) -> Column:
+    """The part of a row, in the order of (key, tie): of a value with n parts, n - 1 take its rows by ``tie``, one the rows up to the next value."""
+    if not cuts:
+        return F.lit(0)
+    value = F.coalesce(key, F.lit(_NULL))
+    first, taken = [], 0
+    for copies in cuts.values():
+        first.append(taken)
+        taken += copies
+    place = range_column(list(cuts), key) + 1
+    copies = F.element_at(F.lit(list(cuts.values())), place)
+    hot = (value == F.element_at(F.lit(list(cuts)), place)) & (copies > 1)
+    return F.element_at(F.lit(first), place) + F.when(hot, F.floor(tie * (copies - 1) / TIES)).otherwise(copies - 1)
+
+
 def range_id(bounds: list[int], keys: np.ndarray) -> np.ndarray:
     """Index of the range that holds each key (keys below the first bound: 0)."""
     return np.maximum(np.searchsorted(np.asarray(bounds, dtype=np.int64), keys, side="right") - 1, 0)

@@ -1,9 +1,12 @@
 import hashlib
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from searchlake.llm import fingerprint, license_scan, packing, repair
 from searchlake.llm.tokens import WordEncoder, vocabulary_path
@@ -96,24 +99,87 @@ def test_fingerprint_band(spark):
     assert sum(inside(f"own{i}") for i in range(400)) < 40
 
 
+def library(tool, text):
+    return tool.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def ids_of(raw):
+    return np.frombuffer(raw, "<u4").tolist()
+
+
 def test_encoder_matches_the_library():
     tool = WordEncoder(most=50)
-    odd = ["", "   ", "It's DON'T we'll", "a.b,c. d , e.", "Ab, cd. ef.\n.x ,y..z ). a_. 3. 4,\nÀÉ. ß,", "é e\u0301 İI ſ K Å", "<|endoftext|> x<|startoftext|>", "x\u00a0y. \u0085z \u2028w", "\x00\x01", "漢字 かな 한국", prose(4, 200)]
+    odd = ["", "   ", "It's DON'T we'll", "a.b,c. d , e.", "Ab, cd. ef.\n.x ,y..z ). a_. 3. 4,\nÀÉ. ß,", "é e\u0301 İI ſ K Å", "<|endoftext|> x<|startoftext|>", "x\u00a0y. \u0085z \u2028w", "\x00\x01", "漢字 かな 한국", "a \x1e b\x1ec", prose(4, 200)]
     for text in odd + [prose(i, 80) for i in range(20)]:
-        assert np.frombuffer(tool.encode([text])[0], "<u4").tolist() == tool.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert ids_of(tool.encode([text])[0]) == library(tool, text), text
+    assert [ids_of(x) for x in tool.encode(odd)] == [library(tool, x) for x in odd]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab cdé É'’s,.-0 1\n\t\x00\x1e\x85\xa0<|>ßµª²İſΣςK漢\U0001f600", max_size=70), max_size=6))
+def test_encoder_on_any_text(texts):
+    tool = encoder_of_tests()
+    assert [ids_of(x) for x in tool.encode(texts)] == [library(tool, x) for x in texts]
+
+
+@lru_cache(1)
+def encoder_of_tests():
+    return WordEncoder(most=300, stretch=50)
+
+
+def test_encoder_tells_all_pieces_apart():
+    """Pieces that a polynomial hash modulo 2^64 can't tell apart, and pieces that agree in their first bytes."""
+    tool = WordEncoder()
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, other, f"{other} {one}", one[:16], one[:17], one[:16] + "c", one[:16]]
+    assert [ids_of(x) for x in tool.encode(texts)] == [library(tool, x) for x in texts]
+    assert tool.encode([one])[0] != tool.encode([other])[0]
+
+
+def test_encoder_on_a_very_long_text():
+    """Eight megabytes, in one call: cut at blanks, with a piece longer than a stretch."""
+    text = " ".join(prose(i, 400) for i in range(2700)) + " " + "x" * 300_000 + " end"
+    tool = WordEncoder()
+    assert len(text) > 8_000_000 and ids_of(tool.encode([text])[0]) == library(tool, text)
+
+
+def documents_of(n, starts):
+    return zip(starts, [*starts[1:], n])
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_repair_round_trip(seed):
+@pytest.mark.parametrize("least", [2, 4])
+def test_repair_round_trip(seed, least):
     r = np.random.default_rng(seed)
     ids = r.choice(np.asarray([3, 4, 5, 6, 9, 70_000]), size=5000, p=[0.4, 0.3, 0.15, 0.1, 0.04, 0.01]).astype(np.uint32)
+    ids[1000:1400] = 3  # a run of one id
+    ids[2000:2600] = ids[3000:3600]  # a long copy
     starts = np.unique(np.concatenate([[0], r.integers(1, 5000, size=40)]))
-    shard = repair.Shard(repair.write_shard(ids, starts, 80_000, symbols=1 << 20))
+    shard = repair.Shard(repair.write_shard(ids, starts, 80_000, least=least))
     assert np.array_equal(shard.ids(), ids) and len(shard.seq) < len(ids) and len(shard.firsts) >= 2
-    ends = [*starts[1:], len(ids)]
-    for k, (a, b) in enumerate(zip(starts, ends)):
+    for k, (a, b) in enumerate(documents_of(len(ids), starts)):
         assert np.array_equal(shard.document(k), ids[a:b])
         assert np.array_equal(shard.document(k, 3, 11), ids[a:b][3:11])
+        assert np.array_equal(shard.document(k, b - a - 1), ids[b - 1 : b])
+    # no pair is left: plain counting inside documents, runs of one symbol without overlaps
+    counts = {}
+    ends = {int(x) - 1 for x in [*shard.begins[1:], len(shard.seq)]}
+    taken = -1
+    for i, pair in enumerate(zip(shard.seq.tolist(), shard.seq[1:].tolist())):
+        if i in ends or (pair[0] == pair[1] and taken == i - 1 and counts.get("last") == pair):
+            counts["last"] = None
+            continue
+        counts[pair], counts["last"], taken = counts.get(pair, 0) + 1, pair, i
+    counts.pop("last", None)
+    assert max(counts.values()) < least
+
+
+def test_repair_expansion_lengths_grow():
+    """Rules are made of rules: a text repeated many times ends up in few symbols."""
+    ids = np.tile(np.arange(97, dtype=np.uint32), 256)
+    shard = repair.Shard(repair.write_shard(ids, np.array([0]), 100))
+    assert len(shard.seq) < 97 and shard.sizes.max() > 97 and np.array_equal(shard.ids(), ids)
 
 
 def reference_ids(spark, docs, end):
@@ -141,6 +207,16 @@ def test_token_files(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and repair.read_tokens(repair.write_tokens(no_docs)).count() == 0
 
 
+def test_token_files_of_one_id(spark):
+    """Rows that share an id, or have none, are dealt to several tasks and stay in order."""
+    rows = [(i if i % 3 == 0 else (None if i % 3 == 1 else 300), prose(i, 20)) for i in range(900)]
+    files = repair.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), most_ids=500, parts=8)
+    assert len({r.part for r in files.where("n_tokens > 0").select("part").collect()}) == 8
+    got = sorted(repair.read_tokens(files).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert [r.doc_id for r in got] == sorted([r for r, _ in rows], key=lambda x: (x is not None, x or 0))
+
+
 def test_packing(spark, odd_docs, no_docs):
     rows = packing.pack(odd_docs, size=64, windows=2).collect()
     truth = {}
