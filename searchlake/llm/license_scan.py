@@ -1,9 +1,12 @@
 """Licence scan: fuzzy search for short notices.
 
 Every notice is cut into ``errors + 1`` pieces (pigeonhole: a place with at most that many edits
-keeps one piece whole). One automaton finds the pieces in a single pass over the text; only the
-stretches around a piece are verified with the ``regex`` library's bounded-error matching, which
-also reports the span and the number of edits.
+keeps one piece whole, shifted by at most that many characters). One automaton finds the pieces in a single pass over the
+text. Each piece names the few words at which its notice may start; there the ``regex`` library's bounded-error matching
+gives the best match, its span and its number of edits. A place starts at a word and ends at a word's end.
+
+Of places of one notice that overlap, the one with fewer edits stays, then the earlier one. A place with fewer edits
+removes those of other notices that it covers, not longer notices around it. The cost is in proportion to the text.
 
 Defined results: a null text counts as an empty one; an empty text has no words, no places, empty
 labels and score 0. Ids may be null or repeated: each row is judged alone and kept. Extra columns
@@ -12,10 +15,13 @@ are ignored. Texts of any length are scanned whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -97,64 +103,92 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), uses))
         if found:
             self.automaton.make_automaton()
-        self.patterns = [regex.compile(rf"(?b)\b(?:{regex.escape(text)}){{e<={errors}}}\b") for text, _, errors in self.notices]
-
-    def base_places(self, words: bytes) -> list[tuple[int, str]]:
-        """(word index, label) of every place of every base phrase."""
+        self.longest = max((len(text) + errors for text, _, errors in self.notices), default=0)
+        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(text)}){{e<={errors}}}") for text, _, errors in self.notices]
+        # copies of a notice are often the same to the letter
+        self.best = lru_cache(1 << 14)(self._best)
+
+    def _best(self, i: int, stretch: str) -> tuple[int, int] | None:
+        """(edits, length) of the best match of a notice from the start of a stretch to the end of a word; of equals the shortest."""
+        text, _, errors = self.notices[i]
+        best = None
+        end = stretch.find(" ", max(1, len(text) - errors))
+        while end >= 0:  # the word ends that are within reach
+            hit = self.patterns[i].fullmatch(stretch, 0, end)
+            if hit is not None and (best is None or sum(hit.fuzzy_counts) < best[0]):
+                best = sum(hit.fuzzy_counts), end
+            end = stretch.find(" ", end + 1)
+        return best
+
+    def base_places(self, words: bytes, blanks: np.ndarray) -> list[tuple[int, str]]:
+        """(word index, label) of every place of every base phrase; ``blanks`` are the places of the blanks."""
         found = []
         for phrase, label in self.base.items():
-            at = words.find(phrase)
+            hits, at = [], words.find(phrase)
             while at >= 0:
-                found.append((words.count(b" ", 0, at), label))
+                hits.append(at)
                 at = words.find(phrase, at + 1)
+            found += [(k, label) for k in np.searchsorted(blanks, hits).tolist()]
         return sorted(found)
 
-    def places(self, words: bytes) -> list[Place]:
-        """Verified places of the notices, those that do not overlap for one notice."""
-        if not self.notices or len(words) < 2:
+    def verified(self, text: str) -> list[tuple[int, Place]]:
+        """(notice, place) for every notice and every word at which it matches."""
+        if not self.notices or len(text) < 2:
+            return []
+        hits = [(end - size + 1, uses) for end, (size, uses) in self.automaton.iter(text)]
+        if not hits:
             return []
-        text = words.decode("utf-8", "surrogatepass")
-        windows: dict[int, list[list[int]]] = {}
-        for end, (size, uses) in self.automaton.iter(text):
-            for i, offset in uses:
-                notice, _, errors = self.notices[i]
-                start = end - size + 1 - offset
-                low, high = max(0, start - errors - 1), min(len(text), start + len(notice) + errors + 1)
-                mine = windows.setdefault(i, [])
-                if mine and low <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(mine[-1][0], low), max(mine[-1][1], high)
-                else:
-                    mine.append([low, high])
+        starts = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32) + 1
+        notice, aim = (np.asarray(x) for x in zip(*((i, at - offset) for at, uses in hits for i, offset in uses)))
+        slack = np.asarray([errors for *_, errors in self.notices])[notice]
+        low, high = np.searchsorted(starts, aim - slack), np.searchsorted(starts, aim + slack, side="right")
+        several = high - low
+        word = np.repeat(low - (np.cumsum(several) - several), several) + np.arange(int(several.sum()))
+        # (word, notice) pairs, each once
+        pairs = np.unique(word * len(self.notices) + np.repeat(notice, several))
         found = []
-        for i, mine in windows.items():
-            notice, label, errors = self.notices[i]
-            for low, high in mine:
-                stretches = [(low, high)]
-                while stretches:
-                    at, to = stretches.pop()
-                    hit = self.patterns[i].search(text, at, to) if to - at >= max(1, len(notice) - errors) else None
-                    if hit is None:
-                        continue
-                    edits = sum(hit.fuzzy_counts)
-                    start = hit.start() + (len(hit.group()) - len(hit.group().lstrip()))
-                    found.append(Place(label, text.count(" ", 0, start + 1) - 1, start, hit.end(), edits, 1 - edits / len(notice)))
-                    # the best place of a stretch need not be its first
-                    if hit.end() > hit.start():
-                        stretches.append((at, hit.start()))
-                    stretches.append((max(hit.end(), at + 1), to))
-        kept: list[Place] = []
-        for place in sorted(found, key=lambda p: (p.edits, p.start, p.end, p.label)):
-            # a place with fewer edits removes those that it covers, not longer notices around it
-            if not any(k.edits < place.edits and k.start <= place.start and place.end <= k.end for k in kept):
+        for word, i in zip((pairs // len(self.notices)).tolist(), (pairs % len(self.notices)).tolist()):
+            if word + 1 >= len(starts):  # behind the last word
+                continue
+            wanted, label, errors = self.notices[i]
+            at = int(starts[word])
+            hit = self.best(i, text[at : at + len(wanted) + errors + 1])
+            if hit:
+                found.append((i, Place(label, word, at, at + hit[1], hit[0], 1 - hit[0] / len(wanted))))
+        return found
+
+    def places(self, text: str) -> list[Place]:
+        """The places that stay, of those verified."""
+        by_notice: dict[int, list[Place]] = {}
+        for i, place in self.verified(text):
+            by_notice.setdefault(i, []).append(place)
+        chosen: list[Place] = []
+        for mine in by_notice.values():
+            begins: list[int] = []
+            ends: list[int] = []
+            for place in sorted(mine, key=lambda p: (p.edits, p.start)):
+                k = bisect_left(begins, place.start)
+                if (k == 0 or ends[k - 1] <= place.start) and (k == len(begins) or place.end <= begins[k]):
+                    begins.insert(k, place.start)
+                    ends.insert(k, place.end)
+                    chosen.append(place)
+        chosen.sort(key=lambda p: (p.start, p.end, p.label))
+        begins = [p.start for p in chosen]
+        kept = []
+        for place in chosen:
+            # what covers a place starts no more than a longest match before it
+            around = chosen[bisect_left(begins, place.start - self.longest) : bisect_right(begins, place.start)]
+            if not any(k.edits < place.edits and place.end <= k.end for k in around):
                 kept.append(place)
-        return sorted(kept, key=lambda p: (p.start, p.end, p.label))
+        return kept
 
     def scan(self, text: str | None) -> dict:
         words = word_string(text)
-        base, places = self.base_places(words), self.places(words)
+        blanks = np.flatnonzero(np.frombuffer(words, dtype=np.uint8) == 32)
+        base, places = self.base_places(words, blanks), self.places(words.decode("utf-8", "surrogatepass"))
         base_labels = sorted({label for _, label in base})
         return {
-            "n_words": words.count(b" ") - 1,
+            "n_words": len(blanks) - 1,
             "n_base": len(base),
             "first_word": base[0][0] if base else None,
             "last_word": base[-1][0] if base else None,

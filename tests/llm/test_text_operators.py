@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 import zlib
 from functools import lru_cache
 
@@ -46,17 +48,63 @@ def test_license_fuzzy_places():
     assert scanner.scan("GNU General Public License, version 3")["labels"] == "gpl,gpl-3.0"
 
 
-def test_license_against_every_window():
-    """Pieces lose no place that bounded-error matching over the whole text finds."""
+def fewest_edits(notice, text, at, most):
+    """(edits, ends) over all word ends: the fewest insertions, deletions and substitutions from the notice to text[at:end]."""
+    row, best, ends = list(range(len(notice) + 1)), most + 1, set()
+    for j in range(at, min(len(text), at + len(notice) + most + 1)):
+        if text[j] == " " and j > at and row[-1] <= best and row[-1] <= most:
+            ends = ends | {j} if row[-1] == best else {j}
+            best = row[-1]
+        before, row = row, [row[0] + 1]
+        for i, c in enumerate(notice):
+            row.append(min(before[i] + (c != text[j]), before[i + 1] + 1, row[i] + 1))
+    return best, ends
+
+
+def disturbed(notice, r):
+    """The notice with a few edits of all kinds, on letters and blanks."""
+    out = list(notice)
+    for _ in range(r.randrange(0, 6)):
+        at = r.randrange(len(out))
+        out[at : at + r.randrange(0, 2)] = r.choice(["", "x", " ", out[at]])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_at_every_word(seed):
+    """Every word at which a notice fits with the edits allowed is found, with the fewest edits: all starts and ends compared."""
+    r = random.Random(seed)
     scanner = license_scan.Scanner()
-    for seed in range(20):
-        notice = license_scan.NOTICES[seed % len(license_scan.NOTICES)][0]
-        broken = notice[:5] + "x" + notice[6:]
-        words = license_scan.word_string(f"{prose(seed, 30)} {broken} {prose(seed + 50, 30)}")
-        text = words.decode()
-        for (phrase, label, _), pattern in zip(scanner.notices, scanner.patterns):
-            if pattern.search(text):
-                assert any(phrase == p for p, _, _ in scanner.notices) and scanner.places(words)
+    parts = [prose(seed, 4)]
+    for _ in range(25):
+        parts += [disturbed(r.choice(license_scan.NOTICES)[0], r), r.choice(["", prose(r.randrange(99), 2), "all rights", "general public"])]
+    text = license_scan.word_string(" ".join(parts)).decode()
+    starts = [i + 1 for i, c in enumerate(text[:-1]) if c == " "]
+    expected = {}
+    for i, (notice, _, errors) in enumerate(scanner.notices):
+        for word, at in enumerate(starts):
+            edits, ends = fewest_edits(notice, text, at, errors)
+            if edits <= errors:
+                expected[i, word] = (edits, ends)
+    got = {(i, p.word): (p.edits, p.end) for i, p in scanner.verified(text)}
+    assert got.keys() == expected.keys()
+    assert all(edits == expected[k][0] and end in expected[k][1] for k, (edits, end) in got.items())
+    # what stays: no overlap within a notice, and every place that went overlaps or is covered by one with no more edits
+    kept = scanner.places(text)
+    for i, p in scanner.verified(text):
+        rivals = [k for k in kept if k.edits <= p.edits and k.start < p.end and p.start < k.end]
+        assert p in kept or rivals
+
+
+def test_license_cost_is_linear():
+    """A text of five megabytes that is nothing but notices, some with edits."""
+    line = "Relased under the MIT Licence. GNU Leser General Public License, CC BY 4.0; All rights reservd! "
+    long = line * 50_000
+    began = time.process_time()
+    got = license_scan.Scanner().scan(long)
+    assert len(long) > 4_500_000 and time.process_time() - began < 40
+    assert got["n_base"] == 100_000 and got["labels"].split(",") == ["cc-by", "gpl", "lgpl", "mit", "reserved"]
+    assert sum(p[0] == "mit" for p in got["places"]) == 50_000
 
 
 def test_license_rows(odd_docs, no_docs):
