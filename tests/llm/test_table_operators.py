@@ -173,6 +173,43 @@ def test_nearest(spark):
     assert ann.nearest(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sf, share", [("sf0.001", 0.3), ("sf0.01", 0.3), ("sf0.1", 0.1)])
+def test_nearest_on_whole_tables(spark, sf, share):
+    """Brute force for every query of the whole table: recall, and the share of vectors that were verified."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = table.collect()
+    ids, v = np.asarray([r.vec_id for r in rows]), np.asarray([r.embedding for r in rows], dtype=np.float64)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    got, verified = {}, {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        verified[r.query_id] = r.n_verified
+    hits = wanted = 0
+    for q in ids[ids % 50 == 0].tolist():
+        score = unit @ unit[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -2
+        best = set(ids[np.argsort(-score)[:5]].tolist())
+        hits, wanted = hits + len(best & got[q]), wanted + 5
+    assert hits >= 0.95 * wanted and np.mean(list(verified.values())) <= share * len(ids)
+
+
+def test_collision_threshold():
+    """Vectors at the radius, or at a part of it, reach the threshold with the probability asked for."""
+    lines, r = ann.Lines(24, 60, 1.5, 0.95), np.random.default_rng(8)
+    ways = r.standard_normal((4000, 24))
+    ways /= np.linalg.norm(ways, axis=1)[:, None]
+    for part in (1.0, 0.8, 0.5):
+        counts = (np.abs(part * ways @ lines.lines) <= lines.half).sum(axis=1)
+        assert 0.93 <= (counts >= lines.threshold(part, 1.0)).mean() <= 1
+
+
+def test_nearest_keeps_clashing_columns_and_ids(spark):
+    """Extra columns called like the results, and an id with two vectors: one list of the nearest to either."""
+    rows = [(0, [1.0, 0.0], 7, 0.1), (0, [0.0, 1.0], 8, 0.2), (1, [1.0, 0.1], 9, 0.3), (2, [0.1, 1.0], 9, 0.3), (3, [-1.0, 0.0], 9, 0.3)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double"), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2)]
+
+
 LANG = {"en": "the and with that river stone water over house", "fr": "les des avec dans été forêt rivière où maison", "de": "und der mit über straße wälder flüsse größe haus"}
 
 
