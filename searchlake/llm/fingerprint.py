@@ -1,9 +1,11 @@
 """Document fingerprints by I-Match.
 
-Terms are hashed to ``slots`` places. Document frequencies of the places are counted over all
-documents (each task counts what it reads, a bounded table; the tables are added up block by block).
-The lexicon is the places within a band of inverse document frequency. A document keeps its
-terms of the lexicon, distinct and sorted; a fingerprint hashes what remains of them in each
+Terms are words, told apart by 64-bit hashes. Document frequencies are counted term by term over all documents: each task
+counts what it reads and sends a term once with its count (or now and then, when it holds too many), and the counts are
+added up. The lexicon is the terms within a band of inverse document frequency, which is a band of shares of the
+documents. As each of its terms is in a share ``low_share`` of the documents at least, it holds no more than
+``1 / low_share`` terms for every distinct term of an average document, however many documents there are; it is broadcast.
+A document keeps its terms of the lexicon, distinct and sorted; a fingerprint hashes what remains of them in each
 of several randomised subsets of the lexicon, from half of it down to a small share, so documents
 that differ in part still agree in some.
 
@@ -19,7 +21,6 @@ single document follows itself. Extra columns are ignored; repeated rows are kep
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,6 @@ from searchlake.llm.common import order_bounds, partitions, range_id, slices, sm
 
 #: Shares of the lexicon that the randomised subsets keep: four subsets for each.
 SHARES = tuple(x for x in (1 / 2, 1 / 8, 1 / 32, 1 / 96, 1 / 256, 1 / 512) for _ in range(4))
-BLOCK = 1 << 14
 
 
 def term_hashes(text: str | None) -> np.ndarray:
@@ -41,73 +41,65 @@ def term_hashes(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w.strip(".,;:!?#%$&*|\"'()[]").encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words)))
 
 
-def count_slots(docs: DataFrame, text_col: str, slots: int) -> DataFrame:
-    """(slot, df): in how many documents the terms of a slot occur."""
+def count_terms(docs: DataFrame, text_col: str, most: int = 2_000_000) -> DataFrame:
+    """(term, df): in how many documents a term occurs. A task holds about ``most`` hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, dtype=np.int32)
+        terms, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            fresh, many = np.unique(np.concatenate(held), return_counts=True) if held else (terms[:0], counts[:0])
+            both = np.concatenate([terms, fresh])
+            order = np.argsort(both, kind="stable")
+            begins = np.flatnonzero(np.append(True, both[order[1:]] != both[order[:-1]])[: len(both)])
+            return both[order[begins]], np.add.reduceat(np.concatenate([counts, many])[order], begins) if len(begins) else counts[:0]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(terms), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(terms[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)])], names=["term", "df"])
+
         for batch in batches:
             for cut in slices(batch, "text"):
                 for text in cut.column(0).to_pylist():
                     found = term_hashes(text)
-                    counts[np.unique(found % np.uint64(slots)).astype(np.int64)] += 1
-        for block in range(0, slots, BLOCK):
-            part = counts[block : block + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds up the tables of the blocks this task was given, one dense block at a time."""
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), dtype=np.int32)
-                if block in held:
-                    held[block] += part
-                else:
-                    held[block] = part.astype(np.int64)
-        for block, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["block", "counts"])
-
-    spark = docs.sparkSession
-    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "block int, counts binary")
-    return each.repartition(partitions(spark), "block").mapInArrow(add, "block int, counts binary")
-
-
-def lexicon(docs: DataFrame, text_col: str = "text", slots: int = 1 << 20, low_share: float = 2e-4, high_share: float = 2e-2, least: int = 2) -> np.ndarray:
-    """Bit map of the slots whose document frequency lies in the band (``slots / 8`` bytes: a fixed size)."""
+                    held.append(found)
+                    size += len(found)
+                    if size > most // 2:
+                        terms, counts = merged()
+                        held, size = [], 0
+                        if len(terms) > most // 2:
+                            yield from rows()
+                            terms, counts = terms[:0], counts[:0]
+        terms, counts = merged()
+        yield from rows()
+
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, df long")
+    return each.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", low_share: float = 2e-4, high_share: float = 2e-2, least: int = 2) -> np.ndarray:
+    """Sorted hashes of the terms whose document frequency lies in the band."""
     total = docs.select(F.lit(1).alias("x")).count()
     low, high = max(least, int(low_share * total)), max(least + 1, int(high_share * total))
-
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = []
-            for data in batch.column(1).to_pylist():
-                counts = np.frombuffer(zlib.decompress(data), dtype=np.int64)
-                bits.append(np.packbits((counts >= low) & (counts <= high)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["block", "bits"])
-
-    keep = np.zeros(slots, dtype=bool)
-    for row in count_slots(docs, text_col, slots).mapInArrow(band, "block int, bits binary").collect():  # slots / 8 bytes in all
-        part = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8)).astype(bool)
-        keep[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part[: max(0, slots - row["block"] * BLOCK)]
-    return np.packbits(keep)
+    kept = count_terms(docs, text_col).where(F.col("df").between(low, high)).select("term")
+    return np.sort(kept.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))  # bounded, see above
 
 
 class Fingerprinter:
-    """Fingerprints over a lexicon bit map."""
+    """Fingerprints over a lexicon (sorted hashes)."""
 
-    def __init__(self, bits: np.ndarray, slots: int, shares=SHARES, seed: int = 7):
-        self.keep = np.unpackbits(bits)[:slots].astype(bool)
-        self.slots = slots
-        salts = np.random.default_rng(seed).integers(1, 1 << 63, size=len(shares), dtype=np.uint64) | np.uint64(1)
-        self.salts = salts
+    def __init__(self, lexicon: np.ndarray, shares=SHARES, seed: int = 7):
+        self.lexicon = lexicon
+        self.salts = np.random.default_rng(seed).integers(1, 1 << 63, size=len(shares), dtype=np.uint64) | np.uint64(1)
         self.limits = np.asarray([min(int(s * 2**64), 2**64 - 1) for s in shares], dtype=np.uint64)
 
     def words(self, text: str | None) -> np.ndarray:
         """One 32-bit hash per subset; 0: no term of the document is in it. The last: how it was made."""
         terms = term_hashes(text)
-        known = terms[self.keep[(terms % np.uint64(self.slots)).astype(np.int64)]]
+        place = np.searchsorted(self.lexicon, terms)
+        known = terms[self.lexicon[np.minimum(place, len(self.lexicon) - 1)] == terms] if len(self.lexicon) else terms[:0]
         kind = 1 if len(known) else (2 if len(terms) else 0)
         chosen = known if len(known) else terms
         out = np.zeros(len(self.salts) + 1, dtype=np.uint32)
@@ -144,7 +136,7 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = 1 << 20) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses to that and to the next document.
 
     Texts are dealt out by ranges of the id; the first document of a range also goes, as an onlooker,
@@ -153,10 +145,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = lexicon(slim, "text", slots)
+    band = lexicon(slim, "text")
     count = partitions(spark)
     bounds = order_bounds(slim, "doc_id", 4 * count)
-    shared = spark.sparkContext.broadcast((bits.tobytes(), bounds))  # slots / 8 bytes and 4 ids a partition
+    shared = spark.sparkContext.broadcast((band, bounds))  # the lexicon and 4 ids a partition
     no_id = slim.where("doc_id is null").limit(1).count() > 0
     lowest = None if no_id else (bounds[0] if bounds else None)
 
@@ -179,7 +171,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), order, taken.column(0), taken.column(1).cast(pa.string())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Fingerprinter(np.frombuffer(shared.value[0], dtype=np.uint8), slots)
+        tool = Fingerprinter(shared.value[0])
         last_part = max(len(shared.value[1]) - 1, 0)
         waiting, closed, rows = None, None, []
 

@@ -3,10 +3,12 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -137,14 +139,59 @@ def test_fingerprints(odd_docs, no_docs, spark):
 
 
 def test_fingerprint_band(spark):
-    """The lexicon holds the terms within the band of document frequency, counted over all rows."""
-    texts = [(i, " ".join(["everywhere", f"pair{i // 2}", f"own{i}"] + [f"block{i // 20}"])) for i in range(400)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    bits = fingerprint.lexicon(docs, "text", 1 << 16, 0.002, 0.2)
-    keep = np.unpackbits(bits)[: 1 << 16].astype(bool)
-    inside = lambda w: keep[int(fingerprint.term_hashes(w)[0] % np.uint64(1 << 16))]
-    assert inside("pair3") and inside("block7") and not inside("everywhere")
-    assert sum(inside(f"own{i}") for i in range(400)) < 40
+    """The lexicon holds exactly the terms within the band of document frequency, counted over all rows."""
+    texts = [(i, " ".join(["everywhere", f"pair{i // 2}", f"own{i}", f"own{i}"] + [f"block{i // 20}"])) for i in range(400)]
+    docs = spark.createDataFrame([*texts, (400, None), (401, "")], "doc_id long, text string").repartition(5)
+    band = fingerprint.lexicon(docs, "text", 0.002, 0.2)
+    wanted = {f"pair{i}" for i in range(200)} | {f"block{i}" for i in range(20)}
+    assert band.tolist() == sorted(int(fingerprint.term_hashes(w)[0]) for w in wanted)
+    counts = {r.term: r.df for r in fingerprint.count_terms(docs, "text", most=40).collect()}
+    assert {np.uint64(k & (1 << 64) - 1).item(): v for k, v in counts.items()} == {
+        int(fingerprint.term_hashes(w)[0]): n for w, n in Counter(w for _, t in texts for w in set(t.split())).items()
+    }
+
+
+def plain_imatch(texts, low_share=2e-4, high_share=2e-2, least=2):
+    """I-Match by the book: for every subset of the lexicon, the terms of each text that are in it."""
+    terms = [{w.strip(".,;:!?#%$&*|\"'()[]") for w in (t or "").lower().split()} for t in texts]
+    df = Counter(w for x in terms for w in x)
+    low, high = max(least, int(low_share * len(texts))), max(least + 1, int(high_share * len(texts)))
+    band = {w for w, n in df.items() if low <= n <= high}
+    salts = np.random.default_rng(7).integers(1, 1 << 63, size=len(fingerprint.SHARES), dtype=np.uint64) | np.uint64(1)
+    mask = (1 << 64) - 1
+
+    def inside(word, k):
+        x = xxhash.xxh3_64_intdigest(word.encode()) * int(salts[k]) & mask
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return x ^ x >> 32 <= min(int(fingerprint.SHARES[k] * 2**64), mask)
+
+    out = []
+    for mine in terms:
+        chosen = mine & band or mine
+        out.append((bool(mine & band), bool(mine), *(frozenset(w for w in chosen if inside(w, k)) for k in range(len(salts)))))
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    both = [(x, y) for x, y in zip(a[2:], b[2:]) if x or y]
+    return sum(x == y for x, y in both) / len(both) if both else 0.0
+
+
+def test_fingerprints_against_plain_imatch(spark):
+    """Equal subsets give equal hashes and different ones different hashes, for all documents, and likenesses follow."""
+    texts = [prose(i % 30, 60 + i % 7) + f" Extra{i % 11}, word{i % 4}." for i in range(120)] + ["", "only-here", prose(5, 64)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs).collect()}
+    plain = plain_imatch(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (got[i].fingerprint == got[j].fingerprint) == (plain[i] == plain[j])
+        parts = [[got[x].fingerprint[8 * k : 8 * k + 8] for k in range(len(fingerprint.SHARES))] for x in (i, (i + 1) % len(texts))]
+        for k, (x, y) in enumerate(zip(*parts)):
+            assert (x == "0" * 8) == (not plain[i][2 + k]) and (x == y) == (plain[i][2 + k] == plain[(i + 1) % len(texts)][2 + k])
+        assert got[i].near_next == plain_likeness(plain[i], plain[(i + 1) % len(texts)])
 
 
 def library(tool, text):
