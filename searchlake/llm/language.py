@@ -1,12 +1,15 @@
 """Language identification with string kernels.
 
-A text becomes the set of its byte n-grams of one to four bytes (blended spectrum, presence only), hashed to
-``BUCKETS`` places. The kernel of two texts is the cosine of their sets. A bounded number of landmark texts per language
+The sets of byte n-grams of one to four bytes (blended spectrum, presence only), hashed to ``BUCKETS`` places, are taken of
+every ``PART`` bytes of a text. A text is the mean of its parts' sets, each of length one, brought to length one again; the
+kernel of two texts is the product of these, that is the cosine of their sets if both have one part. So long texts do not
+fill all places, and score as their parts would. A bounded number of landmark texts per language
 spans the Nyström space; one ridge regression per language against the others is solved there. Documents are scored in
 batches, as two matrix products.
 
 Training uses at most ``most_rows`` documents of each language, never of the held-out fold, chosen by a hash of the
-id; only their hashed sets (``BUCKETS / 8`` bytes each) reach the driver.
+id, of the ``most_languages`` languages with most of them; whole texts are used, and only what they become (``BUCKETS`` half-precision
+numbers each, compressed) reaches the driver.
 
 Defined results: a null text, or one without any letter, gets ``und`` with score 0; so does every text if there is nothing to
 learn from. Documents with null ids belong to the fold of the empty string. Extra columns are ignored; repeated rows are kept.
@@ -15,6 +18,7 @@ Whole texts count, whatever their length.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,43 +31,51 @@ from searchlake.llm.common import fold_column, fold_of, slices, small_batches
 
 BUCKETS = 1 << 13
 ORDERS = 4
+PART = 4096
 
 
-def presence(text: str, out: np.ndarray) -> None:
-    """Marks the n-gram buckets of a text in ``out``."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+def presence(data: np.ndarray, out: np.ndarray, stop: int) -> None:
+    """Marks in ``out`` the buckets of the n-grams that start before ``stop``."""
     rolled = np.zeros(len(data), dtype=np.uint32)
     for n in range(1, ORDERS + 1):
         if len(data) < n:
             break
         rolled = rolled[: len(data) - n + 1] * np.uint32(0x01000193) ^ (data[n - 1 :] + np.uint32(n * 0x3D4D51CB & 0xFFFFFFFF))
-        out[(rolled * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)] = 1
+        out[(rolled[:stop] * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)] = 1
 
 
-def has_letter(text: str) -> bool:
-    return any(c.isalpha() for c in text)
+def profile(text: str) -> np.ndarray:
+    """The vector of a text, of length one (zero for an empty text)."""
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    total = np.zeros(BUCKETS, dtype=np.float32)
+    for at in range(0, len(data), PART):
+        part = data[at : at + PART + ORDERS - 1].astype(np.uint32)
+        found = np.zeros(BUCKETS, dtype=np.float32)
+        presence(part, found, PART)
+        total += found * (min(PART, len(data) - at) / np.sqrt(found.sum()))
+    return total / np.sqrt(max(float(total @ total), 1e-30))
 
 
-def normalised(sets: np.ndarray) -> np.ndarray:
-    return sets / np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1))
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in text)
 
 
 @dataclass
 class Kernel:
-    """Landmark sets (normalised, as columns), and the map from kernel values to one output per language."""
+    """Landmark texts (as columns), and the map from kernel values to one output per language."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
 
-    def outputs(self, sets: np.ndarray) -> np.ndarray:
-        return (normalised(sets) @ self.landmarks) @ self.weights + self.bias
+    def outputs(self, texts: np.ndarray) -> np.ndarray:
+        return (texts @ self.landmarks) @ self.weights + self.bias
 
 
-def solve(sets: np.ndarray, targets: np.ndarray, languages: list[str], landmarks_each: int = 48, ridge: float = 1e-2) -> Kernel:
+def solve(texts: np.ndarray, targets: np.ndarray, languages: list[str], landmarks_each: int = 48, ridge: float = 1e-2) -> Kernel:
     """One-versus-rest kernel ridge regression in the Nyström space of the landmarks."""
-    x = normalised(sets.astype(np.float32))
+    x = texts.astype(np.float32)
     marks = np.concatenate([np.flatnonzero(targets == k)[:landmarks_each] for k in range(len(languages))])
     land = x[marks].T.copy()
     inner = (land.T @ land).astype(np.float64)
@@ -81,18 +93,18 @@ def solve(sets: np.ndarray, targets: np.ndarray, languages: list[str], landmarks
     return Kernel(languages, land, (root @ beta).astype(np.float32), (aim - mean @ beta).astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 400) -> Kernel | None:
-    """A model from at most ``most_rows`` documents of each language, held-out fold excluded."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 400, most_languages: int = 200) -> Kernel | None:
+    """A model from at most ``most_rows`` documents of each of ``most_languages`` languages, held-out fold excluded."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold_column("doc_id") != 2))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
     if not counts:
         return None
     # a share of the hash range that holds a little more than wanted; the surplus is cut off below
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, (1.3 * most_rows + 40) / n)).otherwise(share)
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * most_rows + 40) / n))))
+    share = F.element_at(shares, F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     rows = rows.where(place < share).select("doc_id", "text", "lang", place.alias("place"))
 
@@ -102,25 +114,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 names, langs, places, sets = [], [], [], []
                 for name, text, lang, where in zip(*(part.column(i).to_pylist() for i in range(4))):
                     if text and has_letter(text):
-                        found = np.zeros(BUCKETS, dtype=np.uint8)
-                        presence(text, found)
                         names.append(name)
                         langs.append(lang)
                         places.append(where)
-                        sets.append(np.packbits(found).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(langs, pa.string()), pa.array(places, pa.float64()), pa.array(sets, pa.binary())], names=["doc_id", "lang", "place", "bits"])
+                        sets.append(zlib.compress(profile(text).astype(np.float16).tobytes(), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(langs, pa.string()), pa.array(places, pa.float64()), pa.array(sets, pa.binary())], names=["doc_id", "lang", "place", "vector"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, lang string, place double, bits binary").collect(), key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0, bytes(r["bits"])))
+    got = sorted(rows.mapInArrow(run, "doc_id long, lang string, place double, vector binary").collect(), key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0, bytes(r["vector"])))
     kept: dict[str, list[bytes]] = {}
     for r in got:
         mine = kept.setdefault(r["lang"], [])
         if len(mine) < most_rows:
-            mine.append(bytes(r["bits"]))
+            mine.append(bytes(r["vector"]))
     languages = sorted(kept)
     if not languages:
         return None
-    sets = np.unpackbits(np.frombuffer(b"".join(b for x in languages for b in kept[x]), dtype=np.uint8).reshape(-1, BUCKETS // 8), axis=1)
-    return solve(sets, np.repeat(np.arange(len(languages)), [len(kept[x]) for x in languages]), languages)
+    texts = np.frombuffer(b"".join(zlib.decompress(b) for x in languages for b in kept[x]), dtype=np.float16).reshape(-1, BUCKETS)
+    return solve(texts, np.repeat(np.arange(len(languages)), [len(kept[x]) for x in languages]), languages)
 
 
 def predict(docs: DataFrame, model: Kernel | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -134,7 +144,7 @@ def predict(docs: DataFrame, model: Kernel | None, id_col: str = "doc_id", text_
         for i, text in enumerate(texts):
             if kernel is not None and text and has_letter(text):
                 known[i] = True
-                presence(text, sets[i])
+                sets[i] = profile(text)
         if not known.any():
             return ["und"] * len(texts), [0.0] * len(texts)
         out = kernel.outputs(sets)

@@ -5,9 +5,10 @@ document. Chunks of ``CHUNK`` bytes (each reads on into the next one, so no plac
 each filter; a small hidden layer gives a log-odds per chunk, and their mean, weighted by how many of a
 chunk's bytes are text, is the document's log-odds.
 
-Training uses at most ``most_rows`` labelled documents of each class, never of the held-out fold, and
-at most ``chunks_each`` chunks of each, drawn from all over the text; the set is chosen by a hash of the id. The
-share of the classes among all labels of the training folds shifts the log-odds.
+Training uses at most ``most_rows`` labelled documents of each class, never of the held-out fold, chosen by a hash of the id,
+and of these, in that order, as many as have ``most_bytes`` of text together (a document longer than what is left is passed
+over). Of a document that is used the whole text is. The share of the classes among all labels of the training folds
+shifts the log-odds.
 
 Defined results: a null text counts as empty; an empty one is scored as a chunk without text. Documents with null ids belong to
 the fold of the empty string and are scored. Ids that labels contradict themselves about, and null labels, are not learned from.
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +88,29 @@ class ByteNet:
         total = np.add.reduceat(self.chunk_logits(rows, fill) * weight, firsts) / np.add.reduceat(weight, firsts)
         return 1 / (1 + np.exp(-(np.clip(total + self.shift, -30, 30).astype(np.float64))))
 
-    def train(self, rows: np.ndarray, fill: np.ndarray, labels: np.ndarray, epochs: int = 14, batch: int = 128, rate: float = 3e-3, seed: int = 5) -> None:
+    def gradients(self, rows: np.ndarray, fill: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of chunks, for every parameter."""
+        pooled, at = self._pool(rows, True)
+        x = np.concatenate([np.maximum(pooled, 0), fill[:, None]], axis=1)
+        hidden = x @ self.p["h"] + self.p["c"]
+        active = np.maximum(hidden, 0)
+        error = (1 / (1 + np.exp(-np.clip(active @ self.p["o"] + self.p["d"][0], -30, 30))) - labels) / len(rows)
+        back = (error[:, None] * self.p["o"]) * (hidden > 0)
+        into = (back @ self.p["h"].T)[:, :FILTERS] * (pooled > 0)
+        # each filter learns from the window that gave its maximum
+        places = at[:, :, None] * STRIDE + np.arange(WIDTH)
+        seen = np.take_along_axis(rows[:, None, :], places, axis=2)  # chunk, filter, byte
+        window = self.p["emb"][seen].reshape(len(rows), FILTERS, WIDTH * SIZE)
+        spread = (into[:, :, None] * self.p["w"].T[None]).reshape(-1, SIZE)
+        flat = seen.reshape(-1)
+        return {
+            "o": active.T @ error, "d": error.sum(keepdims=True), "h": x.T @ back, "c": back.sum(axis=0), "b": into.sum(axis=0),
+            "w": np.einsum("cf,cfk->kf", into, window, optimize=True),
+            "emb": np.stack([np.bincount(flat, spread[:, k], minlength=256) for k in range(SIZE)], axis=1),
+        }
+
+    def train(self, rows: np.ndarray, fill: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 3e-3, seed: int = 5) -> None:
+        """Adam steps over chunks in random order."""
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         steps = epochs * -(-len(rows) // batch)
@@ -96,27 +118,9 @@ class ByteNet:
             order = r.permutation(len(rows))
             for a in range(0, len(rows), batch):
                 pick = order[a : a + batch]
-                pooled, at = self._pool(rows[pick], True)
-                x = np.concatenate([np.maximum(pooled, 0), fill[pick, None]], axis=1)
-                hidden = x @ self.p["h"] + self.p["c"]
-                active = np.maximum(hidden, 0)
-                error = (1 / (1 + np.exp(-np.clip(active @ self.p["o"] + self.p["d"][0], -30, 30))) - labels[pick]) / len(pick)
-                back = (error[:, None] * self.p["o"]) * (hidden > 0)
-                into = (back @ self.p["h"].T)[:, :FILTERS] * (pooled > 0)
-                # each filter learns from the window that gave its maximum
-                places = at[:, :, None] * STRIDE + np.arange(WIDTH)
-                seen = np.take_along_axis(rows[pick][:, None, :], places, axis=2)  # chunk, filter, byte
-                window = self.p["emb"][seen].reshape(len(pick), FILTERS, WIDTH * SIZE)
-                grads = {
-                    "o": active.T @ error, "d": error.sum(keepdims=True), "h": x.T @ back, "c": back.sum(axis=0), "b": into.sum(axis=0),
-                    "w": np.einsum("cf,cfk->kf", into, window, optimize=True),
-                }
-                spread = (into[:, :, None] * self.p["w"].T[None]).reshape(-1, SIZE)
-                flat = seen.reshape(-1)
-                grads["emb"] = np.stack([np.bincount(flat, spread[:, k], minlength=256) for k in range(SIZE)], axis=1)
                 t += 1
                 step = rate * min(1, 2 * (1 - t / (steps + 1)))
-                for k, g in grads.items():
+                for k, g in self.gradients(rows[pick], fill[pick], labels[pick]).items():
                     g = g.astype(np.float32)
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
@@ -127,18 +131,28 @@ def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 1500, chunks_each: int = 4) -> ByteNet | None:
-    """A network trained on at most ``most_rows`` documents of each class, held-out fold excluded."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 1500, most_bytes: int = 1 << 22) -> ByteNet | None:
+    """A network trained on at most ``most_rows`` documents and ``most_bytes`` of each class, held-out fold excluded."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("y")).where("doc_id is not null and y in (0, 1)")
     marked = marked.where(fold_column("doc_id") != 2).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
-    chosen: dict[int, int] = {}
+    order: dict[int, int] = {}  # of at most 2 * most_rows ids
     for y in (0, 1):
-        order = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-        chosen.update((r["doc_id"], y) for r in order.select("doc_id").collect())
-    ids = sorted(chosen)
+        first = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+        order.update((r["doc_id"], y) for r in first.select("doc_id").collect())
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + CHUNK)
+    sizes = {r["doc_id"]: r["n"] for r in slim.where(F.col("doc_id").isin(list(order))).groupBy("doc_id").agg(size.alias("n")).collect()}
+    chosen, left = {}, {0: most_bytes, 1: most_bytes}
+    for name, y in order.items():
+        if sizes.get(name, most_bytes + 1) <= left[y]:
+            left[y] -= sizes[name]
+            chosen[name] = y
+    if not chosen:
+        return None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,15 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 names, chunks, fills = [], [], []
                 for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     rows, fill, _ = chunked([_utf8(text)])
-                    take = np.random.default_rng(xxhash.xxh32_intdigest(str(name))).permutation(len(rows))[:chunks_each]
-                    names += [name] * len(take)
-                    chunks += [rows[k].tobytes() for k in take]
-                    fills += fill[take].tolist()
+                    names += [name] * len(rows)
+                    chunks += [row.tobytes() for row in rows]
+                    fills += fill.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(chunks, pa.binary()), pa.array(fills, pa.float32())], names=["doc_id", "chunk", "fill"])
 
-    small_batches(docs.sparkSession)
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isin(ids))
-    got = wanted.mapInArrow(cut, "doc_id long, chunk binary, fill float").orderBy("doc_id", "chunk").collect()  # rows of 264 bytes, bounded as above
+    wanted = slim.where(F.col("doc_id").isin(list(chosen)))
+    got = wanted.mapInArrow(cut, "doc_id long, chunk binary, fill float").orderBy("doc_id", "chunk").collect()  # most_bytes a class, as counted above
     if not got:
         return None
     rows = np.frombuffer(b"".join(bytes(r["chunk"]) for r in got), dtype=np.uint8).reshape(len(got), -1)

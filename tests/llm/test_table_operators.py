@@ -237,11 +237,155 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Distinct n-grams of one to four bytes of the lower-cased text."""
+    data = text.lower().encode()
+    return {data[i : i + n] for n in range(1, 5) for i in range(len(data) - n + 1)}
+
+
 def test_language_kernel_is_a_cosine():
-    sets = np.zeros((2, language.BUCKETS), dtype=np.float32)
-    language.presence("river stone", sets[0])
-    language.presence("RIVER stone", sets[1])
-    assert np.array_equal(sets[0], sets[1]) and abs(float(language.normalised(sets)[0] @ language.normalised(sets)[1]) - 1) < 1e-6
+    """Up to hash collisions, the kernel of two short texts is the cosine of their sets of n-grams."""
+    texts = ["river stone", "RIVER stone", "maison", "a river of stones, a house", "é", "x"]
+    for one in texts:
+        for other in texts:
+            a, b = plain_grams(one), plain_grams(other)
+            kernel = float(language.profile(one) @ language.profile(other))
+            assert abs(kernel - len(a & b) / (len(a) * len(b)) ** 0.5) < 0.08
+    assert np.array_equal(language.profile(texts[0]), language.profile(texts[1])) and not language.profile("").any()
+
+
+def test_language_parts_cover_the_text():
+    """A long text is the mean of its parts' sets; n-grams across cuts belong to the part they start in."""
+    text = prose(4, 3000)
+    data = text.encode()
+    total = np.zeros(language.BUCKETS)
+    for at in range(0, len(data), language.PART):
+        seen = np.zeros(language.BUCKETS)
+        for n in range(1, 5):
+            for i in range(at, min(at + language.PART, len(data) - n + 1)):
+                one = np.zeros(language.BUCKETS, dtype=np.float32)
+                language.presence(np.frombuffer(data[i : i + n], dtype=np.uint8).astype(np.uint32), one, 1)
+                if i % 37 == 0 or i > at + language.PART - 5:
+                    seen[one > 0] = 1
+        total += seen
+    mine = language.profile(text)
+    assert not (mine[total > 0] == 0).any() and abs(float(mine @ mine) - 1) < 1e-5
+
+
+def test_language_is_kernel_ridge_regression():
+    """With every text as a landmark the Nyström solution is the plain one: dual ridge regression, classes weighing the same."""
+    words = {k: v.split() for k, v in LANG.items()}
+    r = np.random.default_rng(6)
+    texts = [(k, " ".join(r.choice(words[k], size=12))) for k in words for _ in range(9 + len(k))]
+    x = np.stack([language.profile(t) for _, t in texts]).astype(np.float64)
+    names = sorted(words)
+    target = np.asarray([names.index(k) for k, _ in texts])
+    ridge = 1e-2
+    model = language.solve(x, target, names, landmarks_each=100, ridge=ridge)
+    weight = 1 / np.bincount(target)[target]
+    y = np.eye(3)[target]
+    mean, aim = weight @ x / weight.sum(), weight @ y / weight.sum()
+    root = np.sqrt(weight)[:, None]
+    a = root * (x - mean)
+    dual = np.linalg.solve(a @ a.T + ridge / 3 * np.eye(len(x)), root * (y - aim))
+    fresh = np.stack([language.profile(" ".join(r.choice(words[k], size=9))) for k in names for _ in range(5)])
+    plain = aim + (fresh - mean) @ (a.T @ dual)
+    assert np.abs(model.outputs(fresh) - plain).max() < 5e-3
+
+
+def test_language_of_very_long_texts(spark):
+    """A megabyte of varied words scores like a page of them: the sets of parts do not fill up."""
+    r = np.random.default_rng(3)
+    stems = {k: [w[:i] + x + w[i:] for w in v.split() for i in range(len(w)) for x in "aeiou" + v.replace(" ", "")[:9]] for k, v in LANG.items()}
+    write = lambda k, n: " ".join(r.choice(stems[k], size=n))
+    rows = [(i, write(k, 60 + i), k) for i in range(90) for k in [list(LANG)[i % 3]]]
+    rows += [(1000 + i, write(k, 160_000), None) for i, k in enumerate(LANG)] + [(2000 + i, write(k, 400), None) for i, k in enumerate(LANG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {x.doc_id: x for x in language.predict(docs, language.fit(docs)).collect()}
+    for i, k in enumerate(LANG):
+        assert len(rows[90 + i][1]) > 900_000
+        assert got[1000 + i].lang_pred == got[2000 + i].lang_pred == k and got[1000 + i].score >= got[2000 + i].score - 0.1
+
+
+def test_classifiers_keep_clashing_columns(spark):
+    """Extra columns called like the results travel in the row and change nothing."""
+    rows = [(i, prose(i, 30), "en" if i % 2 else "fr", 0.5, "x", True, 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, held_out boolean, predicted int")
+    got = language.predict(docs, language.fit(docs), carry=True)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "row"] and sorted(got.select("row.*").collect()) == sorted(docs.collect())
+    labels = spark.createDataFrame([(i, i % 2, 0.1) for i in range(40)], "doc_id long, quality int, score double")
+    got = quality.score_documents(docs, quality.fit(docs, labels), carry=True)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted", "row"] and sorted(got.select("row.*").collect()) == sorted(docs.collect())
+
+
+def naive_logit(net, chunk, fill):
+    """The network on one chunk, a window and a filter at a time."""
+    pooled = []
+    for f in range(quality.FILTERS):
+        best = -np.inf
+        for place in range(0, quality.CHUNK, quality.STRIDE):
+            total = 0.0
+            for k in range(quality.WIDTH):
+                for e in range(quality.SIZE):
+                    total += float(net.p["emb"][chunk[place + k], e]) * float(net.p["w"][k * quality.SIZE + e, f])
+            best = max(best, total)
+        pooled.append(max(best + float(net.p["b"][f]), 0.0))
+    x = np.asarray([*pooled, fill])
+    hidden = np.maximum(x @ net.p["h"].astype(np.float64) + net.p["c"], 0)
+    return float(hidden @ net.p["o"] + net.p["d"][0])
+
+
+def test_quality_network_against_a_naive_one():
+    net = quality.ByteNet()
+    net.p["b"] += np.float32(0.1)
+    texts = ["Some bytes été, 123".encode() * 9, prose(1, 70).encode(), b""]
+    rows, fill, firsts = quality.chunked(texts)
+    logits = [naive_logit(net, row, f) for row, f in zip(rows, fill)]
+    assert np.allclose(net.chunk_logits(rows, fill), logits, atol=1e-4)
+    for k, text in enumerate(texts):
+        stop = firsts[k + 1] if k + 1 < len(texts) else len(rows)
+        weight = fill[firsts[k] : stop] + 1e-3
+        mean = (np.asarray(logits[firsts[k] : stop]) * weight).sum() / weight.sum()
+        assert abs(net.score(texts)[k] - 1 / (1 + np.exp(-mean))) < 1e-5
+
+
+def test_quality_gradients_against_differences():
+    """Every kind of parameter, a few places each, by central differences in double precision."""
+    net, r = quality.ByteNet(), np.random.default_rng(4)
+    net.p = {k: v.astype(np.float64) + r.normal(0, 0.05, v.shape) for k, v in net.p.items()}
+    rows, fill, _ = quality.chunked([prose(i, 80 + i).encode() for i in range(6)])
+    labels = (np.arange(len(rows)) % 2).astype(np.float64)
+
+    def loss():
+        pooled, _ = net._pool(rows)
+        x = np.concatenate([np.maximum(pooled, 0), fill[:, None]], axis=1)
+        z = np.maximum(x @ net.p["h"] + net.p["c"], 0) @ net.p["o"] + net.p["d"][0]
+        return np.mean(np.log1p(np.exp(z)) - labels * z)
+
+    found = net.gradients(rows, fill, labels)
+    for name, values in net.p.items():
+        flat = values.reshape(-1)
+        steep = np.argsort(-np.abs(found[name].reshape(-1)))[:6]
+        for at in {*steep.tolist(), *r.integers(0, len(flat), size=3).tolist()}:
+            keep, step = flat[at], 1e-6
+            flat[at] = keep + step
+            high = loss()
+            flat[at] = keep - step
+            low = loss()
+            flat[at] = keep
+            assert abs((high - low) / (2 * step) - found[name].reshape(-1)[at]) < 1e-6 + 1e-3 * abs(found[name].reshape(-1)[at]), name
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the classes apart stands at the end of long texts; a text beyond the bound is passed over."""
+    rows = [(i, prose(i, 700) + (" ### %%% $$$" * 90 if i % 2 else prose(i + 500, 150))) for i in range(60)] + [(60, prose(1, 4000)), (61, prose(2, 4000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    net = quality.fit(docs, labels, most_bytes=300_000)
+    got = {r.doc_id: r for r in quality.score_documents(docs, net).collect()}
+    bad, good = ([got[i].score for i in range(60) if i % 2 == k and got[i].held_out] for k in (1, 0))
+    assert max(bad) < min(good)
+    assert quality.fit(docs, labels, most_bytes=10) is None
 
 
 def test_quality(spark):
