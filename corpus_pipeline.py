@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 from searchlake.llm import jaccard, language, mixing, packing, quality
 from searchlake.llm.common import Scratch, partitions
 
-#: Below this confidence a language prediction is a rejection, as is ``und``.
-SURE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
-    judged = language.predict(docs, language.fit(docs), carry=True)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
+    """Documents that the classifier gives no language (``und``) go; all stay if there is nothing to learn from.
+
+    Low scores are kept: they come from very short texts and from texts in two languages.
+    """
+    model = language.fit(docs)
+    return docs if model is None else language.predict(docs, model, carry=True).where("lang_pred <> 'und'").select("row.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as low quality go."""
+    """Documents that the classifier predicts as low quality go; all stay if there is nothing to learn from."""
     net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, net, carry=True).where("predicted = 1").select("row.*")
+    return docs if net is None else quality.score_documents(docs, net, carry=True).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
