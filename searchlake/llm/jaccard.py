@@ -4,14 +4,20 @@ A document is the set of its distinct five-word shingles (64-bit hashes); equal
 runs over classes. If two sets are similar enough they share a shingle among the first
 ``n - ceil(t n) + 1`` of each under *any* global order. Three orders are used, all of them by rarity first
 (levels of how often a shingle was seen; a table of fixed size) and by a different permutation within a level. Pairs that meet
-under the first order, with sizes and positions that leave enough overlap possible, must also meet under the
-second and third; only what passes all three, and a bound from bit signatures of the sets, is verified on the whole sets.
+under the first order, with sizes, positions and bit signatures that leave enough overlap possible, must also meet under the
+second and third: the prefixes of these orders are compared first, and only for pairs that meet in all of them do whole sets
+travel and are verified.
+
+A shingle's level counts what every task met twice or more, and an estimate from every ``EVERY``-th occurrence for
+shingles that tasks meet only once. Levels set the order, never what is found.
 
 No group's pairs are all written out. First every set is compared with two of those that it meets: in each of its
 shingles' groups a pivot of like size and a neighbour are at hand, and of all these the one met most often and the one that
-holds a shared shingle earliest are taken. What is similar is merged into components. Only groups that
+holds a shared shingle earliest are taken. Groups of frequent shingles are cut into buckets of some thousand rows, whose pivots are
+compared with each other. What is similar is merged into components. Only groups that
 still hold several components go on: the rows outside the group's main component are compared with the rows of other
-components. Every pair that could be similar is so either verified or already connected.
+components of like size. The smaller set of a pair must hold the shared shingle in the shorter prefix that sets of equal size need, so
+groups in which no set does give no pairs. Every pair that could be similar is so either verified or already connected.
 
 Classes have 64-bit keys; two of a billion different sets share one with a probability of 3 %.
 
@@ -29,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +43,9 @@ from searchlake.llm.common import Scratch, slices, small_batches
 
 WIDTH, PERCENT = 5, 80
 SLOTS, BLOCK = 1 << 22, 1 << 14
+EVERY = 128
+BAND = 1.12  # sets whose sizes differ by less than this factor are of like size
+CROWD = 12  # levels above this are cut into buckets
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -68,7 +78,12 @@ def order_keys(hashes: np.ndarray, levels: np.ndarray, which: int) -> np.ndarray
     mixed = (hashes ^ _MIX[which]) * _MIX[(which + 2) % len(_MIX)]
     mixed ^= mixed >> np.uint64(29)
     mixed *= _MIX[(which + 3) % len(_MIX)]
-    return (mixed >> np.uint64(6)) | (levels[(hashes % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(58))
+    return (mixed >> np.uint64(6)) | (level_of(hashes, levels).astype(np.uint64) << np.uint64(58))
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray, which: int, length: int) -> np.ndarray:
+    """The first ``length`` elements of a set in order ``which``, in no order themselves."""
+    return hashes[np.argpartition(order_keys(hashes, levels, which), length - 1)[:length]] if length < len(hashes) else hashes
 
 
 def as_long(hashes: np.ndarray) -> np.ndarray:
@@ -88,21 +103,26 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sig", pa.list_(pa.int64())), ("h", pa.int64()), ("seen", pa.int32())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sig", pa.list_(pa.int64())), ("h", pa.int64()), ("seen", pa.int32()), ("hits", pa.int32())])
 
 
 def _describe(width: int, most: int = 4_000_000):
-    """doc rows (doc_id, n, c), and rows (h, seen) of shingles that a task met in several sets."""
+    """doc rows (doc_id, n, c, sig), and rows (h, seen, hits) of shingles: met in several sets, or one of ``EVERY`` met in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, known = [], 0, set()
+        held, size, known, turn = [], 0, set(), TaskContext.get().partitionId() << 20
 
         def repeated() -> pa.RecordBatch:
+            nonlocal turn
+            turn += 1
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts > 1
-            n = int(many.sum())
+            drawn = (values ^ np.uint64(xxhash.xxh3_64_intdigest(turn.to_bytes(8, "little")))) * _MIX[0]
+            hit = (counts == 1) & ((drawn >> np.uint64(32)) % np.uint64(EVERY) == 0)
+            kept = (counts > 1) | hit
+            n = int(kept.sum())
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(n, pa.list_(pa.int64())), pa.array(as_long(values[many])), pa.array(counts[many].astype(np.int32))], schema=_SETS)
+            seen = np.where(hit, 0, counts)[kept].astype(np.int32)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(n, pa.list_(pa.int64())), pa.array(as_long(values[kept])), pa.array(seen), pa.array(hit[kept].astype(np.int32))], schema=_SETS)
 
         for batch in batches:
             for cut in slices(batch, "text"):
@@ -118,7 +138,7 @@ def _describe(width: int, most: int = 4_000_000):
                         held.append(found)
                         size += len(found)
                 n = cut.num_rows
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], schema=_SETS)
                 if size > most:
                     yield repeated()
                     held, size, known = [], 0, set()
@@ -138,7 +158,9 @@ def _levels(seen: DataFrame) -> bytes:
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["block", "data"])
 
     slot = F.pmod(F.col("h"), F.lit(SLOTS))  # SLOTS is a power of two, so the sign does not matter
-    counted = seen.groupBy("h").agg(F.sum("seen").alias("total")).where(F.col("total") >= 2)
+    counted = seen.groupBy("h").agg(F.sum("seen").alias("total"), F.sum("hits").alias("hits"))
+    # a single hit may be all there is of a shingle
+    counted = counted.select("h", (F.col("total") + F.when(F.col("hits") >= 2, F.col("hits") * EVERY).otherwise(0)).alias("total")).where(F.col("total") >= 2)
     counted = counted.groupBy(slot.cast("int").alias("slot")).agg(F.floor(F.log2(F.max("total").cast("double"))).cast("int").alias("level"))
     counted = counted.select((F.col("slot") / BLOCK).cast("int").alias("block"), (F.col("slot") % BLOCK).alias("at"), F.least("level", F.lit(31)).alias("level"))
     table = np.zeros(SLOTS, dtype=np.uint8)
@@ -151,17 +173,21 @@ def _read_levels(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=np.uint8)
 
 
-_TOKENS = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_TOKENS = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("buckets", pa.int32()), ("bucket", pa.int32())])
+
 
+def level_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(hashes % np.uint64(SLOTS)).astype(np.int64)]
 
-def _prefixes(width: int, percent: int, shared):
+
+def _prefixes(width: int, percent: int, shared, crowd: int):
     """The first order's prefix of every set that the task has not met yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, known = _read_levels(shared.value), set()
         for batch in batches:
             for cut in slices(batch, "text"):
-                tokens, keys, sizes, places = [], [], [], []
+                tokens, keys, sizes, places, buckets, mine = [], [], [], [], [], []
                 for text in cut.column(0).to_pylist():
                     found = shingles(text, width)
                     if not len(found):
@@ -180,22 +206,25 @@ def _prefixes(width: int, percent: int, shared):
                     keys.append(np.full(p, key, dtype=np.int64))
                     sizes.append(np.full(p, n, dtype=np.int32))
                     places.append(np.arange(p, dtype=np.int32))
+                    cut_in = (1 << np.maximum(level_of(found[first], levels).astype(np.int32) - crowd, 0)).astype(np.int32)
+                    buckets.append(cut_in)
+                    mine.append(((key >> 20 & 0x7FFFFFFF) % cut_in).astype(np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (keys, sizes, places))], schema=_TOKENS)
+                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (keys, sizes, places, buckets, mine))], schema=_TOKENS)
 
     return run
 
 
 def _whole_sets(width: int, percent: int, shared, bits):
-    """(c, n, whole set in the second order, prefix in the third) of documents whose id may be asked for."""
-    schema = pa.schema([("c", pa.int64()), ("items", pa.list_(pa.int64())), ("third", pa.list_(pa.int64()))])
+    """(c, whole set, short hashes of its prefixes in the second and third order) of documents whose id may be asked for."""
+    schema = pa.schema([("c", pa.int64()), ("items", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, asked, known = _read_levels(shared.value), bits.value, set()
         for batch in batches:
             for cut in slices(batch, "text"):
                 keep = asked[cut.column(1).to_numpy()]
-                keys, items, thirds = [], [], []
+                keys, items, firsts = [], [], ([], [])
                 for text in cut.column(0).filter(pa.array(keep)).to_pylist():
                     found = shingles(text, width)
                     if not len(found):
@@ -207,10 +236,11 @@ def _whole_sets(width: int, percent: int, shared, bits):
                         known.add(key)
                     p = prefix_length(len(found), percent)
                     keys.append(key)
-                    items.append(as_long(found[np.argsort(order_keys(found, levels, 1), kind="stable")]))
-                    thirds.append(as_long(found[np.argsort(order_keys(found, levels, 2), kind="stable")[:p]]))
+                    items.append(as_long(found))
+                    for which in (1, 2):
+                        firsts[which - 1].append(prefix(found, levels, which, p).view(np.uint32)[::2].view(np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(thirds, pa.list_(pa.int64()))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in firsts)], schema=schema)
 
     return run
 
@@ -226,6 +256,11 @@ def _possible(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Co
     return sizes & (F.least(n - pos, m - at) >= _needed(n, m, percent))
 
 
+def _early(n: Column, pos: Column, percent: int) -> Column:
+    """The element stands early enough for the set to be the smaller one of a pair."""
+    return n - pos >= _needed(n, n, percent)
+
+
 def _close(n: Column, sig: Column, m: Column, other: Column, percent: int) -> Column:
     """The signatures leave enough overlap possible."""
     apart = sum((F.bit_count(sig[i].bitwiseXOR(other[i])) for i in range(1, SIGNATURE)), F.bit_count(sig[0].bitwiseXOR(other[0])))
@@ -263,15 +298,14 @@ class _Join:
         involved = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").select("c", "rep")
         bits = self.spark.sparkContext.broadcast(self.asked(involved))
         texts = self.docs.select("text", _id_slot("doc_id").alias("slot"))
-        sets = self.scratch.save(texts.mapInArrow(_whole_sets(self.width, self.percent, levels, bits), "c long, items array<long>, third array<long>"), f"sets-{name}")
-        sets = sets.join(involved.select("c"), "c", "left_semi")
-        joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("xa"), F.col("third").alias("ta")), "a")
-        joined = joined.join(sets.select(F.col("c").alias("b"), F.col("items").alias("xb"), F.col("third").alias("tb")), "b")
-        na, nb = F.size("xa"), F.size("xb")
-        first = lambda x, n: F.slice(x, F.lit(1), (n - F.ceil(n * self.percent / F.lit(100)) + 1).cast("int"))
-        meets = F.arrays_overlap(first("xa", na), first("xb", nb))
-        both = F.size(F.array_intersect("xa", "xb"))
-        links = joined.where(meets).where(F.arrays_overlap("ta", "tb")).where(both * 100 >= (na + nb - both) * self.percent)
+        sets = self.scratch.save(texts.mapInArrow(_whole_sets(self.width, self.percent, levels, bits), "c long, items array<long>, second array<int>, third array<int>"), f"sets-{name}")
+        # prefixes of the other orders first; whole sets move only for pairs that meet in all orders
+        first = lambda c: sets.select(F.col("c").alias(c), F.struct("second", "third").alias(f"p{c}"))
+        meet = pairs.join(first("a"), "a").join(first("b"), "b").where(F.arrays_overlap("pa.second", "pb.second") & F.arrays_overlap("pa.third", "pb.third"))
+        whole = lambda c: sets.select(F.col("c").alias(c), F.col("items").alias(f"x{c}"))
+        joined = meet.select("a", "b").join(whole("a"), "a").join(whole("b"), "b")
+        na, nb, both = F.size("xa"), F.size("xb"), F.size(F.array_intersect("xa", "xb"))
+        links = joined.where(both * 100 >= (na + nb - both) * self.percent)
         out = self.scratch.save(links.select("a", "b").distinct(), f"links-{name}")
         self.scratch.drop(f"sets-{name}")
         bits.unpersist()
@@ -302,27 +336,28 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         state = tuple(row)
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and class_key of every document."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     job = _Join(slim, width, percent)
     scratch = job.scratch
-    found = scratch.save(slim.mapInArrow(_describe(width), "doc_id long, n long, c long, sig array<long>, h long, seen int"), "described")
+    found = scratch.save(slim.mapInArrow(_describe(width), "doc_id long, n long, c long, sig array<long>, h long, seen int, hits int"), "described")
     rows = found.where("h is null").select("doc_id", "n", "c")
     classes = scratch.save(found.where("h is null").where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig")), "classes")
     levels = spark.sparkContext.broadcast(_levels(found.where("h is not null")))
 
-    tokens = slim.select("text").mapInArrow(_prefixes(width, percent, levels), "token long, c long, n int, pos int")
+    tokens = slim.select("text").mapInArrow(_prefixes(width, percent, levels, crowd), "token long, c long, n int, pos int, buckets int, bucket int")
     # sets of like size side by side, and of these the ones with the shingle early on first: they are likeliest to be similar
-    tokens = tokens.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(1.12)).cast("int"))
-    group = Window.partitionBy("token").orderBy("s", "pos", "c")
-    alike = Window.partitionBy("token", "s").orderBy("pos", "c").rowsBetween(Window.unboundedPreceding, 0)
+    tokens = tokens.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int"))
+    group = Window.partitionBy("token", "bucket").orderBy("s", "pos", "c")
+    alike = Window.partitionBy("token", "bucket", "s").orderBy("pos", "c").rowsBetween(Window.unboundedPreceding, 0)
     row = F.struct("c", "n", "pos")
-    tokens = tokens.select("token", "c", "n", "pos", F.lag(row).over(group).alias("one"), F.lead("c").over(group).alias("after"), F.first(row).over(alike).alias("pivot"), F.coalesce(F.lag("c", 2).over(group), F.lead("c", 2).over(group)).alias("third"))
-    tokens = tokens.where(F.col("one").isNotNull() | F.col("after").isNotNull())
-    three = F.col("third").isNotNull() | (F.col("one").isNotNull() & F.col("after").isNotNull())
+    crowded = F.col("buckets") > 1
+    tokens = tokens.select("token", "c", "n", "pos", "s", "buckets", F.lag(row).over(group).alias("one"), F.lead("c").over(group).alias("after"), F.first(row).over(alike).alias("pivot"), F.coalesce(F.lag("c", 2).over(group), F.lead("c", 2).over(group)).alias("third"))
+    tokens = tokens.where(F.col("one").isNotNull() | F.col("after").isNotNull() | crowded)
+    three = F.col("third").isNotNull() | (F.col("one").isNotNull() & F.col("after").isNotNull()) | crowded
     shared = scratch.save(tokens.withColumn("three", three).drop("after", "third"), "shared")
 
     others = F.explode(F.array_distinct(F.array("pivot", "one")))
@@ -332,6 +367,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = pairs.groupBy("c", "o.c").agg(F.count(F.lit(1)).alias("k"), F.min("o.pos").alias("at")).toDF("c", "oc", "k", "at")
     met = met.groupBy("c").agg(F.max_by("oc", F.struct("k", "oc")).alias("x"), F.min_by("oc", F.struct("at", "oc")).alias("y"))
     pairs = met.select("c", F.explode(F.array_distinct(F.array("x", "y"))).alias("o"))
+    # the pivots of a crowd's buckets with each other
+    heads = Window.partitionBy("token").orderBy("s", "pos", "c")
+    leader = Window.partitionBy("token", "s").orderBy("pos", "c").rowsBetween(Window.unboundedPreceding, 0)
+    tops = shared.where(crowded & (F.col("pivot.c") == F.col("c"))).select("c", "n", "pos", F.array(F.lag(row).over(heads), F.first(row).over(leader)).alias("o"))
+    tops = tops.select("c", "n", "pos", F.explode(F.array_distinct("o")).alias("o"))
+    tops = tops.where(F.col("o").isNotNull() & (F.col("o.c") != F.col("c"))).where(_possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent))
+    pairs = pairs.union(tops.select("c", "o.c"))
     pairs = scratch.save(pairs.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct(), "pairs-1")
     links = job.verify(pairs, classes, levels, "1")
     stars = connected(links, scratch, "stars-1")
@@ -340,16 +382,20 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = F.col("one")
     twos = shared.where(~F.col("three") & one.isNotNull()).where((one["c"] != F.col("c")) & _possible(F.col("n"), F.col("pos"), one["n"], one["pos"], percent))
     twos = twos.select(F.least("c", one["c"]).alias("a"), F.greatest("c", one["c"]).alias("b"))
-    labelled = shared.where("three").select("token", "c", "n", "pos").join(stars, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    labelled = shared.where("three").select("token", "c", "n", "pos", "s").join(stars, "c", "left").withColumn("label", F.coalesce("label", "c"))
     kinds = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = kinds.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1")
     labelled = labelled.join(mixed.select("token", "main"), "token").join(classes.select("c", "sig"), "c")
     labelled = scratch.save(labelled, "mixed")
-    left = labelled.where("label <> main").select("token", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("label").alias("l1"), F.col("sig").alias("s1"))
-    right = labelled.select("token", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("label").alias("l2"), F.col("sig").alias("s2"))
-    on = (left["token"] == right["token"]) & (F.col("l1") != F.col("l2")) & _possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
-    on = on & _close(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), percent)
-    more = left.join(right, on).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).union(twos).distinct()
+    # the smaller set of a pair, with the bands that the larger one may be in; one of both is outside the main component
+    bands = F.explode(F.sequence(F.col("s"), F.col("s") + math.ceil(math.log(100 / percent) / math.log(BAND))))
+    side = lambda k: [F.col(x).alias(f"{x}{k}") for x in ("c", "n", "pos", "label", "sig")]
+    small = labelled.where(_early(F.col("n"), F.col("pos"), percent)).select("token", bands.alias("s"), (F.col("label") != F.col("main")).alias("out"), *side(1))
+    large = labelled.select("token", "s", "main", *side(2))
+    on = (small["token"] == large["token"]) & (small["s"] == large["s"]) & (F.col("label1") != F.col("label2")) & (F.col("out") | (F.col("label2") != F.col("main")))
+    on = on & (((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2"))))) & _possible(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent)
+    on = on & _close(F.col("n1"), F.col("sig1"), F.col("n2"), F.col("sig2"), percent)
+    more = small.join(large, on).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).union(twos).distinct()
     more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     extra = job.verify(more, classes, levels, "2")
     stars = connected(stars.toDF("a", "b").union(extra), scratch, "stars-2")

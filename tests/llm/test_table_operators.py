@@ -30,8 +30,8 @@ def plain_components(rows):
     return sorted(out, key=str)
 
 
-def joined(docs):
-    return sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(docs).collect()], key=str)
+def joined(docs, **options):
+    return sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(docs, **options).collect()], key=str)
 
 
 def edited(text, places):
@@ -63,6 +63,30 @@ def test_jaccard_chain(spark):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == plain_components(rows)
 
 
+def test_jaccard_crowds(spark):
+    """Groups cut into buckets: near copies of one text, and texts around one template that are not similar enough."""
+    base, template = prose(5, 160), prose(6, 100)
+    rows = [(i, edited(base, [(37 * i) % 160, (53 * i + 11) % 160])) for i in range(70)]
+    rows += [(100 + i, f"{prose(1000 + i, 24 + i % 5)} {template}") for i in range(60)]
+    rows += [(200 + i, f"{template} {prose(1000 + i % 9, 6)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    expected = plain_components(rows)
+    assert joined(docs, crowd=1) == expected == joined(docs, crowd=3) and len({c for *_, c in expected}) > 50
+
+
+def test_jaccard_rarity_over_tasks(spark):
+    """A shingle that every task meets once is known as frequent: estimated from a share of its places."""
+    common = " ".join(f"same{k}" for k in range(404))
+    rows = [(i, f"{common} own{i} own{i} own{i} own{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(600)
+    seen = docs.mapInArrow(jaccard._describe(5), "doc_id long, n long, c long, sig array<long>, h long, seen int, hits int").where("h is not null")
+    levels = jaccard._read_levels(jaccard._levels(seen))
+    shared = jaccard.level_of(jaccard.shingles(common), levels)
+    assert (shared >= 7).mean() > 0.85  # 600 places, of which 4.7 are drawn
+    alone = np.concatenate([jaccard.shingles(f"own{i} own{i} own{i} own{i} x{i}") for i in range(200)])
+    assert (jaccard.level_of(alone, levels) == 0).mean() > 0.99
+
+
 def test_jaccard_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert joined(odd_docs) == plain_components(rows)
