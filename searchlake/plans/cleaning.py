@@ -37,7 +37,7 @@ def page_prices(spark, sf_dir):
 _SNIPPETS = "case doc_id % 3 when 0 then 'Now 19.99 USD in stock' when 1 then 'Price: $5' else text end"
 
 
-@query("C5", sql=f"select doc_id, try_cast(coalesce(nullif(regexp_extract(s, '([0-9]+[.][0-9]+) USD', 1), ''), nullif(regexp_extract(s, '[$]([0-9]+)', 1), '')) as double) as price, 'snippet_extracted' as source from (select doc_id, {_SNIPPETS} as s from documents where doc_id % 3 < 2)")
+@query("C5", sql=f"select doc_id, try_cast(coalesce(nullif(regexp_extract(s, '([0-9]+[.][0-9]+) USD', 1), ''), nullif(regexp_extract(s, '[$]([0-9]+)', 1), '')) as double) as price, case when regexp_matches(s, '[0-9]+[.][0-9]+ USD|[$][0-9]') or regexp_matches(lower(s), '\\b(in stock|out of stock)\\b') then 'snippet_extracted' end as source from (select doc_id, {_SNIPPETS} as s from documents)")
 def snippet_prices(spark, sf_dir):
     """Every snippet is searched; one without a price or an availability (documents have no titles, so no names) has no source."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.expr(_SNIPPETS).alias("s"))

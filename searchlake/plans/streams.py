@@ -80,7 +80,7 @@ def ext_rollup(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("int").alias("g"), F.count(F.lit(1)).alias("n"))
 
 
-@query("W11", sql="select event_id, lag(event_id) over w as previous, ntile(4) over w::integer as quarter from events where user_id < 50 window w as (partition by user_id order by event_id)")
+@query("W11", sql="select event_id, lag(event_id) over w as previous, ntile(4) over w::integer as quarter from events window w as (partition by user_id order by event_id)")
 def ext_analytic_functions(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     return load(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(w).alias("previous"), F.ntile(4).over(w).alias("quarter"))

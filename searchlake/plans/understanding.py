@@ -48,7 +48,7 @@ def query_operators(spark, sf_dir):
     return q.select("conv_id", "turn", *found, F.array_join(L.operator_values(F.col("text"), "site", True), "|").alias("site_excluded"))
 
 
-@query("Q12", sql=f"select doc_id, {L.sql_language('left(text, 400)')} as detected, coalesce({L.sql_language('left(text, 400)')} = lang, false) as correct from documents")
+@query("Q12", sql=f"select doc_id, {L.sql_language('text')} as detected, coalesce({L.sql_language('text')} = lang, false) as correct from documents")
 def detect_language(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "lang", L.language(F.col("text")).alias("detected"))
     return d.select("doc_id", "detected", F.coalesce(F.col("detected") == F.col("lang"), F.lit(False)).alias("correct"))
