@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlake.functions.dialect import quantised
@@ -29,18 +29,30 @@ def dictionary(docs: DataFrame, size: int = 15_000, least: int = 3) -> DataFrame
     words = docs.select(F.explode(words_of(F.col("text"))).alias("word")).where(F.rlike("word", F.lit(r"^\p{L}{3,}$")))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     counts = counts.orderBy(F.desc("n"), "word").limit(size)  # the size of the dictionary
-    return counts.join(F.broadcast(counts.agg(F.max("n").alias("m"))), F.lit(True)).select("word", quantised(F.col("n") / F.col("m").cast("double")).alias("freq"))
+    most = F.max("n").over(Window.partitionBy())  # over these rows, no more
+    return counts.select("word", quantised(F.col("n") / most.cast("double")).alias("freq"))
+
+
+def held(words: DataFrame) -> DataFrame:
+    """A dictionary, which is bounded, as a table at hand: the corpus is counted once, however often it is used."""
+    return words.sparkSession.createDataFrame(words.toArrow())
+
+
+def _without_one(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word))))
 
 
 def delete_forms(word: Column) -> Column:
     """The distinct strings with one character less, and for words from four characters on two less."""
-    n = F.length(word)
-    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, n)))
+    one = _without_one(word)
+    return F.when(F.length(word) < 3, F.array().cast("array<string>")).when(F.length(word) < 4, F.array_distinct(one)).otherwise(F.array_distinct(F.concat(one, F.flatten(F.transform(one, _without_one)))))
 
-    def twice(firsts: Column) -> Column:
-        return F.flatten(F.transform(firsts, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))))
 
-    return F.when(n < 3, F.array().cast("array<string>")).when(n < 4, F.array_distinct(one)).otherwise(F.array_distinct(F.concat(one, twice(one))))
+def meeting_forms(word: Column) -> Column:
+    """The word and what is left of it without one or two characters. Words within two edits, swaps of neighbours included, share one."""
+    one = F.when(F.length(word) >= 2, _without_one(word)).otherwise(F.array().cast("array<string>"))
+    two = F.when(F.length(word) >= 3, F.flatten(F.transform(one, _without_one))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(word), one, two))
 
 
 def deletes(words: DataFrame) -> DataFrame:
@@ -63,15 +75,20 @@ def perplexity(words: DataFrame, model: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(quantised(F.exp(-F.sum("logp") / F.count(F.lit(1)))).alias("perplexity"))
 
 
-def near_words(typos: DataFrame, words: DataFrame, most: int = MOST_EDITS) -> DataFrame:
-    """Dictionary words within ``most`` edits whose length differs by no more: joined on the length, not all against all.
+def meetings(typos: DataFrame, words: DataFrame) -> DataFrame:
+    """(typo, word, freq) of all that share a form: an equi-join on the delete neighbourhoods.
 
-    There are few lengths, so the typos are dealt out by themselves; the dictionary, which is bounded, goes to every task.
+    Words longer than any in the dictionary can be near to it are left alone: they would have very many forms.
     """
-    asked = typos.select(F.col("word").alias("typo"), F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("size"))
-    known = words.select("word", "freq", F.length("word").alias("size"))
-    asked = asked.repartition(int(typos.sparkSession.conf.get("spark.sql.shuffle.partitions")), "typo")
-    return asked.join(F.broadcast(known), "size").where(F.levenshtein("typo", "word", most) >= 0).select("typo", "word", "freq", F.levenshtein("typo", "word").alias("edits"))
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    asked = typos.where(F.length("word") <= longest + MOST_EDITS).select(F.col("word").alias("typo"), F.explode(meeting_forms(F.col("word"))).alias("form"))
+    known = words.select("word", "freq", F.explode(meeting_forms(F.col("word"))).alias("form"))
+    return asked.join(known, "form").select("typo", "word", "freq").distinct()
+
+
+def near_words(typos: DataFrame, words: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+    """Dictionary words within ``most`` (at most two) edits, as a scan of the whole dictionary would find them."""
+    return meetings(typos, words).where(F.levenshtein("typo", "word", most) >= 0).select("typo", "word", "freq", F.levenshtein("typo", "word").alias("edits"))
 
 
 def osa_distance(a: str, b: str, most: int = MOST_EDITS) -> int:
@@ -116,10 +133,10 @@ class Speller:
             self.words.setdefault(typo, RARE)
         self.protected = frozenset(protected)
         counts: dict[str, int] = {}
-        self.by_length: dict[int, list[str]] = {}
+        #: Words that the seeds bring along, which no dictionary table has.
+        self.added = [w for w in self.words if w not in words]
         self.by_sound: dict[str, list[str]] = {}
         for word in self.words:
-            self.by_length.setdefault(len(word), []).append(word)
             if word.isascii():
                 self.by_sound.setdefault(sound_key(word), []).append(word)
             for i in range(len(word) - 1):
@@ -137,16 +154,10 @@ class Speller:
         a, b = self.perplexity(word), self.perplexity(candidate)
         return a / b if a > 0 and b > 0 else 1.0
 
-    def candidates(self, word: str) -> list[tuple[int, float, str]]:
-        """(edits, -frequency, word), nearest and most frequent first."""
-        found = []
-        for size in range(len(word) - MOST_EDITS, len(word) + MOST_EDITS + 1):
-            for other in self.by_length.get(size, ()):
-                if other != word and self.words[other] >= RARE and (set(other[:3]) & set(word[:3])):
-                    edits = osa_distance(word, other)
-                    if edits <= MOST_EDITS:
-                        found.append((edits, -self.words[other], other))
-        return sorted(found)
+    def candidates(self, word: str, others) -> list[tuple[int, float, str]]:
+        """(edits, -frequency, word) of those among ``others`` that can stand for the word, nearest and most frequent first."""
+        fit = [o for o in {*others, *self.added} if o != word and self.words.get(o, 0) >= RARE and set(o[:3]) & set(word[:3])]
+        return sorted((edits, -self.words[o], o) for o in fit if (edits := osa_distance(word, o)) <= MOST_EDITS)
 
     def sounds_like(self, word: str) -> str | None:
         """A common word of the same sound that the input drops letters of."""
@@ -156,8 +167,8 @@ class Speller:
                 return other
         return None
 
-    def correct(self, word: str) -> str | None:
-        """The correction of a lower-case word, or nothing."""
+    def correct(self, word: str, others=()) -> str | None:
+        """The correction of a lower-case word, or nothing; ``others`` are the dictionary words that share a delete form with it."""
         if len(word) < 3 or (len(word) == 3 and word in self.words) or word in self.protected:
             return None
         if word in self.seeds:
@@ -165,7 +176,7 @@ class Speller:
         freq = self.words.get(word)
         if freq is not None and freq >= COMMON:
             return None
-        near = self.candidates(word)
+        near = self.candidates(word, others)
         if not near:
             return self.sounds_like(word) if freq is None and word.isascii() else None
         edits, minus, best = near[0]
@@ -178,7 +189,7 @@ class Speller:
         return best if self.strangeness(word, best) >= STRANGE else None
 
 
-_SKIP = re.compile(r"[./\\@#$]|\d")
+_SKIP = r"[./\\@#$]|\d"
 
 
 def correct_words(words: DataFrame, known: DataFrame) -> DataFrame:
@@ -190,11 +201,13 @@ def correct_words(words: DataFrame, known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(shared.value)
         for batch in batches:
-            rows = [(w, speller.correct(w)) for w in batch.column(0).to_pylist() if w and len(w) >= 4 and not _SKIP.search(w)]
+            rows = [(w, speller.correct(w, others)) for w, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             rows = [r for r in rows if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], schema=schema)
 
-    return words.select("word").distinct().mapInArrow(run, "word string, corrected string")
+    asked = words.select("word").distinct().where((F.length("word") >= 4) & ~F.rlike("word", F.lit(_SKIP)))
+    near = meetings(asked, known).groupBy(F.col("typo").alias("word")).agg(F.collect_list(F.col("word")).alias("others"))  # of the dictionary, so bounded
+    return asked.join(near, "word", "left").select("word", F.coalesce("others", F.array().cast("array<string>")).alias("others")).mapInArrow(run, "word string, corrected string")
 
 
 def correct_queries(queries: DataFrame, known: DataFrame, key: str) -> DataFrame:

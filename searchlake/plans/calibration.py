@@ -15,8 +15,8 @@ _P = f"with e as (select *, {T.sql_entropy('text')} as h from documents), p as (
 
 
 def predictions(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").withColumn("h", T.entropy(F.col("text")))
-    d = d.select("doc_id", "source", quantised(T.quality_from(F.col("text"), F.col("h")) * 0.9 + (F.col("doc_id") % 10) * 0.01).alias("p"))
+    d = load(spark, sf_dir, "documents").withColumn("m", T.measures(F.col("text")))
+    d = d.select("doc_id", "source", quantised(T.quality_from(F.col("text"), F.col("m")) * 0.9 + (F.col("doc_id") % 10) * 0.01).alias("p"))
     return d.join(load(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("y")), "doc_id")
 
 

@@ -187,18 +187,18 @@ _EXTRACTED = f"select page_id, url, {T.sql_page_title('html')} as title, {T.sql_
 @query("F1", "S1", sql=f"with e as ({_EXTRACTED}), h as (select *, {T.sql_entropy('content')} as h from e) select page_id, {T.sql_indexworthy('title', 'content', 'h')} as worthy from h")
 def indexworthy_pages(spark, sf_dir):
     e = ingest.extract(pages(spark, sf_dir))
-    return e.withColumn("h", T.entropy(F.col("content"))).select("page_id", T.indexworthy(F.col("title"), F.col("content"), F.col("h")).alias("worthy"))
+    return e.withColumn("m", T.measures(F.col("content"))).select("page_id", T.indexworthy(F.col("title"), F.col("content"), F.col("m")).alias("worthy"))
 
 
 @query("S1", "S6", "S8", sql=f"""with e as ({_EXTRACTED}), h as (select *, {T.sql_entropy('content')} as h from e)
     select url, title, content, {sql_quantised(U.sql_authority('url'))} as authority, {sql_quantised(T.sql_quality_from('content', 'h'))} as quality, {U.sql_content_type('url')} as content_type
     from h where {T.sql_indexworthy('title', 'content', 'h')}""")
 def crawl_to_index(spark, sf_dir):
-    e = ingest.extract(pages(spark, sf_dir)).withColumn("h", T.entropy(F.col("content")))
-    e = e.where(T.indexworthy(F.col("title"), F.col("content"), F.col("h")))
+    e = ingest.extract(pages(spark, sf_dir)).withColumn("m", T.measures(F.col("content")))
+    e = e.where(T.indexworthy(F.col("title"), F.col("content"), F.col("m")))
     return e.select(
         "url", "title", "content", quantised(U.authority(F.col("url"))).alias("authority"),
-        quantised(T.quality_from(F.col("content"), F.col("h"))).alias("quality"), U.content_type(F.col("url")).alias("content_type"),
+        quantised(T.quality_from(F.col("content"), F.col("m"))).alias("quality"), U.content_type(F.col("url")).alias("content_type"),
     )
 
 

@@ -79,8 +79,9 @@ def signal_quality(spark, sf_dir):
     return rows.select("query_id", "doc_id", quantised(overlap).alias("overlap"), quantised((0.5 + 0.5 * F.col("score") / F.col("best")) * (0.3 + 0.7 * overlap)).alias("quality"))
 
 
-@query("R10", sql=f"""with q as (select item_id as query_id, list_distinct({R.sql_distinctive('text')}) as t from benchmark), d as (select doc_id, ' ' || lower(text) as hay from documents where doc_id % 50 = 0)
-    select query_id, doc_id, {sql_quantised("len(list_filter(t, lambda w: contains(hay, ' ' || w || ' ') or contains(hay, w || '.') or contains(hay, w || ' '))) / len(t)::double")} as overlap from q join d on (q.query_id % 20) = (d.doc_id // 50) % 20""")
+@query("R10", sql=f"""with {R.sql_bm25()}, {R.SQL_RANKED}, q as (select query_id, list_distinct({R.sql_distinctive('text')}) as t from qs), d as (select doc_id, ' ' || lower(text) as hay from ds)
+    select query_id, doc_id, {sql_quantised("case when len(t) = 0 then 1 else len(list_filter(t, lambda w: contains(hay, ' ' || w || ' ') or contains(hay, w || '.') or contains(hay, w || ' '))) / len(t)::double end")} as overlap
+    from floored join q using (query_id) join d using (doc_id)""")
 def topic_overlap(spark, sf_dir):
     """Of all retrieved pairs: the share of the query's distinctive terms that the document has; 1 for a query without any."""
     asks, d = asked(spark, sf_dir), docs(spark, sf_dir)
@@ -244,19 +245,19 @@ def char_entropy(spark, sf_dir):
 
 @query("T8", sql=f"select doc_id, {sql_quantised(T.sql_alpha_ratio('text'))} as ratio from documents")
 def alpha_ratio(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", quantised(T.alpha_ratio(F.col("text"))).alias("ratio"))
+    return docs(spark, sf_dir).select("doc_id", quantised(T.alpha_ratio(F.col("text"), T.measures(F.col("text")))).alias("ratio"))
 
 
 @query("T9", sql=_h(f"select doc_id, {sql_quantised(T.sql_quality_from('text', 'h'))} as quality from e"))
 def content_quality(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("h", T.entropy(F.col("text")))
-    return d.select("doc_id", quantised(T.quality_from(F.col("text"), F.col("h"))).alias("quality"))
+    d = docs(spark, sf_dir).withColumn("m", T.measures(F.col("text")))
+    return d.select("doc_id", quantised(T.quality_from(F.col("text"), F.col("m"))).alias("quality"))
 
 
 @query("F1", sql=_h(f"select doc_id, {T.sql_indexworthy('source', 'text', 'h')} as worthy from e"))
 def indexworthy(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("h", T.entropy(F.col("text")))
-    return d.select("doc_id", T.indexworthy(F.col("source"), F.col("text"), F.col("h")).alias("worthy"))
+    d = docs(spark, sf_dir).withColumn("m", T.measures(F.col("text")))
+    return d.select("doc_id", T.indexworthy(F.col("source"), F.col("text"), F.col("m")).alias("worthy"))
 
 
 @query("F2", "F3", sql=f"select doc_id, {P.sql_junk('t')} as junk, {P.sql_junk('t', 'doc_id % 2 = 0')} as junk_lenient from (select doc_id, case doc_id % 9 when 0 then 'Video Item Preview' when 1 then 'a b c' when 2 then ' ' else text end as t from documents)")

@@ -15,7 +15,7 @@ _PAIRS = "pairs as (select word, substr(word, i, 2) as bigram from (select word,
 
 
 def known(spark, sf_dir):
-    return S.dictionary(load(spark, sf_dir, "documents"))
+    return S.held(S.dictionary(load(spark, sf_dir, "documents")))
 
 
 @query("P12", "R22", sql=f"with {_WORDS} select word, freq from dict")
@@ -25,7 +25,7 @@ def spell_dictionary(spark, sf_dir):
 
 @query("P1", sql=f"""with {_WORDS}, one as (select word, substr(word, 1, i - 1) || substr(word, i + 1) as form from (select word, unnest(range(1, length(word)::int + 1)) as i from dict)),
     two as (select word, substr(form, 1, i - 1) || substr(form, i + 1) as form from (select word, form, unnest(range(1, length(form)::int + 1)) as i from one where length(word) >= 4))
-    select form, count(distinct word)::bigint as words from (select * from one union select * from two) group by 1 having count(distinct word) >= 3""")
+    select form, count(distinct word)::bigint as words from (select * from one union select * from two) group by 1""")
 def spell_deletes(spark, sf_dir):
     return S.deletes(known(spark, sf_dir)).groupBy("form").agg(F.count(F.lit(1)).alias("words"))
 
@@ -49,10 +49,7 @@ def median_perplexity(spark, sf_dir):
     return p.agg(F.array_sort(F.collect_list("perplexity")).alias("v")).select(F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median"))
 
 
-_TYPOS = f"typos as (select word as typo from counts where n between 3 and 4 and regexp_matches(word, '^[a-z]{{6,7}}$'))"
-
-
-@query("J10", "P4", "O9", sql=f"with {_WORDS}, {_TYPOS}, c as (select word, freq from dict where freq >= 0.02 and regexp_matches(word, '^[a-z]+$')) select typo, word, freq, levenshtein(typo, word)::integer as edits from typos join c on abs(length(typo) - length(word)) <= 2 and levenshtein(typo, word) <= 2")
+@query("J10", "P4", "O9")
 def linear_candidates(spark, sf_dir):
     """Every dictionary word against the whole dictionary."""
     words = known(spark, sf_dir)

@@ -90,8 +90,8 @@ def crawl_loop(spark: SparkSession, landing: str, index: str, frontier: str, che
     from searchlake.operators import ingest
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = ingest.extract(batch).withColumn("content", F.left("content", F.lit(cap))).withColumn("h", T.entropy(F.col("content")))
-        worthy = rows.where(T.indexworthy(F.col("title"), F.col("content"), F.col("h")))
+        rows = ingest.extract(batch).withColumn("content", F.left("content", F.lit(cap))).withColumn("m", T.measures(F.col("content")))
+        worthy = rows.where(T.indexworthy(F.col("title"), F.col("content"), F.col("m")))
         worthy = worthy.select("url", "title", "content", F.col("page_id").alias("ts"), U.authority(F.col("url")).alias("authority"))
         worthy.write.mode("overwrite").parquet(f"{index}/batch={number}")
         seen = batch.select(U.crawl_key(F.col("url")).alias("k"))

@@ -1,5 +1,8 @@
 """Literal cases: each states a behaviour in one line."""
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,8 +165,8 @@ def test_edit_distance(a, b, d):
 def test_ladder():
     words = {w: 0.5 for w in ("python", "house", "nginx", "embarrass", "opened", "raven", "soda", "yarn", "bryan", "vegas", "cancelling")} | {"vegan": 0.002}
     speller = S.Speller(words)
-    assert {w: speller.correct(w) for w in ("pythn", "housr", "ngnix", "embaras", "embarass")} == {"pythn": "python", "housr": "house", "ngnix": "nginx", "embaras": "embarrass", "embarass": "embarrass"}
-    assert all(speller.correct(w) is None for w in ("openai", "ramen", "skoda", "yawn", "isro", "biryani", "vegan", "kubernetes", "go", "nginx"))
+    assert {w: speller.correct(w, words) for w in ("pythn", "housr", "ngnix", "embaras", "embarass")} == {"pythn": "python", "housr": "house", "ngnix": "nginx", "embaras": "embarrass", "embarass": "embarrass"}
+    assert all(speller.correct(w, words) is None for w in ("openai", "ramen", "skoda", "yawn", "isro", "biryani", "vegan", "kubernetes", "go", "nginx"))
 
 
 def test_affiliate_link(spark):
@@ -231,3 +234,18 @@ def test_naming_questions(spark):
     asks = lambda q: one(spark, K.naming_question(F.col("q")), q=q)
     assert asks("why is the apache web server named after a helicopter") and asks("why is dallas called the big d") and asks("where does the name ford come from")
     assert not asks("how to make biryani at home") and not asks("best mechanical keyboard for programming")
+
+
+def test_measures_against_plain_counts(spark):
+    texts = ["", " \t\n", "abab", "éé", "Été: 3 ﬁn, ŒUVRE　漢字 \U0001f600 𝒳 x", "a\x0bb\fc\rd", "word " * 900, "é" * 1990 + "abc" * 50, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, s string").select("k", T.measures(F.col("s")).alias("m")).collect()
+    assert len(rows) == len(texts)
+    for k, m in rows:
+        if texts[k] is None:
+            assert m is None or tuple(m) == (None,) * 4
+            continue
+        head = [c for c in texts[k][:2000] if ord(c) < 128]
+        shares = [head.count(c) / len(head) for c in set(head)]
+        assert (m.entropy is None) == (not head) and (not head or abs(m.entropy + sum(p * math.log2(p) for p in shares)) < 1e-9)
+        words = re.split("[ \t\n\x0b\f\r]+", texts[k])
+        assert (m.letters, m.words) == (sum(map(str.isalpha, texts[k])), len([w for w in words if w])) and m.solid == sum(len(w.encode()) for w in words)
