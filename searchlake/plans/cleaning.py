@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from searchlake.catalog import query
 from searchlake.functions import text as T
+from searchlake.functions.dialect import quoted, sql_list
 from searchlake.operators import cleaning as C
 from searchlake.session import load
 
@@ -56,9 +57,20 @@ def naming_questions(spark, sf_dir):
     return d.select("doc_id", C.naming_question(F.col("q")).alias("naming"), C.naming_score(F.col("q"), F.col("t"), F.lit(0.9)).alias("score"))
 
 
-@query("M2")
+_GOALS = ("Write a fantasy novel", "Learn AI")
+
+
+@query(
+    "M2",
+    sql=f"""with g as (select unnest([{', '.join(quoted(g) for g in _GOALS)}]) as goal),
+    w as (select goal, list_filter(regexp_split_to_array(lower(goal), '[^\\p{{L}}\\p{{N}}]+'), lambda w: (length(w) >= 3 or w in {sql_list(C.SHORT)}) and w not in {sql_list(C.TOPIC_STOPS)}) as w from g),
+    t as (select goal, case when len(w) > 0 then array_to_string(w, ' ') else goal end as topic, unnest([1, 2, 3, 4]) as phase from w)
+    select goal, phase, case phase when 1 then 'Phase 1: Plan & Begin ' when 4 then 'Phase 4: Finish & Review ' else 'Phase ' || phase || ': Build ' end || chr(39) || goal || chr(39) as title,
+    case phase when 1 then 'foundation' when 4 then 'completion' else 'progress' end as kind,
+    'Define the scope and success criteria for ' || chr(39) || topic || chr(39) || '. Set up the foundation before building ' || chr(39) || topic || chr(39) || '.' as objectives from t""",
+)
 def phase_content(spark, sf_dir):
-    goals = spark.createDataFrame([("Write a fantasy novel",), ("Learn AI",)], "goal string")
+    goals = spark.createDataFrame([(g,) for g in _GOALS], "goal string")
     return C.phase_titles(goals)
 
 

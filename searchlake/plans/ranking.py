@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from searchlake.catalog import query
 from searchlake.functions import predicates as P
 from searchlake.functions import text as T
+from searchlake.functions import url as U
 from searchlake.functions.dialect import quantised, sql_quantised
 from searchlake.operators import retrieval as R
 from searchlake.session import load
@@ -65,6 +66,32 @@ def title_boost(spark, sf_dir):
     return kept.select("query_id", "doc_id", "in_title", quantised(F.col("score") * F.when(F.col("in_title"), 2.0).otherwise(1.0)).alias("score"))
 
 
+_NOW = 1_706_745_600  # the moment of the search, in seconds
+_PAGES = f"select page_id as doc_id, url, {T.sql_page_title('html')} as title, {T.sql_main_text('html')} as content, {_NOW - 86_400} - page_id % 90 * 43200 as ts from pages"
+_TITLE_QUERIES = "select doc_id as query_id, title as text from pgs where doc_id % 20 = 0"
+
+
+@query(
+    "R1", "R2", "R7", "R8", "R9", "R12", "R13", "F14", "L1", "L2", "J1", "J3", "U8",
+    sql=f"""with pgs as materialized ({_PAGES}), titled as (with {R.sql_bm25(_TITLE_QUERIES, "select doc_id, title as text from pgs")}, {R.SQL_RANKED} select distinct query_id, doc_id from ranked),
+    {R.sql_bm25(_TITLE_QUERIES, "select doc_id, title || ' ' || content as text from pgs")}, {R.SQL_RANKED},
+    boosted as (select f.query_id, f.doc_id, {U.sql_diversity_domain('p.url')} as domain, 1.0::double / ({R.RRF_K} + row_number() over (partition by f.query_id order by f.score desc, f.doc_id))
+        * (1 + 0.5::double * (604800::double / (604800 + {_NOW} - p.ts))) * (1 + 0.3::double * {U.sql_authority('p.url')}) * case when t.doc_id is null then 1 else 2 end as score
+        from floored f join pgs p using (doc_id) left join titled t on t.query_id = f.query_id and t.doc_id = f.doc_id)
+    {R.sql_diverse_top("boosted", "domain")}""",
+)
+def search_pages(spark, sf_dir):
+    """Pages for the titles of every twentieth page: BM25 over title and content, then freshness, the authority of each page's url and title hits."""
+    html = F.col("html")
+    p = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", T.page_title(html).alias("title"), T.main_text(html).alias("content"), (F.lit(_NOW - 86_400) - F.col("page_id") % 90 * 43_200).alias("ts"))
+    q = p.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+    titled = R.top_ranked(R.bm25(q, p.select("doc_id", F.col("title").alias("text")))).select("query_id", "doc_id", F.lit(True).alias("hit"))
+    kept = R.floored(R.top_ranked(R.bm25(q, p.select("doc_id", F.concat("title", F.lit(" "), "content").alias("text")))))
+    rows = R.fuse(kept).join(p.select("doc_id", "ts", U.diversity_domain(F.col("url")).alias("domain"), U.authority(F.col("url")).alias("authority")), "doc_id").join(titled, ["query_id", "doc_id"], "left")
+    boost = R.freshness((F.lit(_NOW) - F.col("ts")).cast("double")) * (1 + 0.3 * F.col("authority")) * F.when(F.col("hit"), 2.0).otherwise(1.0)
+    return R.diverse_top(rows.withColumn("score", F.col("rrf") * boost), "domain").select("query_id", "doc_id", "domain", "position", "score")
+
+
 @query("R10", "R11", sql=f"""with {R.sql_bm25()}, {R.SQL_RANKED}, n as (select query_id, count(*) as n from terms group by 1),
     o as (select f.query_id, f.doc_id, count(*) filter (where p.term is not null) as hits from floored f join terms t using (query_id) left join post p on p.doc_id = f.doc_id and p.term = t.term group by 1, 2)
     select f.query_id, f.doc_id, {sql_quantised("o.hits / n.n::double")} as overlap, {sql_quantised("(0.5 + 0.5 * f.score / f.best) * (0.3 + 0.7 * o.hits / n.n::double)")} as quality

@@ -61,7 +61,18 @@ def locale_cleanup(spark, sf_dir):
     return t.select("conv_id", "turn", T.collapsed(F.when(F.col("geo").isNotNull(), F.regexp_replace("t", L.IN_REGION, " ")).otherwise(F.col("t"))).alias("cleaned"), "geo")
 
 
-@query("Q14", "W5", "O2")
+_WORDS = "list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')"
+
+
+@query(
+    "Q14", "W5", "O2",
+    sql=f"""with recursive w as (select conv_id, turn, {_WORDS} as w from ({_Q})), s as (select conv_id, turn, list_filter(w, lambda x, i: i = 1 or lower(w[i - 1]) <> lower(x)) as s from w),
+    p as (select conv_id, turn, s, 1 as k, []::varchar[] as kept from s
+        union all select conv_id, turn, s, k + case when twice then 4 else 1 end, list_concat(kept, case when twice then s[k:k + 1] else s[k:k] end)
+        from (select *, k + 3 <= len(s) and lower(s[k]) = lower(s[k + 2]) and lower(s[k + 1]) = lower(s[k + 3]) as twice from p) where k <= len(s))
+    select conv_id, turn, array_to_string(list_filter(kept, lambda x, i: lower(x) not in {sql_list(L.FILLERS)} or list_position(list_transform(kept, lambda y: lower(y)), lower(x)) = i), ' ') as text
+    from p where k > len(s)""",
+)
 def destutter(spark, sf_dir):
     return asked(spark, sf_dir).select("conv_id", "turn", L.destuttered(F.col("text")).alias("text"))
 
@@ -88,7 +99,18 @@ def word_stems(spark, sf_dir):
     return w.select("word", L.stem(F.col("word")).alias("stem"))
 
 
-@query("Q21", "L5", "O3")
+_CLEAN = "list_transform(regexp_split_to_array(trim(text), '\\s+'), lambda w: lower(regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')))"
+
+
+@query(
+    "Q21", "L5", "O3",
+    sql=f"""with c as (select conv_id, turn, list_filter({_CLEAN}, lambda w: w <> '' and w not in {sql_list(P.ENTITY_STOPS)}) as c from ({_Q})),
+    t as (select conv_id, turn, list_filter(list_transform(c, lambda w: {L.sql_stem('w')}), lambda w: w not in {sql_list(N.MODIFIERS)} and w not in {sql_list(P.ENTITY_STOPS)}) as t from c),
+    e as (select conv_id, turn, list_filter(t, lambda x, i: list_position(t, x) = i)[1:8] as e from t), m as (select *, unnest(range(1, (1 << len(e))::int)) as m from e where len(e) > 0),
+    v as (select conv_id, turn, list_filter(e, lambda x, i: (m >> (i - 1)::int) & 1 = 1) as v from m),
+    r as (select conv_id, turn, array_to_string(v, ' ') as variant, row_number() over (partition by conv_id, turn order by len(v) desc, array_to_string(v, ' ')) - 1 as pos from v)
+    select conv_id, turn, pos::integer as pos, variant from r where pos < 16""",
+)
 def entity_subsets(spark, sf_dir):
     """Query variants from the subject words, most specific first, at most 16 of at most 8 words."""
     q = asked(spark, sf_dir).select("conv_id", "turn", N.entities(F.col("text")).alias("e"))
