@@ -7,7 +7,7 @@ cycle repeats, so at any slot a stream's blocks differ from its share by less th
 has run out, the others go on in the same order: no row is dropped, capped or repeated.
 
 Within a stream rows follow a hash of their id. Ranks are taken within buckets of that hash, and totals of the
-buckets before are added, so a source with a third of all rows is split over many tasks.
+buckets before are added, so a source with a third of all rows is split over many tasks. Rows of one id share a bucket.
 
 Defined results: a null id counts as an empty one; rows with equal ids follow their source's name; fully
 equal rows take neighbouring positions. Streams without rows are skipped. An empty table gives no rows. Only the
@@ -24,6 +24,7 @@ WEIGHTS = {"src0": 16, **{f"src{i}": 6 for i in range(1, 10)}}
 OTHER = 30
 BLOCK = 64
 _HASH_BITS = 60
+RUN_BITS = 10
 
 
 def stream_of(source: str, names: list[str]) -> Column:
@@ -67,8 +68,13 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = OTH
     ranked = rows.withColumn("r", F.row_number().over(local).cast("long"))
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")).withColumn("stream", stream_of("source", names)).withColumn("h", digest)
     sizes = sizes.withColumn("bucket", F.shiftright("h", _HASH_BITS - bits) if bits else F.lit(0).cast("long")).groupBy("stream", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("stream").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("stream", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # running totals in two levels: within runs of buckets, and over the runs of a stream
+    earlier = (Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("run", F.shiftright("bucket", RUN_BITS))
+    runs = sizes.groupBy("stream", "run").agg(F.sum("n").alias("t"))
+    runs = runs.select("stream", "run", F.coalesce(F.sum("t").over(Window.partitionBy("stream").orderBy("run").rowsBetween(*earlier)), F.lit(0)).alias("above"))
+    sizes = sizes.withColumn("within", F.coalesce(F.sum("n").over(Window.partitionBy("stream", "run").orderBy("bucket").rowsBetween(*earlier)), F.lit(0)))
+    sizes = sizes.join(runs, ["stream", "run"]).select("stream", "bucket", (F.col("within") + F.col("above")).alias("first"))
     ranked = ranked.join(sizes, ["stream", "bucket"]).withColumn("at", F.col("first") + F.col("r") - 1)
     weight = F.element_at(F.lit(each), F.col("stream") + 1).cast("long")
     ranked = ranked.withColumn("block", F.floor(F.col("at") / block)).withColumn("turn", F.floor(F.col("block") / weight)).withColumn("k", F.col("block") % weight)

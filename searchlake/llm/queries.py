@@ -13,44 +13,54 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, labels and score; ``n_places`` counts the places of the fuzzy search."""
     return license_scan.scan_licenses(_docs(spark, sf_dir)).withColumn("n_places", F.size("places")).drop("places")
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
     return fingerprint.fingerprint_documents(_docs(spark, sf_dir))
 
 
 def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, as read back from the grammar-compressed files."""
     files = repair.write_tokens(_docs(spark, sf_dir))
     return repair.read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component of similar documents."""
     return jaccard.join_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block, slot and position in the mixture."""
     return mixing.mix(_docs(spark, sf_dir))
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, base rule and verdict."""
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found for every fiftieth vector, and how many vectors were verified for it."""
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place in its document and in its sequence."""
     return packing.pack(_docs(spark, sf_dir)).drop("ids")
 
 
 def op9_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, by a network trained on the folds that are not held out."""
     docs = _docs(spark, sf_dir)
     return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op10_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a model of the folds that are not held out."""
     docs = _docs(spark, sf_dir)
     return language.predict(docs, language.fit(docs))
 
