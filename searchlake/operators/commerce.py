@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from searchlake.functions import url as U
 from searchlake.functions.dialect import ends_any, has_any, sql_any, sql_ends, sql_starts, starts_any
+from searchlake.operators.sequences import numbered
 
 
 def compare_offers(offers: DataFrame) -> DataFrame:
@@ -97,8 +98,8 @@ def interleave(rows: DataFrame, group: str, order: list[Column], total: int, mos
 
 def goal_ids(goals: DataFrame) -> DataFrame:
     """Ids by order of arrival."""
-    ids = F.row_number().over(Window.orderBy("first", "goal"))  # one running number over all goals is what the ids are
-    return goals.select(F.concat(F.lit("goal_"), F.lpad(ids.cast("string"), 4, "0")).alias("goal_id"), "first", F.lit("Anonymous").alias("user_name"))
+    ids = F.format_string("goal_%04d", F.col("i") + 1)
+    return numbered(goals, "first", ["goal"], "i").select(ids.alias("goal_id"), "first", F.lit("Anonymous").alias("user_name"))
 
 
 # fixed values: keyword rules of the goal domains, in order of precedence

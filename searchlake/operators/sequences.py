@@ -32,11 +32,25 @@ def ewma(rows: DataFrame, key: str, value: str, order: list[str], keep: float =
     return ordered.select(key, F.size("v").cast("long").alias("n"), quantised(folded).alias("ewma"))
 
 
+def numbered(rows: DataFrame, by: str, ties: list[str], out: str, ranges: int | None = None) -> DataFrame:
+    """A running number from 0 over all rows, by a number and then by ``ties``: ranks within ranges of the number, and the totals of the ranges before.
+
+    The ranges are cut at quantiles, so no task sorts all rows; rows with the same number share one.
+    """
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
+    bounds = sorted(set(cuts))
+    held = rows.withColumn("_r", F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(by))) if bounds else F.lit(0))
+    before = F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    totals = held.groupBy("_r").agg(F.count(F.lit(1)).alias("n")).select("_r", F.coalesce(before, F.lit(0)).alias("_t"))
+    rank = F.row_number().over(Window.partitionBy("_r").orderBy(by, *ties)) - 1
+    return held.withColumn("_i", rank).join(F.broadcast(totals), "_r").withColumn(out, (F.col("_i") + F.col("_t")).cast("long")).drop("_r", "_i", "_t")
+
+
 def generations(first: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     """Generation of every key by order of first sight; only the two newest are kept."""
     half = cap // 2
-    ranked = first.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)  # a running number over all keys is what it is about
-    ranked = ranked.withColumn("generation", F.floor(F.col("i") / half))
+    ranked = numbered(first, order, [key], "i").withColumn("generation", F.floor(F.col("i") / half))
     newest = ranked.agg(F.max("generation").alias("g")).first()["g"]
     return ranked.select(key, "generation", (F.col("generation") >= F.lit((newest or 0) - 1)).alias("kept"))
 

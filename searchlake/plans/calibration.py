@@ -9,13 +9,13 @@ from searchlake.catalog import query
 from searchlake.functions import text as T
 from searchlake.functions.dialect import quantised, sql_quantised
 from searchlake.operators import calibrate as K
-from searchlake.session import load
+from searchlake.session import load, spread
 
 _P = f"with e as (select *, {T.sql_entropy('text')} as h from documents), p as (select doc_id, source, quality as y, {sql_quantised('least(' + T.sql_quality_from('text', 'h') + ', 1.0) * 0.9 + (doc_id % 10) * 0.01')} as p from e join labels using (doc_id) where quality is not null)"
 
 
 def predictions(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").withColumn("m", T.measures(F.col("text")))
+    d = spread(load(spark, sf_dir, "documents")).withColumn("m", T.measures(F.col("text")))
     d = d.select("doc_id", "source", quantised(T.quality_from(F.col("text"), F.col("m")) * 0.9 + (F.col("doc_id") % 10) * 0.01).alias("p"))
     return d.join(load(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("y")), "doc_id")
 

@@ -8,12 +8,12 @@ from searchlake.catalog import query
 from searchlake.functions import text as T
 from searchlake.functions.dialect import quoted, sql_list
 from searchlake.operators import cleaning as C
-from searchlake.session import load
+from searchlake.session import load, spread
 
 
 @query("T1", "T2", "T3", "T4")
 def clean_content(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select("page_id", "html", T.page_title(F.col("html")).alias("title"))
+    p = spread(load(spark, sf_dir, "pages")).select("page_id", "html", T.page_title(F.col("html")).alias("title"))
     return C.clean(p, "html", "title").select("page_id", "content")
 
 

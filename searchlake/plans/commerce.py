@@ -104,7 +104,7 @@ def goal_validation(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", P.goal_error(F.col("text")).alias("error"))
 
 
-@query("M4", "J15", sql="with g as (select lower(trim(text)) as goal, min(conv_id * 1000 + turn) as first from conversations where role = 'user' group by 1) select 'goal_' || lpad(row_number() over (order by first, goal)::varchar, 4, '0') as goal_id, first, 'Anonymous' as user_name from g")
+@query("M4", "J15", sql="with g as (select lower(trim(text)) as goal, min(conv_id * 1000 + turn) as first from conversations where role = 'user' group by 1) select printf('goal_%04d', row_number() over (order by first, goal)) as goal_id, first, 'Anonymous' as user_name from g")
 def goal_store(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").where("role = 'user'")
     return C.goal_ids(c.groupBy(F.lower(F.trim("text")).alias("goal")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first")))

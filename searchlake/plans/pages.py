@@ -11,11 +11,11 @@ from searchlake.functions import text as T
 from searchlake.functions import url as U
 from searchlake.functions.dialect import quantised, sql_any, sql_quantised
 from searchlake.operators import ingest
-from searchlake.session import load
+from searchlake.session import load, spread
 
 
 def pages(spark, sf_dir):
-    return load(spark, sf_dir, "pages")
+    return spread(load(spark, sf_dir, "pages"))
 
 
 @query("U1", "U2", "O1", sql=f"select page_id, {U.sql_canonical('url')} as canonical from pages")

@@ -11,11 +11,11 @@ from searchlake.functions import text as T
 from searchlake.functions import url as U
 from searchlake.functions.dialect import quantised, sql_quantised
 from searchlake.operators import retrieval as R
-from searchlake.session import load
+from searchlake.session import load, spread
 
 
 def docs(spark, sf_dir):
-    return load(spark, sf_dir, "documents")
+    return spread(load(spark, sf_dir, "documents"))
 
 
 def asked(spark, sf_dir):
@@ -83,7 +83,7 @@ _TITLE_QUERIES = "select doc_id as query_id, title as text from pgs where doc_id
 def search_pages(spark, sf_dir):
     """Pages for the titles of every twentieth page: BM25 over title and content, then freshness, the authority of each page's url and title hits."""
     html = F.col("html")
-    p = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", T.page_title(html).alias("title"), T.main_text(html).alias("content"), (F.lit(_NOW - 86_400) - F.col("page_id") % 90 * 43_200).alias("ts"))
+    p = spread(load(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), "url", T.page_title(html).alias("title"), T.main_text(html).alias("content"), (F.lit(_NOW - 86_400) - F.col("page_id") % 90 * 43_200).alias("ts"))
     q = p.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
     titled = R.top_ranked(R.bm25(q, p.select("doc_id", F.col("title").alias("text")))).select("query_id", "doc_id", F.lit(True).alias("hit"))
     kept = R.floored(R.top_ranked(R.bm25(q, p.select("doc_id", F.concat("title", F.lit(" "), "content").alias("text")))))

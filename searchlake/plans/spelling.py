@@ -8,14 +8,14 @@ from searchlake.catalog import query
 from searchlake.functions import text as T
 from searchlake.functions.dialect import sql_quantised
 from searchlake.operators import spelling as S
-from searchlake.session import load
+from searchlake.session import load, spread
 
 _WORDS = f"counts as (select word, count(*) as n from (select unnest({T.sql_words_of('text')}) as word from documents) where regexp_matches(word, '^\\p{{L}}{{3,}}$') group by 1 having count(*) >= 3 order by n desc, word limit 15000), dict as (select word, {sql_quantised('n / max(n) over ()::double')} as freq from counts)"
 _PAIRS = "pairs as (select word, substr(word, i, 2) as bigram from (select word, unnest(range(1, length(word)::int)) as i from dict)), counts2 as (select bigram, count(*) as n from pairs group by 1), total as (select sum(n)::double as t, count(*)::double as k from counts2), model as (select bigram, n, ln((n + 0.5) / (t + 0.5 * k)) as logp from counts2 cross join total)"
 
 
 def known(spark, sf_dir):
-    return S.held(S.dictionary(load(spark, sf_dir, "documents")))
+    return S.held(S.dictionary(spread(load(spark, sf_dir, "documents"))))
 
 
 @query("P12", "R22", sql=f"with {_WORDS} select word, freq from dict")

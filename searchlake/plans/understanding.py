@@ -11,7 +11,7 @@ from searchlake.functions import querylang as L
 from searchlake.functions import text as T
 from searchlake.functions.dialect import quantised, sql_list, sql_quantised
 from searchlake.operators import understand as N
-from searchlake.session import load
+from searchlake.session import load, spread
 
 _Q = f"select conv_id, turn, {L.QUERY_TEXT} as text from conversations"
 
@@ -50,7 +50,7 @@ def query_operators(spark, sf_dir):
 
 @query("Q12", sql=f"select doc_id, {L.sql_language('text')} as detected, coalesce({L.sql_language('text')} = lang, false) as correct from documents")
 def detect_language(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang", L.language(F.col("text")).alias("detected"))
+    d = spread(load(spark, sf_dir, "documents")).select("doc_id", "lang", L.language(F.col("text")).alias("detected"))
     return d.select("doc_id", "detected", F.coalesce(F.col("detected") == F.col("lang"), F.lit(False)).alias("correct"))
 
 
@@ -184,7 +184,7 @@ _PAIR = "bigrams as (select w[i:i+1] as b, count(*) as n from (select w, unnest(
 def entityness(spark, sf_dir):
     """Rarity of a word in the corpus, short words up, long words down; absent words are rare anchors."""
     words = asked(spark, sf_dir).select(F.explode(T.words_of(F.col("text"))).alias("word")).distinct()
-    corpus = load(spark, sf_dir, "documents").select(F.explode(T.words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    corpus = spread(load(spark, sf_dir, "documents")).select(F.explode(T.words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"))
     most = corpus.agg(F.max("n").alias("m"))
     rows = words.join(corpus, "word", "left").join(F.broadcast(most), F.lit(True))
     shape = F.when(F.length("word") <= 4, 1.15).when(F.length("word") >= 10, 0.7).otherwise(1.0)

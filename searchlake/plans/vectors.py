@@ -9,7 +9,7 @@ from searchlake.catalog import query
 from searchlake.functions.dialect import quantised, sql_quantised
 from searchlake.operators import retrieval as R
 from searchlake.operators import vectors as V
-from searchlake.session import load
+from searchlake.session import load, spread
 
 _E = "select vec_id, list_transform(embedding, lambda x: x::double) as v, label from embeddings"
 _PAIRS = f"with e as ({_E}), q as (select vec_id as query_id, v as qv from e where vec_id % 20 = 0)"
@@ -94,7 +94,7 @@ def semantic_gate(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     """Lexical and semantic lists fused; the semantic one only adds."""
     asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    lexical = R.floored(R.top_ranked(R.bm25(asked, load(spark, sf_dir, "documents"))))
+    lexical = R.floored(R.top_ranked(R.bm25(asked, spread(load(spark, sf_dir, "documents")))))
     s = against(spark, sf_dir, "dot", least=0.3).select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("sim"))
     semantic = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")))
     kept = lexical.select("query_id", "doc_id", F.lit(True).alias("hit"))

@@ -25,3 +25,13 @@ def get_session(app: str = "searchlake", master: str | None = None, **conf: str)
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the provided tables; columns that are not used later are never read."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
+    """Rows of a small table dealt out to all cores: it often lies in one row group, which a single task would read and work on.
+
+    Tables with more than ``part_bytes`` for each core stay as they are read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < part_bytes * cores else df

@@ -5,6 +5,7 @@ import math
 from searchlake.catalog import all_queries
 from searchlake.functions import querylang as L
 from searchlake.operators import retrieval as R
+from searchlake.operators import sequences as Q
 from searchlake.operators import vectors as V
 
 
@@ -71,6 +72,13 @@ def test_no_ids_are_left_out(spark, tmp_path):
     assert {r.turn for r in all_queries()["entity_subsets"](spark, str(tmp_path)).collect()} == {0, 1, 2}
 
 
+def test_running_numbers(spark):
+    rows = [(i * 7 % 101 if i % 3 else 5, f"k{i:03d}") for i in range(300)]
+    got = Q.numbered(spark.createDataFrame(rows, "at long, name string").repartition(6), "at", ["name"], "i", ranges=7).collect()
+    assert [(r["at"], r["name"]) for r in sorted(got, key=lambda r: r["i"])] == sorted(rows) and sorted(r["i"] for r in got) == list(range(300))
+    assert Q.numbered(spark.createDataFrame([], "at long, name string"), "at", ["name"], "i").count() == 0
+
+
 def test_language_of_the_whole_text(spark, tmp_path):
     filler = "zzz " * 150
     table(spark, tmp_path, "documents", [(1, filler + " ".join(sorted(L.MARKERS["fr"])) + " " + " ".join(sorted(L.SIGNATURES["fr"])), "fr"), (2, filler, "en")], "doc_id long, text string, lang string")
