@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.llm import ann, fingerprint, jaccard, language, license_scan, mixing, packing, quality, repair, url_rules
+from searchlake.session import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
