@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from searchlake.llm import jaccard, language, mixing, packing, quality
 from searchlake.llm.common import Scratch, partitions
+from searchlake.session import spread
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences of the whole corpus."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     scratch = Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
