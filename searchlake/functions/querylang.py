@@ -27,12 +27,15 @@ OPERATORS = ("site", "filetype", "intitle", "inurl", "intext", "related", "price
 # fixed values: negation markers and what they never exclude
 NEGATIONS = ("not", "nor", "without", "except", "excluding", "minus", "besides", "no", "other than")
 NO_COMPOUNDS = ("sql", "code", "loss", "ops", "block")
+# fixed values: words too general to be a topic or an exclusion
 GENERIC = frozenset(
     "how what why when where who which that this these those the a an and or but use using require required requires need needed needs do does did can could would should "
     "will with without from into onto upon over under before after than them they their our your its his her not no".split()
 )
+# fixed values: markers of references and comparisons
 REFERENCES = ("alternative to", "alternatives to", "similar to", "comparable to", "replacement for", "substitute for", "competitor of", "competitors of")
 COMPARISONS = ("better than", "faster than", "cheaper than", "lighter than", "easier than", "simpler than", "more performant than", "more efficient than")
+# fixed values: filler words, and words that may not stand at an end
 FILLERS = ("how", "to", "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "will", "would", "could", "should", "can", "may", "might", "shall")
 DANGLING = ("a", "an", "the", "to", "for", "in", "on", "of", "and", "or", "with", "from", "by", "under", "over", "about", "into", "than", "as", "at", "but", "nor", "so", "vs", "versus", "up", "off", "out", "per", "via", "onto", "upon")
 # fixed values: regions after "in"
@@ -410,6 +413,7 @@ def compressed(text: str, stops: frozenset[str], technical: frozenset[str]) -> s
     return " ".join(words[i] for i in best) or text
 
 
+# our own choice: variants of a query for each intent
 TEMPLATES = {
     "how-to": ("{q}", "{q} tutorial", "{q} step by step guide"), "comparison": ("{q}", "{q} comparison", "{q} pros and cons"), "technical": ("{q}", "{q} documentation", "{q} examples"),
     "transactional": ("{q}", "{q} price", "{q} buy"), "navigational": ("{q}", "{q} official site"), "fresh": ("{q}", "{q} news", "{q} latest updates"), "informational": ("{q}", "{q} explained", "{q} overview"),

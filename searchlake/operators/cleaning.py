@@ -38,6 +38,7 @@ BOILERPLATE = (
     r"(?i)report close report[^\n]*",
     r"(?i)(video item preview|in-browser video [“”]?theater[“”]? requires javascript|this item does not appear to have any files)[^\n]*",
 )
+# fixed values: what tells style sheets from text
 AT_WORDS = ("@font-face", "@media", "@import", "@charset", "@keyframes")
 STYLE_MARKS = ("@media", "@font", "@import", "@keyframes", "@charset", "!important", "url(", "iframe")
 
@@ -239,6 +240,7 @@ SHORT = ("ai", "ml", "go", "c", "r", "ui", "ux", "io", "ar", "vr")
 def phase_titles(goals: DataFrame, goal: str = "goal", phases: int = 4) -> DataFrame:
     """A title and two objectives per phase, from the goal's own words."""
     words = F.filter(F.split(F.lower(goal), r"[^\p{L}\p{N}]+"), lambda w: ((F.length(w) >= 3) | w.isin(*SHORT)) & ~w.isin(*TOPIC_STOPS))
+    # fixed values: wording of the titles and objectives
     topic = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(F.col(goal))
     rows = goals.withColumn("topic", topic).withColumn("phase", F.explode(F.sequence(F.lit(1), F.lit(phases))))
     short = T.truncated(F.col(goal), 85)

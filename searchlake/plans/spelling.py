@@ -76,12 +76,12 @@ def spell_query(spark, sf_dir):
     return S.correct_queries(q, known(spark, sf_dir), "event_id")
 
 
-@query("P10", sql="""with c as (select page_id, 'pythn' as original, 'python' as corrected from pages where page_id % 10 = 0),
+@query("P10", sql="""with c as (select distinct page_id - page_id % 10 as page_id, 'pythn' as original, 'python' as corrected from pages),
     t as (select page_id - page_id % 10 as page_id, page_id % 10 as pos, case when page_id % 3 = 0 then 'Pythn tips' else 'Python tips' end as title from pages),
     h as (select page_id, count(*) as n, count(*) filter (where contains(title, 'Pythn')) as o, count(*) filter (where contains(title, 'Python')) as k from t where pos < 20 group by 1)
     select page_id, original, corrected, coalesce(n < 5 or k > o, true) as keep from c left join h using (page_id)""")
 def spell_validate(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select("page_id")
-    changes = p.where("page_id % 10 = 0").select("page_id", F.lit("pythn").alias("original"), F.lit("python").alias("corrected"))
+    changes = p.select((F.col("page_id") - F.col("page_id") % 10).alias("page_id")).distinct().select("page_id", F.lit("pythn").alias("original"), F.lit("python").alias("corrected"))
     titles = p.select((F.col("page_id") - F.col("page_id") % 10).alias("page_id"), (F.col("page_id") % 10).alias("pos"), F.when(F.col("page_id") % 3 == 0, "Pythn tips").otherwise("Python tips").alias("title"))
     return S.keep_corrections(changes, titles, "page_id")
