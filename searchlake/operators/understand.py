@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from searchlake.functions import querylang as L
 from searchlake.functions.predicates import ENTITY_STOPS
@@ -30,6 +32,18 @@ def _row(text: str | None) -> dict:
     return {"text": text, "entities": [{"text": t, "role": r} for t, r in roles], "compressed": L.compressed(kept or text or "", STOPS, TECHNICAL)} | {k: c[k] for k in (*_LISTS, "language", "after_date", "before_date", "price_min", "price_max")}
 
 
+@F.pandas_udf(StringType())
+def digits(texts: pd.Series) -> pd.Series:
+    """Number words as digits."""
+    return texts.map(L.spoken_to_digits, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def written_operators(texts: pd.Series) -> pd.Series:
+    """Spoken bounds and spaced operators in their written form."""
+    return texts.map(L.canonical_operators, na_action="ignore")
+
+
 def understand(queries: DataFrame, text: str = "text") -> DataFrame:
     """One row per distinct query text with its structured constraints and its compressed form."""
     fields = [f.split(" ", 1) for f in SCHEMA.split(", ")]

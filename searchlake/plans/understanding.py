@@ -171,6 +171,69 @@ def constraints_full(spark, sf_dir):
     return N.understand(asked(spark, sf_dir))
 
 
+_SAID = "['" + "', '".join([*L.NUMBERS, *L.SCALES, "boots", "under", "hundred", "and"]) + "']"
+_SPOKEN = "concat_ws(' ', " + ", ".join(f"({_SAID})[(event_id * {k} + event_id // {d}) % {len(L.NUMBERS) + len(L.SCALES) + 4} + 1]" for k, d in ((1, 3), (7, 5), (11, 7), (13, 11), (17, 2))) + ")"
+
+
+def _sql_digits(table: str, key: str, text: str) -> str:
+    """Recursive table expressions that end with ``digits(key, text)``: runs of number words folded word by word."""
+    number = "case w[k] " + " ".join(f"when '{w}' then {n}" for w, n in L.NUMBERS.items()) + " end"
+    scale = "case w[k] " + " ".join(f"when '{w}' then {n}" for w, n in L.SCALES.items()) + " end"
+    return f"""said as (select {key}, list_filter(string_split(lower({text}), ' '), lambda x: x <> '') as w from {table}),
+    fold as (select {key}, w, 1 as k, false as run, 0 as total, 0 as cur, []::varchar[] as kept from said
+        union all select {key}, w, k + 1, n is not null or (run and s is not null), case when run and s is not null then total + greatest(cur, 1) * s when run and n is not null then total else 0 end,
+            case when n is not null then case when run then cur + n else n end else 0 end,
+            case when n is not null or (run and s is not null) then kept when run then list_concat(kept, case when k > len(w) then [(total + cur)::varchar] else [(total + cur)::varchar, w[k]] end)
+                when k <= len(w) then list_append(kept, w[k]) else kept end
+        from (select *, {number} as n, {scale} as s from fold) where k <= len(w) + 1),
+    digits as (select {key}, array_to_string(kept, ' ') as text from fold where k = len(w) + 2)"""
+
+
+@query("Q2", "O1", sql=f"with recursive e as (select event_id, {_SPOKEN} as t from events), {_sql_digits('e', 'event_id', 't')} select event_id, t as said, text from e join digits using (event_id)")
+def spoken_numbers(spark, sf_dir):
+    """Number words in any order, a hundred and a thousand among them, as digits."""
+    e = load(spark, sf_dir, "events").select("event_id", _spoken(F.col("event_id")).alias("said"))
+    return e.select("event_id", "said", N.digits(F.col("said")).alias("text"))
+
+
+def _spoken(i):
+    words = [*L.NUMBERS, *L.SCALES, "boots", "under", "hundred", "and"]
+    pick = lambda k, d: F.element_at(F.lit(words), ((i * k + F.floor(i / d)) % len(words) + 1).cast("int"))
+    return F.concat_ws(" ", *(pick(k, d) for k, d in ((1, 3), (7, 5), (11, 7), (13, 11), (17, 2))))
+
+
+_BOUNDS = ("under", "less than", "below", "cheaper than", "max", "maximum", "over", "more than", "above", "greater than", "min", "hunderte unter")
+_AMOUNTS = ("four hundred", "$200", "3 days", "two weeks", "1,500.50", "ten", "12 monthsold", "")
+_TAILS = ("", "in url:github", "onsite reddit", "in title: guide", "intext boots", "and over 20")
+
+
+def _sql_written(text: str) -> str:
+    units = "|".join(L.TIME_UNITS)
+    for sign, forms in (("<", L.UPPER_FORMS), (">", L.LOWER_FORMS)):
+        for form in forms:
+            # a number before a unit of time is held apart while the others are rewritten
+            text = f"regexp_replace({text}, '(?i)\\b({form})(\\s*\\$?\\s*\\d[\\d.,]*\\s*(?:{units})\\b)', '\\1' || chr(1) || '\\2', 'g')"
+            text = f"replace(regexp_replace({text}, '(?i)\\b{form}\\s*\\$?\\s*(\\d[\\d.,]*)', 'price:{sign}\\1', 'g'), chr(1), '')"
+    for form, name in L.SPACED:
+        text = f"regexp_replace({text}, '(?i)\\b(?:{form})', '{name}', 'g')"
+    return text
+
+
+def _sql_pick(words, n: str) -> str:
+    return "([" + ", ".join(f"'{w}'" for w in words) + f"])[({n}) % {len(words)} + 1]"
+
+
+@query("Q3", "O1", sql=f"""with recursive e as (select event_id, 'boots ' || {_sql_pick(_BOUNDS, 'event_id')} || ' ' || {_sql_pick(_AMOUNTS, 'event_id // 12')} || ' ' || {_sql_pick(_TAILS, 'event_id // 96')} as t from events),
+    {_sql_digits('e', 'event_id', 't')} select event_id, t as said, {_sql_written('text')} as text from e join digits using (event_id)""")
+def spoken_operators(spark, sf_dir):
+    """Every bound with every amount and every spaced operator: prices and operators in their written form, spans of time left alone."""
+    i = F.col("event_id")
+    pick = lambda words, n: F.element_at(F.lit(list(words)), (n % len(words) + 1).cast("int"))
+    said = F.concat(F.lit("boots "), pick(_BOUNDS, i), F.lit(" "), pick(_AMOUNTS, F.floor(i / 12)), F.lit(" "), pick(_TAILS, F.floor(i / 96)))
+    e = load(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    return e.select("event_id", "said", N.written_operators(F.col("said")).alias("text"))
+
+
 @query("Q18", "Q19", "Q20")
 def expand_query(spark, sf_dir):
     return N.expand(guessed(spark, sf_dir))
