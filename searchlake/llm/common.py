@@ -99,23 +99,8 @@ def fold_column(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def order_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Ascending distinct key values that cut the rows into about ``parts`` even ranges.
-
-    Only ``parts`` numbers reach the driver. Each is a value that occurs, the smallest first.
-    """
-    share = [i / parts for i in range(1, parts)] or [0.5]
-    row = df.select(
-        F.min(key).alias("low"),
-        F.percentile_approx(F.col(key), [float(x) for x in share], max(10_000, 20 * parts)).alias("cuts"),
-    ).first()
-    if row is None or row["low"] is None:
-        return []
-    return sorted({int(row["low"]), *(int(x) for x in (row["cuts"] or []))})
-
-
 def range_column(bounds: list[int], key: str, step: int = 64):
-    """The index of :func:`range_id` as a column: a coarse search, then one among ``step`` bounds."""
+    """Index of the range that holds a value (0 below the first bound): a coarse search, then one among ``step`` bounds."""
     if not bounds:
         return F.lit(0)
     value = F.col(key)
@@ -160,15 +145,6 @@ def deal_column(cuts: dict[int, int], key: str, tie) -> Column:
     return F.element_at(F.lit(first), place) + F.when(hot, F.floor(tie * (copies - 1) / TIES)).otherwise(copies - 1)
 
 
-def range_id(bounds: list[int], keys: np.ndarray) -> np.ndarray:
-    """Index of the range that holds each key (keys below the first bound: 0)."""
-    return np.maximum(np.searchsorted(np.asarray(bounds, dtype=np.int64), keys, side="right") - 1, 0)
-
-
-def long_list(column: pa.Array) -> list:
-    return column.cast(pa.int64()).to_pylist()
-
-
 def prefix_starts(blocks: DataFrame, part: str, block: str, value: str, out: str, group: int = 1024) -> DataFrame:
     """Exclusive running total of ``value`` over (part, block), in three levels.
 

@@ -14,7 +14,7 @@ document has a term; equal fingerprints have likeness 1.
 
 Defined results: a null text counts as empty. A document without any lexicon term is hashed over all
 its distinct terms; one without terms has a fingerprint of its own that all such documents share. Documents
-that follow each other in order of id are compared; ties of the id order by text, null ids come first; a
+that follow each other in order of id are compared; ties of the id order by a hash of the text, null ids come first; a
 single document follows itself. Extra columns are ignored; repeated rows are kept.
 """
 
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import order_bounds, partitions, range_id, slices, small_batches
+from searchlake.llm.common import TIES, deal_column, order_cuts, partitions, slices, small_batches
 
 #: Shares of the lexicon that the randomised subsets keep: four subsets for each.
 SHARES = tuple(x for x in (1 / 2, 1 / 8, 1 / 32, 1 / 96, 1 / 256, 1 / 512) for _ in range(4))
@@ -139,40 +139,31 @@ def edited_text(text: str, after: str) -> str:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses to that and to the next document.
 
-    Texts are dealt out by ranges of the id; the first document of a range also goes, as an onlooker,
-    to the range before it, and the very first one to the last range. Each range is so complete.
+    Texts are dealt out by ranges of the id, an id with very many rows by a hash of the text; the first document of
+    a part also goes, as an onlooker, to the part before it, and the very first one to the last part. Each part is so complete.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     band = lexicon(slim, "text")
     count = partitions(spark)
-    bounds = order_bounds(slim, "doc_id", 4 * count)
-    shared = spark.sparkContext.broadcast((band, bounds))  # the lexicon and 4 ids a partition
-    no_id = slim.where("doc_id is null").limit(1).count() > 0
-    lowest = None if no_id else (bounds[0] if bounds else None)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = shared.value[1]
-        firsts = np.asarray(cuts, dtype=np.int64)
-        schema = pa.schema([("part", pa.int32()), ("onlooker", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
-        for batch in batches:
-            ids = batch.column(0)
-            filled = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            part = range_id(cuts, filled) if cuts else np.zeros(len(filled), dtype=np.int64)
-            none = np.asarray(ids.is_null())
-            last = max(len(cuts) - 1, 0)
-            is_first = (filled == firsts[part]) & (part > 0) & ~none if cuts else np.zeros(len(filled), dtype=bool)
-            turn = none if lowest is None else (filled == lowest) & ~none
-            for rows, to, look in ((slice(None), part, False), (is_first, part[is_first] - 1, True), (turn, np.full(int(turn.sum()), last), True)):
-                taken = batch if isinstance(rows, slice) else batch.filter(pa.array(rows))
-                if taken.num_rows:
-                    order = pa.array(np.full(taken.num_rows, look))
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), order, taken.column(0), taken.column(1).cast(pa.string())], schema=schema)
+    cuts = order_cuts(slim, "doc_id", 4 * count)
+    hashed = F.xxhash64("text")
+    keyed = slim.select("doc_id", "text", F.pmod(hashed, F.lit(TIES)).alias("tie"), hashed.alias("h"))
+    keyed = keyed.withColumn("part", deal_column(cuts, "doc_id", F.col("tie")).cast("int"))
+    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "tie", "h")
+    # one row a part: what its first document is known by, and the part before it
+    firsts = keyed.groupBy("part").agg(F.xxhash64(F.min(order)).alias("first"))
+    around = Window.orderBy("part")
+    last = F.max("part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firsts = firsts.select("part", "first", F.coalesce(F.lag("part").over(around), last).alias("before"))
+    seen = F.when(F.xxhash64(order) == F.col("first"), F.struct(F.col("before").alias("part"), F.lit(True).alias("onlooker")))
+    places = F.explode(F.array_compact(F.array(F.struct("part", F.lit(False).alias("onlooker")), seen)))
+    dealt = keyed.join(F.broadcast(firsts), "part").select("doc_id", "text", "tie", "h", places.alias("to"))
+    shared = spark.sparkContext.broadcast(band)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Fingerprinter(shared.value[0])
-        last_part = max(len(shared.value[1]) - 1, 0)
+        tool = Fingerprinter(shared.value)
         waiting, closed, rows = None, None, []
 
         def finish(doc, after):
@@ -199,11 +190,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 if rows:
                     yield out()
                     rows.clear()
-        if waiting is not None:  # a range without an onlooker holds a single row in all
-            finish(waiting, waiting)
-            yield out()
 
-    dealt = slim.mapInArrow(deal, "part int, onlooker boolean, doc_id long, text string")
-    # in a part, the range's rows come first, then onlookers; the smallest text of those counts
-    ordered = dealt.repartition(count, "part").sortWithinPartitions("part", "onlooker", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    # in a part its rows come first, then onlookers; the first of those counts
+    ordered = dealt.select("to.part", "to.onlooker", "doc_id", "text", "tie", "h").repartition(count, "part")
+    ordered = ordered.sortWithinPartitions("part", "onlooker", F.col("doc_id").asc_nulls_first(), "tie", "h", "text").select("part", "onlooker", "doc_id", "text")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

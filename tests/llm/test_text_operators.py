@@ -138,6 +138,25 @@ def test_fingerprints(odd_docs, no_docs, spark):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
+def test_fingerprints_of_one_id(spark):
+    """Rows that share an id, or have none, lie in several parts; each is still followed by exactly one other, round the whole table."""
+    rows = [(i if i % 3 == 0 else (None if i % 3 == 1 else 300), f"{prose(i, 9)} end{i}") for i in range(600)]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    edits = {}
+    for k, (_, text) in enumerate(rows):
+        for j, (_, after) in enumerate(rows):
+            edits[hashlib.sha256(fingerprint.edited_text(text, after).encode()).hexdigest()] = (k, j)
+    follows = dict(edits[r.edited_sha256] for r in got)
+    assert len(got) == len(follows) == 600 and sorted(follows.values()) == list(range(600))
+    at, path = 0, []
+    for _ in range(600):
+        path.append(at)
+        at = follows[at]
+    ids = [rows[k][0] for k in path]
+    turn = next(i for i in range(600) if (ids[i] is None) and ids[i - 1] is not None)
+    assert at == 0 and len(set(path)) == 600 and ids[turn:] + ids[:turn] == sorted(ids, key=lambda x: (x is not None, x or 0))
+
+
 def test_fingerprint_band(spark):
     """The lexicon holds exactly the terms within the band of document frequency, counted over all rows."""
     texts = [(i, " ".join(["everywhere", f"pair{i // 2}", f"own{i}", f"own{i}"] + [f"block{i // 20}"])) for i in range(400)]
