@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.llm import ann, fingerprint, jaccard, language, license_scan, mixing, packing, quality, repair, url_rules
+from searchlake.llm import ann, drift, fim, fingerprint, jaccard, language, license_scan, mixing, packing, quality, repair, repetition, url_rules
 from searchlake.session import spread
 
 
@@ -66,5 +66,28 @@ def op10_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_repair_tokens, op4_ngram_join, op5_pfair_mix, op6_url_rules, op7_collision_counting, op8_packing, op9_byte_quality, op10_kernel_language)}
-SQL: dict[str, str] = {"op4_ngram_join": jaccard.oracle(), "op5_pfair_mix": mixing.oracle(), "op6_url_rules": url_rules.oracle()}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cut over code points, with digests of the output and of the text rebuilt from it."""
+    made = fim.restore(fim.transform(_docs(spark, sf_dir)))
+    digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, the characters that it repeats, and whether it is kept."""
+    return repetition.judge(_docs(spark, sf_dir))
+
+
+def op13_drift_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every final file of the clients, as read back from the new folder."""
+    return drift.rewrite_drifted(spark.read.parquet(f"{sf_dir}/clients.parquet"))
+
+
+_ALL = (
+    op1_license_scan, op2_imatch, op3_repair_tokens, op4_ngram_join, op5_pfair_mix, op6_url_rules, op7_collision_counting, op8_packing, op9_byte_quality, op10_kernel_language,
+    op11_fill_in_middle, op12_repetition, op13_drift_rewrite,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {
+    "op4_ngram_join": jaccard.oracle(), "op5_pfair_mix": mixing.oracle(), "op6_url_rules": url_rules.oracle(), "op11_fill_in_middle": fim.oracle(), "op12_repetition": repetition.oracle(),
+}
