@@ -1,4 +1,4 @@
-"""Retrieval: postings, BM25, rank fusion, boosts, diversity, normalisation, pagination.
+"""Retrieval: topics, floors, rank fusion, boosts, diversity, normalisation, pagination; the index and its search are in ``search``.
 
 BM25's k1 and b and the tokeniser are our own choice: 1.2, 0.75 and lower-case runs of letters and digits.
 """
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from searchlake.functions.dialect import quantised, sql_list, sql_quantised
 from searchlake.functions.text import sql_words_of, words_of
+from searchlake.operators.search import DEPTH, K1, B
 
-K1, B = 1.2, 0.75
-DEPTH, TOP, PER_DOMAIN, RRF_K = 50, 10, 3, 60
+TOP, PER_DOMAIN, RRF_K = 10, 3, 60
 ABSOLUTE_FLOOR, RELATIVE_FLOOR = 0.5, 0.05
 SEMANTIC_MIN, SEMANTIC_EACH, SEMANTIC_ROWS = 0.80, 0.75, 5
 # fixed values: words that are no topic of a query
@@ -31,9 +31,14 @@ def sql_distinctive(text: str) -> str:
     return f"list_filter({sql_words_of(text)}, lambda w: strlen(w) >= 3 and w not in {sql_list(TOPIC_STOPS)})"
 
 
-def query_terms(queries: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, term): the distinct ones among the first ``most`` distinctive words."""
-    return queries.select("query_id", F.explode(F.array_distinct(F.slice(distinctive(F.col("text")), 1, most))).alias("term"))
+def topics(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct distinctive words."""
+    return queries.select("query_id", F.explode(F.array_distinct(distinctive(F.col("text")))).alias("term"))
+
+
+def query_words(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct words."""
+    return queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -44,38 +49,18 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(words_of(F.col("text")))).alias("avgdl"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of all documents that share a term with a query."""
-    terms = query_terms(queries)
-    found = postings(docs, terms)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    stats = corpus_stats(docs).first()  # two numbers
-    n, mean = F.lit(stats["n"]), F.lit(stats["avgdl"] or 1.0)
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    rows = found.join(df, "term").withColumn("part", part).select("term", "doc_id", "part").join(terms, "term")
-    return rows.groupBy("query_id", "doc_id").agg(quantised(F.sum("part")).alias("score"))
-
-
-def sql_bm25(queries: str = "select item_id as query_id, text from benchmark", docs: str = "select doc_id, text from documents", most: int = 5) -> str:
-    """Common table expressions that end with ``bm25(query_id, doc_id, score)``."""
+def sql_search(queries: str = "select item_id as query_id, text from benchmark", docs: str = "select doc_id, text as content from documents", fields: tuple[str, ...] = ("content",)) -> str:
+    """Common table expressions for queries of plain words, that end with ``bm25(query_id, doc_id, score)``: a sum over the words of a query and the fields."""
+    words = " union all ".join(f"select doc_id, '{f}' as field, {sql_words_of(f'coalesce({f}, {chr(39) * 2})')} as w from ds" for f in fields)
     return f"""qs as ({queries}), ds as ({docs}),
-    terms as (select distinct query_id, unnest(({sql_distinctive('text')})[1:{most}]) as term from qs),
-    dw as (select doc_id, {sql_words_of('text')} as w from ds),
-    post as (select doc_id, dl, term, count(*) as tf from (select doc_id, len(w) as dl, unnest(w) as term from dw) where term in (select term from terms) group by 1, 2, 3),
-    dfs as (select term, count(*)::double as df from post group by 1),
-    stats as (select count(*)::double as n, avg(len(w))::double as avgdl from dw),
-    bm25 as (select query_id, doc_id, {sql_quantised(f"sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / avgdl)))")} as score
-        from post join dfs using (term) join terms using (term) cross join stats group by 1, 2)"""
-
-
-def top_ranked(scores: DataFrame, depth: int = DEPTH) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+    terms as (select query_id, term, count(*)::double as boost from (select query_id, unnest({sql_words_of('text')}) as term from qs) group by 1, 2),
+    topic as (select distinct query_id, unnest({sql_distinctive('text')}) as term from qs),
+    dw as ({words}),
+    post as (select field, doc_id, dl, term, count(*) as tf from (select field, doc_id, len(w) as dl, unnest(w) as term from dw) where term in (select term from terms) group by 1, 2, 3, 4),
+    dfs as (select field, term, count(*)::double as df from post group by 1, 2),
+    stats as (select field, count(*)::double as n, avg(len(w))::double as avgdl from dw group by 1),
+    bm25 as (select query_id, doc_id, {sql_quantised(f"sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / avgdl)))")} as score
+        from post join dfs using (field, term) join terms using (term) join stats using (field) group by 1, 2)"""
 
 
 def floored(ranked: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from searchlake.functions import text as T
 from searchlake.functions import url as U
 from searchlake.functions.dialect import quantised, sql_quantised
 from searchlake.operators import retrieval as R
+from searchlake.operators import search as S
 from searchlake.session import load, spread
 
 
@@ -22,7 +23,18 @@ def asked(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_FAST = f"""with {R.sql_bm25()}, {R.SQL_RANKED},
+def index(spark, sf_dir):
+    """The index of the documents' texts."""
+    source = load(spark, sf_dir, "documents")
+    return S.index_of(spark, source, spread(source).select("doc_id", F.col("text").alias("content")), ("content",), "documents")
+
+
+def retrieved(spark, sf_dir):
+    """What whole benchmark passages find, above the floors."""
+    return R.floored(S.ranked(asked(spark, sf_dir), index(spark, sf_dir)))
+
+
+_FAST = f"""with {R.sql_search()}, {R.SQL_RANKED},
 fused as (select query_id, doc_id, source, (1.0::double / ({R.RRF_K} + rank)) * (1 + 0.3::double * 0.5) as score
     from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r2 from floored) join (select doc_id, source from documents) using (doc_id))
 {R.sql_diverse_top("fused", "source")}"""
@@ -30,9 +42,8 @@ fused as (select query_id, doc_id, source, (1.0::double / ({R.RRF_K} + rank)) *
 
 @query("R1", "F14", "G3", "W1", "W2", "L1", "L2", "G4", "R9", "R12", "R13", "J1", "J3", "O5", sql=_FAST)
 def search_fast(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    kept = R.floored(R.top_ranked(R.bm25(asked(spark, sf_dir), d)))
-    fused = R.fuse(kept).join(d.select("doc_id", "source"), "doc_id").withColumn("score", F.col("rrf") * (1 + 0.3 * F.lit(0.5)))
+    d = load(spark, sf_dir, "documents")
+    fused = R.fuse(retrieved(spark, sf_dir)).join(d.select("doc_id", "source"), "doc_id").withColumn("score", F.col("rrf") * (1 + 0.3 * F.lit(0.5)))
     return R.diverse_top(fused, "source").select("query_id", "doc_id", "source", "position", "score")
 
 
@@ -53,7 +64,7 @@ _TITLES = "select doc_id, array_to_string((string_split(text, ' '))[1:8], ' ') a
 
 @query(
     "R2", "J3",
-    sql=f"""with {R.sql_bm25()}, {R.SQL_RANKED}, t as (select doc_id, {T.sql_words_of('text')} as w from ({_TITLES})),
+    sql=f"""with {R.sql_search()}, {R.SQL_RANKED}, t as (select doc_id, {T.sql_words_of('text')} as w from ({_TITLES})),
     hits as (select distinct terms.query_id, t.doc_id from terms join (select doc_id, unnest(w) as term from t) t using (term))
     select f.query_id, f.doc_id, (h.doc_id is not null) as in_title, {sql_quantised("f.score * case when h.doc_id is not null then 2.0 else 1.0 end")} as score
     from floored f left join hits h on h.query_id = f.query_id and h.doc_id = f.doc_id""",
@@ -61,59 +72,104 @@ _TITLES = "select doc_id, array_to_string((string_split(text, ' '))[1:8], ' ') a
 def title_boost(spark, sf_dir):
     d, q = docs(spark, sf_dir), asked(spark, sf_dir)
     title = d.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
-    hits = R.postings(title, R.query_terms(q)).join(R.query_terms(q), "term").select("query_id", "doc_id", F.lit(True).alias("hit")).distinct()
-    kept = R.floored(R.top_ranked(R.bm25(q, d))).join(hits, ["query_id", "doc_id"], "left").withColumn("in_title", F.coalesce("hit", F.lit(False)))
+    hits = R.postings(title, R.query_words(q)).join(R.query_words(q), "term").select("query_id", "doc_id", F.lit(True).alias("hit")).distinct()
+    kept = retrieved(spark, sf_dir).join(hits, ["query_id", "doc_id"], "left").withColumn("in_title", F.coalesce("hit", F.lit(False)))
     return kept.select("query_id", "doc_id", "in_title", quantised(F.col("score") * F.when(F.col("in_title"), 2.0).otherwise(1.0)).alias("score"))
 
 
 _NOW = 1_706_745_600  # the moment of the search, in seconds
 _PAGES = f"select page_id as doc_id, url, {T.sql_page_title('html')} as title, {T.sql_main_text('html')} as content, {_NOW - 86_400} - page_id % 90 * 43200 as ts from pages"
-_TITLE_QUERIES = "select doc_id as query_id, title as text from pgs where doc_id % 20 = 0"
+_TITLE_QUERIES = f"select doc_id as query_id, array_to_string({T.sql_words_of('title')}, ' ') as text from pgs where doc_id % 20 = 0"
+_FIELDS = ("title", "content")
 
 
 @query(
     "R1", "R2", "R7", "R8", "R9", "R12", "R13", "F14", "L1", "L2", "J1", "J3", "U8",
-    sql=f"""with pgs as materialized ({_PAGES}), titled as (with {R.sql_bm25(_TITLE_QUERIES, "select doc_id, title as text from pgs")}, {R.SQL_RANKED} select distinct query_id, doc_id from ranked),
-    {R.sql_bm25(_TITLE_QUERIES, "select doc_id, title || ' ' || content as text from pgs")}, {R.SQL_RANKED},
+    sql=f"""with pgs as materialized ({_PAGES}), titled as (with {R.sql_search(_TITLE_QUERIES, "select doc_id, title from pgs", ("title",))}, {R.SQL_RANKED} select distinct query_id, doc_id from ranked),
+    {R.sql_search(_TITLE_QUERIES, "select doc_id, title, content from pgs", _FIELDS)}, {R.SQL_RANKED},
     boosted as (select f.query_id, f.doc_id, {U.sql_diversity_domain('p.url')} as domain, 1.0::double / ({R.RRF_K} + row_number() over (partition by f.query_id order by f.score desc, f.doc_id))
         * (1 + 0.5::double * (604800::double / (604800 + {_NOW} - p.ts))) * (1 + 0.3::double * {U.sql_authority('p.url')}) * case when t.doc_id is null then 1 else 2 end as score
         from floored f join pgs p using (doc_id) left join titled t on t.query_id = f.query_id and t.doc_id = f.doc_id)
     {R.sql_diverse_top("boosted", "domain")}""",
 )
 def search_pages(spark, sf_dir):
-    """Pages for the titles of every twentieth page: BM25 over title and content, then freshness, the authority of each page's url and title hits."""
-    html = F.col("html")
-    p = spread(load(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), "url", T.page_title(html).alias("title"), T.main_text(html).alias("content"), (F.lit(_NOW - 86_400) - F.col("page_id") % 90 * 43_200).alias("ts"))
-    q = p.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
-    titled = R.top_ranked(R.bm25(q, p.select("doc_id", F.col("title").alias("text")))).select("query_id", "doc_id", F.lit(True).alias("hit"))
-    kept = R.floored(R.top_ranked(R.bm25(q, p.select("doc_id", F.concat("title", F.lit(" "), "content").alias("text")))))
-    rows = R.fuse(kept).join(p.select("doc_id", "ts", U.diversity_domain(F.col("url")).alias("domain"), U.authority(F.col("url")).alias("authority")), "doc_id").join(titled, ["query_id", "doc_id"], "left")
+    """Pages for the words of the titles of every twentieth page: BM25 of both fields, then freshness, the authority of each page's url and title hits."""
+    ix, p = page_index(spark, sf_dir), load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    q = ix.docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(T.words_of(F.col("title")), " ").alias("text"))
+    only_titles = q.select("query_id", F.concat(F.lit("title:("), "text", F.lit(")")).alias("text"))
+    titled = S.ranked(only_titles, ix).select("query_id", "doc_id", F.lit(True).alias("hit"))
+    ts = F.lit(_NOW - 86_400) - F.col("doc_id") % 90 * 43_200
+    facts = p.select("doc_id", ts.alias("ts"), U.diversity_domain(F.col("url")).alias("domain"), U.authority(F.col("url")).alias("authority"))
+    rows = R.fuse(R.floored(S.ranked(q, ix))).join(facts, "doc_id").join(titled, ["query_id", "doc_id"], "left")
     boost = R.freshness((F.lit(_NOW) - F.col("ts")).cast("double")) * (1 + 0.3 * F.col("authority")) * F.when(F.col("hit"), 2.0).otherwise(1.0)
     return R.diverse_top(rows.withColumn("score", F.col("rrf") * boost), "domain").select("query_id", "doc_id", "domain", "position", "score")
 
 
-@query("R10", "R11", sql=f"""with {R.sql_bm25()}, {R.SQL_RANKED}, n as (select query_id, count(*) as n from terms group by 1),
-    o as (select f.query_id, f.doc_id, count(*) filter (where p.term is not null) as hits from floored f join terms t using (query_id) left join post p on p.doc_id = f.doc_id and p.term = t.term group by 1, 2)
-    select f.query_id, f.doc_id, {sql_quantised("o.hits / n.n::double")} as overlap, {sql_quantised("(0.5 + 0.5 * f.score / f.best) * (0.3 + 0.7 * o.hits / n.n::double)")} as quality
-    from floored f join o using (query_id, doc_id) join n using (query_id)""")
+def page_index(spark, sf_dir):
+    """The index of the pages' titles and contents."""
+    source, html = load(spark, sf_dir, "pages"), F.col("html")
+    p = spread(source).select(F.col("page_id").alias("doc_id"), T.page_title(html).alias("title"), T.main_text(html).alias("content"))
+    return S.index_of(spark, source, p, _FIELDS, "pages")
+
+
+# queries with every operator, made of the first words of a title; and which documents fit each, for the statement
+_SHAPES = {
+    "'+' || a || ' ' || b || ' -' || c": "a and not c",
+    "'\"' || a || ' ' || b || '\" OR title:' || c": "ab or tc",
+    "'(' || a || ' OR ' || b || ') AND ' || c": "(a or b) and c",
+    "a || ' AND NOT ' || b": "a and not b",
+    "'title:(+' || a || ' +' || b || ') content:' || c || '^2'": "(ta and tb) or kc",
+    "'+(' || a || ' -' || b || ') +(' || b || ' ' || c || ')'": "(a and not b) and (b or c)",
+    "'-' || a || ' NOT ' || b": "true",
+    "'\"' || a || ' ' || b": "true",
+}
+_SHAPED = "case floor(query_id / 20) % 8 " + " ".join(f"when {i} then {text}" for i, text in enumerate(_SHAPES)) + " end"
+_FITS = "case floor(query_id / 20) % 8 " + " ".join(f"when {i} then {fit}" for i, fit in enumerate(_SHAPES.values())) + " end"
+_HOLDS = " ".join(f"(list_contains(tw, {w}) or list_contains(cw, {w})) as {w}, list_contains(tw, {w}) as t{w}, list_contains(cw, {w}) as k{w}," for w in "abc").replace(") as a,", ") as has_a,").replace(") as b,", ") as has_b,").replace(") as c,", ") as has_c,")
+
+
+@query(
+    "R1", "J1",
+    sql=f"""with pgs as materialized ({_PAGES}), w as (select doc_id, {T.sql_words_of('title')} as tw, {T.sql_words_of('content')} as cw from pgs),
+    q as (select doc_id as query_id, tw[1] as a, tw[2] as b, tw[3] as c from w where doc_id % 20 = 0 and len(tw) >= 3),
+    h as (select query_id, doc_id, {_HOLDS} contains(' ' || array_to_string(tw, ' ') || ' ', ' ' || a || ' ' || b || ' ') or contains(' ' || array_to_string(cw, ' ') || ' ', ' ' || a || ' ' || b || ' ') as ab from q cross join w),
+    f as (select query_id, doc_id from (select query_id, doc_id, has_a as a, has_b as b, has_c as c, ta, tb, tc, kc, ab from h) where {_FITS})
+    select query_id, count(*)::bigint as found, min(doc_id) as first, sum(doc_id)::bigint as total from f where floor(query_id / 20) % 8 < 6 group by 1
+    union all select query_id, 50, min(doc_id), sum(doc_id)::bigint from q join (select doc_id from w order by doc_id limit 50) on floor(query_id / 20) % 8 >= 6 group by 1""",
+)
+def search_syntax(spark, sf_dir):
+    """What queries with operators, phrases, fields and groups find: how many pages, the first and the sum of their ids. Those that can't be parsed stand for all."""
+    ix = page_index(spark, sf_dir)
+    w = ix.docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), T.words_of(F.col("title")).alias("w")).where(F.size("w") >= 3)
+    q = w.select("query_id", *(F.get("w", i).alias(c) for i, c in enumerate("abc"))).select("query_id", F.expr(_SHAPED).alias("text"))
+    found = S.scores(q, ix)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("doc_id").alias("first"), F.sum("doc_id").alias("total"))
+
+
+@query("R10", "R11", sql=f"""with {R.sql_search()}, {R.SQL_RANKED}, n as (select query_id, count(*) as n from topic group by 1),
+    o as (select f.query_id, f.doc_id, count(p.term) as hits from floored f left join topic t using (query_id) left join post p on p.doc_id = f.doc_id and p.term = t.term group by 1, 2),
+    s as (select f.*, case when n.n is null then 1.0 else o.hits / n.n::double end as overlap from floored f join o using (query_id, doc_id) left join n using (query_id))
+    select query_id, doc_id, {sql_quantised("overlap")} as overlap, {sql_quantised("(0.5 + 0.5 * score / best) * (0.3 + 0.7 * overlap)")} as quality from s""")
 def signal_quality(spark, sf_dir):
-    d, q = docs(spark, sf_dir), asked(spark, sf_dir)
-    terms = R.query_terms(q)
+    """Of all retrieved pairs: the share of the query's distinctive words that the document has (1 if it has none), and the quality made of it."""
+    terms = R.topics(asked(spark, sf_dir))
     sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = R.postings(d, terms).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    rows = R.floored(R.top_ranked(R.bm25(q, d))).join(hits, ["query_id", "doc_id"]).join(sizes, "query_id")
-    overlap = F.col("hits") / F.col("n").cast("double")
+    kept = retrieved(spark, sf_dir)
+    held = index(spark, sf_dir).postings.select("term", "doc_id")
+    hits = kept.select("query_id", "doc_id").join(terms, "query_id").join(held, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    rows = kept.join(hits, ["query_id", "doc_id"], "left").join(sizes, "query_id", "left")
+    overlap = F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("hits", F.lit(0)) / F.col("n").cast("double"))
     return rows.select("query_id", "doc_id", quantised(overlap).alias("overlap"), quantised((0.5 + 0.5 * F.col("score") / F.col("best")) * (0.3 + 0.7 * overlap)).alias("quality"))
 
 
-@query("R10", sql=f"""with {R.sql_bm25()}, {R.SQL_RANKED}, q as (select query_id, list_distinct({R.sql_distinctive('text')}) as t from qs), d as (select doc_id, ' ' || lower(text) as hay from ds)
+@query("R10", sql=f"""with {R.sql_search()}, {R.SQL_RANKED}, q as (select query_id, list_distinct({R.sql_distinctive('text')}) as t from qs), d as (select doc_id, ' ' || lower(content) as hay from ds)
     select query_id, doc_id, {sql_quantised("case when len(t) = 0 then 1 else len(list_filter(t, lambda w: contains(hay, ' ' || w || ' ') or contains(hay, w || '.') or contains(hay, w || ' '))) / len(t)::double end")} as overlap
     from floored join q using (query_id) join d using (doc_id)""")
 def topic_overlap(spark, sf_dir):
     """Of all retrieved pairs: the share of the query's distinctive terms that the document has; 1 for a query without any."""
     asks, d = asked(spark, sf_dir), docs(spark, sf_dir)
     q = asks.select("query_id", F.array_distinct(R.distinctive(F.col("text"))).alias("t"))
-    pairs = R.floored(R.top_ranked(R.bm25(asks, d))).select("query_id", "doc_id")
+    pairs = retrieved(spark, sf_dir).select("query_id", "doc_id")
     rows = pairs.join(q, "query_id").join(d.select("doc_id", F.concat(F.lit(" "), F.lower("text")).alias("hay")), "doc_id")
     found = F.filter("t", lambda w: F.contains(F.col("hay"), F.concat(F.lit(" "), w, F.lit(" "))) | F.contains(F.col("hay"), F.concat(w, F.lit("."))) | F.contains(F.col("hay"), F.concat(w, F.lit(" "))))
     overlap = F.when(F.size("t") == 0, 1.0).otherwise(F.size(found) / F.greatest(F.size("t"), F.lit(1)).cast("double"))
@@ -160,11 +216,13 @@ def merit_ceiling(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", quantised(F.least(F.col("score"), 0.6 + 0.4 * F.least(F.col("relevance") / 0.9, F.lit(1.0)))).alias("score"))
 
 
-@query("R19", sql=f"with {R.sql_bm25()}, n as (select query_id, count(*) as n from terms group by 1) select terms.query_id, doc_id, {sql_quantised('count(*) / max(n.n)::double')} as coverage from post join terms using (term) join n on n.query_id = terms.query_id group by 1, 2 having count(*) >= 2")
+@query("R19", sql=f"with {R.sql_search()}, n as (select query_id, count(*) as n from topic group by 1) select topic.query_id, doc_id, {sql_quantised('count(*) / max(n.n)::double')} as coverage from post join topic using (term) join n on n.query_id = topic.query_id group by 1, 2 having count(*) >= 2")
 def constraint_coverage(spark, sf_dir):
-    terms = R.query_terms(asked(spark, sf_dir))
+    """The share of a query's distinctive words that a document has, for pairs with two or more."""
+    terms = R.topics(asked(spark, sf_dir))
     sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = R.postings(docs(spark, sf_dir), terms).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 2")
+    held = index(spark, sf_dir).postings.select("term", "doc_id")
+    hits = held.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 2")
     return hits.join(sizes, "query_id").select("query_id", "doc_id", quantised(F.col("hits") / F.col("n").cast("double")).alias("coverage"))
 
 
@@ -234,10 +292,15 @@ def negative_token_match(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.exists(w, lambda x: (x == "the") | (F.startswith(x, F.lit("the")) & (F.lit(3) >= 0.75 * F.length(x)))).alias("hit"))
 
 
-@query("G19", sql=f"with {R.sql_bm25()} select query_id, term from terms where term not in (select term from post)")
+_GAPS = "select item_id as query_id, text || ' zygomatic' || item_id % 3 || ' photography' as text from benchmark"
+
+
+@query("G19", sql=f"with {R.sql_search(_GAPS)} select query_id, term from topic where term not in (select term from post)")
 def recall_gap(spark, sf_dir):
-    terms = R.query_terms(asked(spark, sf_dir).unionByName(spark.createDataFrame([(-1, "zygomatic architectural photography techniques")], "query_id long, text string")))
-    return terms.where("query_id >= 0").join(R.postings(docs(spark, sf_dir), terms).select("term").distinct(), "term", "left_anti").select("query_id", "term")
+    """Distinctive words that no document has, of all passages with two more words each."""
+    more = F.concat("text", F.lit(" zygomatic"), (F.col("query_id") % 3).cast("string"), F.lit(" photography"))
+    terms = R.topics(asked(spark, sf_dir).withColumn("text", more))
+    return terms.join(index(spark, sf_dir).terms.select("term"), "term", "left_anti").select("query_id", "term")
 
 
 @query("L3", sql=f"with s as ({_SCORED}) select doc_id, {sql_quantised('score')} as score, (select count(*) from s)::bigint as total, 48 < (select count(*) from s) as has_more from (select * from s order by score desc, doc_id limit 24 offset 24)")

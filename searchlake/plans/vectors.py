@@ -9,6 +9,7 @@ from searchlake.catalog import query
 from searchlake.functions.dialect import quantised, sql_quantised
 from searchlake.operators import retrieval as R
 from searchlake.operators import vectors as V
+from searchlake.plans.ranking import retrieved
 from searchlake.session import load, spread
 
 _E = "select vec_id, list_transform(embedding, lambda x: x::double) as v, label from embeddings"
@@ -86,15 +87,14 @@ def semantic_gate(spark, sf_dir):
     return s.join(open_, "query_id", "left_semi")
 
 
-@query("R7", "J4", "G3", sql=f"""with {R.sql_bm25()}, {R.SQL_RANKED}, e as ({_E}),
+@query("R7", "J4", "G3", sql=f"""with {R.sql_search()}, {R.SQL_RANKED}, e as ({_E}),
     sem as (select query_id, doc_id, row_number() over (partition by query_id order by sim desc, doc_id) as rank from (select q.vec_id as query_id, e.vec_id as doc_id, {sql_quantised('list_inner_product(q.v, e.v)')} as sim
         from e q join e on q.vec_id <> e.vec_id where q.vec_id % 20 = 0) where sim >= 0.3),
     lex as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from floored)
     select query_id, doc_id, {sql_quantised("coalesce(1 / (60.0 + lex.rank), 0)::double + coalesce(1 / (60.0 + sem.rank), 0)::double")} as rrf, lex.rank is not null as lexical from lex full join sem using (query_id, doc_id)""")
 def hybrid_rrf(spark, sf_dir):
     """Lexical and semantic lists fused; the semantic one only adds."""
-    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    lexical = R.floored(R.top_ranked(R.bm25(asked, spread(load(spark, sf_dir, "documents")))))
+    lexical = retrieved(spark, sf_dir)
     s = against(spark, sf_dir, "dot", least=0.3).select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("sim"))
     semantic = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")))
     kept = lexical.select("query_id", "doc_id", F.lit(True).alias("hit"))
