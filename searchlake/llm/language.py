@@ -7,9 +7,10 @@ fill all places, and score as their parts would. A bounded number of landmark te
 spans the Nyström space; one ridge regression per language against the others is solved there. Documents are scored in
 batches, as two matrix products.
 
-Training uses at most ``most_rows`` documents of each language, never of the held-out fold, chosen by a hash of the
-id, of the ``most_languages`` languages with most of them; whole texts are used, and only what they become (``BUCKETS`` half-precision
-numbers each, compressed) reaches the driver.
+Training uses at most ``most_rows`` different documents of each language, never of the held-out fold: those with the smallest
+hashes of id and text, so equal rows count once and rows without an id are told apart. With very many languages each has fewer, so that they are
+``most_total`` together (one a language at least), and fewer landmarks. Whole texts are used, and only what they become (``BUCKETS``
+half-precision numbers each, compressed) reaches the driver.
 
 Defined results: a null text, or one without any letter, gets ``und`` with score 0; so does every text if there is nothing to
 learn from. Documents with null ids belong to the fold of the empty string. Extra columns are ignored; repeated rows are kept.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlake.llm.common import fold_column, fold_of, slices, small_batches
@@ -73,8 +74,9 @@ class Kernel:
         return (texts @ self.landmarks) @ self.weights + self.bias
 
 
-def solve(texts: np.ndarray, targets: np.ndarray, languages: list[str], landmarks_each: int = 48, ridge: float = 1e-2) -> Kernel:
-    """One-versus-rest kernel ridge regression in the Nyström space of the landmarks."""
+def solve(texts: np.ndarray, targets: np.ndarray, languages: list[str], landmarks_each: int = 48, ridge: float = 1e-2, landmarks: int = 9_600) -> Kernel:
+    """One-versus-rest kernel ridge regression in the Nyström space of the landmarks: so many of each language, or of all together."""
+    landmarks_each = max(1, min(landmarks_each, landmarks // len(languages)))
     x = texts.astype(np.float32)
     marks = np.concatenate([np.flatnonzero(targets == k)[:landmarks_each] for k in range(len(languages))])
     land = x[marks].T.copy()
@@ -93,39 +95,36 @@ def solve(texts: np.ndarray, targets: np.ndarray, languages: list[str], landmark
     return Kernel(languages, land, (root @ beta).astype(np.float32), (aim - mean @ beta).astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 400, most_languages: int = 200) -> Kernel | None:
-    """A model from at most ``most_rows`` documents of each of ``most_languages`` languages, held-out fold excluded."""
-    small_batches(docs.sparkSession)
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 400, most_total: int = 40_000) -> DataFrame:
+    """(text, lang, h) of at most ``most_rows`` different labelled documents of each language: a bounded number at any size of the table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (fold_column("doc_id") != 2))
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
-    counts = {r["lang"]: r["n"] for r in counted.collect()}
+    rows = rows.where(F.col("lang").isNotNull() & (fold_column("doc_id") != 2) & F.rlike("text", F.lit(r"\p{L}"))).withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one number a language
     if not counts:
-        return None
-    # a share of the hash range that holds a little more than wanted; the surplus is cut off below
-    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * most_rows + 40) / n))))
-    share = F.element_at(shares, F.col("lang"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = rows.where(place < share).select("doc_id", "text", "lang", place.alias("place"))
+        return rows.select("text", "lang", "h").where("false")
+    most = max(1, min(most_rows, most_total // len(counts)))
+    # a share of the hash range that holds some more than wanted, so that few rows are ranked
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.5 * most + 40) / max(n, 1)))))
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(1 << 30)
+    near = rows.where(place < F.element_at(shares, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("text", "lang", "h")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 400, most_total: int = 40_000) -> Kernel | None:
+    """A model of all languages, from at most ``most_rows`` documents of each, held-out fold excluded."""
+    small_batches(docs.sparkSession)
+    rows = sample(docs, id_col, text_col, lang_col, most_rows, most_total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                names, langs, places, sets = [], [], [], []
-                for name, text, lang, where in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    if text and has_letter(text):
-                        names.append(name)
-                        langs.append(lang)
-                        places.append(where)
-                        sets.append(zlib.compress(profile(text).astype(np.float16).tobytes(), 1))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(langs, pa.string()), pa.array(places, pa.float64()), pa.array(sets, pa.binary())], names=["doc_id", "lang", "place", "vector"])
-
-    got = sorted(rows.mapInArrow(run, "doc_id long, lang string, place double, vector binary").collect(), key=lambda r: (r["lang"], r["place"], r["doc_id"] or 0, bytes(r["vector"])))
+                sets = [zlib.compress(profile(t).astype(np.float16).tobytes(), 1) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(sets, pa.binary())], names=["lang", "h", "vector"])
+
     kept: dict[str, list[bytes]] = {}
-    for r in got:
-        mine = kept.setdefault(r["lang"], [])
-        if len(mine) < most_rows:
-            mine.append(bytes(r["vector"]))
+    for r in sorted(rows.mapInArrow(run, "lang string, h long, vector binary").collect(), key=lambda r: (r["lang"], r["h"])):
+        kept.setdefault(r["lang"], []).append(bytes(r["vector"]))
     languages = sorted(kept)
     if not languages:
         return None
