@@ -129,6 +129,49 @@ def test_mixing(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def plain_mix(rows, weights, other, block):
+    """(position, id, source) by ranking the rows of every stream and walking through the schedule."""
+    import hashlib
+
+    names, each = list(weights), [*weights.values(), other]
+    streams = [[] for _ in each]
+    for i, s in rows:
+        streams[names.index(s) if s in names else len(names)].append((int(hashlib.md5(f"{'' if i is None else i}:{s or ''}".encode()).hexdigest()[:15], 16), i is not None, i or 0, s is not None, s or "", i, s))
+    for mine in streams:
+        mine.sort(key=lambda r: r[:5])
+    taken, out, plan, t = [0] * len(each), [], mixing.plan_rows(each), 0
+    while len(out) < len(rows):
+        s = plan[t % len(plan)][1]
+        out += streams[s][taken[s] : taken[s] + block]
+        taken[s], t = taken[s] + block, t + 1
+    return [(p, r[5], r[6]) for p, r in enumerate(out)]
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_mixing_splits_hot_ids_and_equal_rows(spark, hot):
+    """Missing ids, one id, and rows equal in all columns, in numbers far above a bucket."""
+    rows = [(hot, f"src{k % 3}") for k in range(4000)] + [(hot, f"site{k}") for k in range(3000)] + [(hot, None)] * 2000 + [(k, "src0") for k in range(500)]
+    docs = spark.createDataFrame([(i, s, f"text {k % 1000 if k < 4000 else 0}") for k, (i, s) in enumerate(rows)], "doc_id long, source string, text string").repartition(4)
+    weights = {"src0": 2, "src1": 1}
+    got = sorted((r.position, r.doc_id, r.source) for r in mixing.mix(docs, weights, 3, block=16, bucket_rows=100).collect())
+    assert [g[0] for g in got] == list(range(9500)) and got == plain_mix(rows, weights, 3, 16)
+    carried = mixing.mix(docs, weights, 3, block=16, bucket_rows=100, carry=True)
+    kept = carried.select("position", "row.*").collect()
+    assert sorted(r.position for r in kept) == list(range(9500))
+    assert sorted(map(repr, carried.select("row.*").collect())) == sorted(map(repr, docs.collect()))
+    assert {(r.position, r.doc_id, r.source) for r in carried.select("position", "doc_id", "source").collect()} == set(got)
+
+
+def test_no_task_of_the_mixture_holds_a_hot_group(spark):
+    docs = spark.range(0, 60_000, numPartitions=4).select(mixing.F.lit(None).cast("long").alias("doc_id"), mixing.F.lit("src0").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = mixing.mix(docs, bucket_rows=500).groupBy(mixing.F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in sizes) == 60_000 and max(r["count"] for r in sizes) <= 30_000
+
+
 @pytest.mark.parametrize("weights", [[1], [1, 1], [3, 1, 2], [16, 6, 6, 6, 30], [1, 99], [7, 11, 13]])
 def test_schedule(spark, weights):
     got = [(r.slot, r.stream, r.k, list(r.before)) for r in mixing.schedule(spark, weights).orderBy("slot").collect()]
@@ -261,6 +304,17 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("name", [None, 12])
+def test_language_sample_is_bounded(spark, name):
+    """Rows that share an id, or have none, are told apart by their texts; equal rows count once."""
+    rows = [(name, f"the river number {i} and the stone {i * i}", "en") for i in range(4000)] + [(None, "la maison et le pont", "fr")] * 2000 + [(i, f"das haus {i}", "de") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    counts = lambda d: {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    assert counts(language.sample(docs, most_rows=50)) == {"en": 50, "fr": 1, "de": 50}
+    assert counts(language.sample(docs, most_rows=50, most_total=60)) == {"en": 20, "fr": 1, "de": 20}
+    assert sorted(language.fit(docs, most_rows=50).languages) == ["de", "en", "fr"]
+
+
 def plain_grams(text):
     """Distinct n-grams of one to four bytes of the lower-cased text."""
     data = text.lower().encode()
