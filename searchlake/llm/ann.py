@@ -15,7 +15,7 @@ Equal vectors of a block are handled as one with its smallest ids: of those, onl
 among the nearest ``k``.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part,
-neither as query nor as candidate; a query compares only with vectors of its own length. Ties go
+neither as query nor as candidate; finite ones of any length do (they are scaled by powers of two first). A query compares only with vectors of its own length. Ties go
 to the smaller id; rows without an id take no part; repeated ids count once for each different vector, and all vectors of a
 query's id share one list. Extra columns are ignored. A query without any candidate gives no row.
 """
@@ -29,6 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that their largest components lie in [0.5, 1): squares neither overflow nor vanish, and no bit of a cosine changes."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("n_verified", pa.int64()), ("lead", pa.bool_())])
 
 
@@ -63,12 +71,12 @@ def _lines(dim: int, projections: int, width: float, sure: float) -> Lines:
 class BlockIndex:
     """Sorted projections of the vectors of one block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, projections: int = 256, width: float = 1.5, sure: float = 0.97):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, projections: int = 128, width: float = 1.5, sure: float = 0.97):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order], dtype=np.float64) + 0.0
         rows = vectors.view([("", f"V{vectors.shape[1] * 8}")]).ravel()
         _, first, same = np.unique(rows, return_index=True, return_inverse=True)
-        self.vectors = vectors[first]
+        self.vectors = scaled(vectors[first])
         by_class = np.argsort(same, kind="stable")
         begins = np.searchsorted(same[by_class], np.arange(len(first) + 1))
         self.ids = [np.unique(ids[by_class[a:b]])[: k + 1] for a, b in zip(begins, begins[1:])]
@@ -108,7 +116,7 @@ class BlockIndex:
 
     def _search(self, names: np.ndarray, queries: np.ndarray):
         n, k = len(self.vectors), self.k
-        queries = np.ascontiguousarray(queries, dtype=np.float64) + 0.0
+        queries = scaled(np.ascontiguousarray(queries, dtype=np.float64) + 0.0)
         lengths = np.sqrt((queries * queries).sum(axis=1))
         shadow = (queries / lengths[:, None]).astype(np.float32) @ self.lines.lines
         # a narrow window first: a tenth of each projection on either side
@@ -187,7 +195,7 @@ def _matcher(k: int, projections: int, width: float, sure: float):
     return match
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 256, width: float = 1.5, sure: float = 0.97, block: int = 16_384, query_block: int = 4_096) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 128, width: float = 1.5, sure: float = 0.97, block: int = 16_384, query_block: int = 4_096) -> DataFrame:
     """The ``k`` nearest found for every row whose id is divisible by ``every``: query_id, rank, vec_id, score, n_verified.
 
     Blocks of queries meet blocks of vectors; both are bounded, so is every task. ``n_verified`` is how many vectors

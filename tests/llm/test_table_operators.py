@@ -493,3 +493,20 @@ def test_quality_chunks_cover_every_byte():
         assert b"".join(r[: quality.CHUNK].tobytes() for r in rows[firsts[k] : stop])[: len(text)] == text
         for r, after in zip(rows[firsts[k] : stop], rows[firsts[k] + 1 : stop]):
             assert np.array_equal(r[quality.CHUNK :], after[: quality.WIDTH])
+
+
+@pytest.mark.parametrize("size", [1e-300, 5e-324, 1e-200, 1.0, 1e200, 1e300])
+def test_nearest_of_vectors_of_any_length(spark, size):
+    """Finite vectors take part however long or short they are; powers of two change no bit of a cosine."""
+    r = np.random.default_rng(4)
+    plain = np.round(r.standard_normal((300, 8)) * 4)
+    plain[~plain.any(axis=1)] = 1
+    rows = [(i, [float(x) * (size if i % 3 == 0 else 1.0) for x in v]) for i, v in enumerate(plain)]
+    got = {}
+    for x in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    unit = plain / np.sqrt((plain * plain).sum(axis=1))[:, None]
+    for q in range(0, 300, 50):
+        want = np.sort(np.delete(unit @ unit[q], q))[::-1][:5]
+        found = [s for _, _, s in sorted(got[q])]
+        assert len(found) == 5 and all(np.isfinite(found)) and np.abs(np.asarray(found) - want).max() < 1e-9
