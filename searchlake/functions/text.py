@@ -54,26 +54,40 @@ def sql_page_title(html: str) -> str:
     return f"case when regexp_matches({html}, '(?i)<title[^>]*>') then {sql_decoded(f'regexp_extract({html}, {chr(39)}(?is)<title[^>]*>(.*?)</title>{chr(39)}, 1)')} else 'No Title' end"
 
 
-def main_text(html: Column, cap: int = 6500) -> Column:
-    """Text of the first of main, article and body that has over 500 bytes, else of the last that is there."""
-    out = F.lit("")
-    for tag in ("body", "article", "main"):
-        inner = untagged(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
-        there = F.rlike(html, F.lit(f"(?i)<{tag}[ >]"))
-        out = F.when(there & (F.octet_length(inner) > 500), inner).otherwise(out if tag != "body" else F.when(there, inner).otherwise(""))
-    return F.left(out, F.lit(cap))
+def sql_page_texts(html: str, tag: str) -> str:
+    """The inside of the first element of a name, up to its end tag or the end of the page."""
+    return f"regexp_extract({html}, '(?is)<{tag}[^>]*>(.*?)(?:</{tag}>|$)', 1)"
+
+
+def sql_page_decoded(text: str) -> str:
+    """The entities of the pages; a reference decodes once, so ampersands come last."""
+    for old, new in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
 
 
 def sql_main_text(html: str, cap: int = 6500) -> str:
+    """For pages without other selectors: of main, article and body the first with over 500 bytes, else the last that is there."""
     out = "''"
     for tag in ("body", "article", "main"):
-        inner = sql_untagged(f"regexp_extract({html}, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)")
+        inner = sql_collapsed(sql_page_decoded(f"regexp_replace(regexp_replace({sql_page_texts(html, tag)}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"))
         there = f"regexp_matches({html}, '(?i)<{tag}[ >]')"
         rest = out if tag != "body" else f"case when {there} then {inner} else '' end"
         out = f"case when {there} and strlen({inner}) > 500 then {inner} else {rest} end"
     return f"left({out}, {cap})"
 
 
+def sql_text_nodes(inside: str) -> str:
+    """Text nodes joined by blanks, white space as it is."""
+    return sql_page_decoded(f"regexp_replace(regexp_replace({inside}, '(?s)^(<[^>]*>)+|(<[^>]*>)+$', '', 'g'), '(?s)(<[^>]*>)+', ' ', 'g')")
+
+
+def sql_one_shot(html: str) -> str:
+    """For pages with article and body only: the article if it has over 200 bytes, else the body, at most 5000 characters."""
+    article, body = (sql_text_nodes(sql_page_texts(html, tag)) for tag in ("article", "body"))
+    return f"left(trim(case when strlen({article}) > 200 then {article} else {body} end, ' ' || chr(9) || chr(10) || chr(13)), 5000)"
+
+
 _MEASURES = StructType([StructField("entropy", DoubleType()), *(StructField(n, LongType()) for n in ("letters", "solid", "words"))])
 
 
@@ -215,6 +229,16 @@ def rough_epoch(date: Column) -> Column:
     return F.when(ok, ((y - 1970).cast("long") * 365 + (m - 1) * 30 + d) * 86400)
 
 
+def publication(dates: Column, url: Column) -> Column:
+    """Rough seconds of the first date that is one: of the given marks in their order, else of the first place of each pattern in the url."""
+    at = []
+    for pattern in (r"/(\d{4})/(\d{2})/(\d{2})/", r"/(\d{4})/(\d{2})/()", r"(\d{4})-(\d{2})-(\d{2})"):
+        y, m, d = (F.regexp_extract(F.lower(url), pattern, i) for i in (1, 2, 3))
+        at.append(F.concat(y, F.lit("-"), m, F.lit("-"), F.when(d == "", "01").otherwise(d)))
+    found = F.filter(F.transform(F.concat(dates, F.array(*at)), rough_epoch), lambda t: t.isNotNull())
+    return F.get(found, 0)
+
+
 def exact_epoch(date: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(F.left(F.trim(date), F.lit(10)), F.lit("yyyy-MM-dd")))
 

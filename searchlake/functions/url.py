@@ -240,3 +240,37 @@ def sql_resource_kind(url: str) -> str:
 def video_host(url: Column) -> Column:
     host = parsed_host(url)
     return has_any(host, VIDEO_HOSTS)
+
+
+def url_parts(url: Column) -> Column:
+    """scheme, authority, path, query and fragment of a reference; null where it has none (a path may be empty)."""
+    def part(pattern: str) -> Column:
+        return F.when(F.rlike(url, F.lit(pattern)), F.regexp_extract(url, pattern, 1))
+
+    scheme = "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?"
+    return F.struct(
+        part("^([a-zA-Z][a-zA-Z0-9+.-]*):").alias("scheme"), part(f"{scheme}//([^/?#]*)").alias("authority"), F.regexp_extract(url, f"{scheme}(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
+        part(r"^[^?#]*\?([^#]*)").alias("query"), part("(?s)#(.*)$").alias("fragment"),
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; paths that don't begin with a slash stay."""
+    segments = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"),
+        lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))),
+    )
+    end = F.when(F.rlike(path, F.lit(r"/\.\.?$")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.rlike(path, F.lit(r"^/(.*/)?\.\.?(/|$)")), F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))).otherwise(path)
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """The reference with parts ``ref`` against an absolute base with parts ``base``, by the rules of RFC 3986, scheme and authority in lower case; null without a base scheme."""
+    merged = F.when(base["authority"].isNotNull() & (base["path"] == ""), F.concat(F.lit("/"), ref["path"])).otherwise(F.concat(F.regexp_extract(base["path"], "(?s)^(.*/)?", 1), ref["path"]))
+    own = ref["scheme"].isNotNull() | ref["authority"].isNotNull()
+    path = F.when(own | F.startswith(ref["path"], F.lit("/")), without_dots(ref["path"])).when(ref["path"] == "", base["path"]).otherwise(without_dots(merged))
+    query = F.when(~own & (ref["path"] == "") & ref["query"].isNull(), base["query"]).otherwise(ref["query"])
+    authority = F.when(own, ref["authority"]).otherwise(base["authority"])
+    optional = lambda mark, value: F.coalesce(F.concat(F.lit(mark), value), F.lit(""))
+    return F.concat(F.lower(F.coalesce(ref["scheme"], base["scheme"])), F.lit(":"), optional("//", F.lower(authority)), path, optional("?", query), optional("#", ref["fragment"]))

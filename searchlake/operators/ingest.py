@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from searchlake.functions import text as T
+from searchlake.functions import html
 from searchlake.functions import url as U
 from searchlake.functions.dialect import has_any, sql_any
 
 # fixed values: what a link may not hold
 SKIPPED = (".pdf", ".zip", ".tar", ".gz", ".exe", ".dmg", ".jpg", ".png", ".gif", ".svg", ".css", ".js", "#", "javascript:", "mailto:")
 _HREF = r"<a\s[^>]*href=[\"']([^\"']*)[\"']"
+# for the statement: the pages' references are absolute or begin with a slash
 _ORIGIN = "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, cap: int = 6500) -> DataFrame:
     """page_id, url, title, content."""
-    html = F.col("html")
-    return pages.select("page_id", "url", T.page_title(html).alias("title"), T.main_text(html).alias("content"))
+    return html.extracted(pages, want=("title", "content"), cap=cap)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Absolute http links of every page (page_id, link, pos), first place of each; root-relative and absolute references."""
-    hrefs = F.regexp_extract_all("html", F.lit(_HREF), 1)
-    out = pages.select("page_id", F.regexp_extract("url", _ORIGIN, 1).alias("origin"), F.posexplode(hrefs).alias("pos", "href"))
-    link = F.when(F.rlike("href", F.lit("^https?://")), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat("origin", "href"))
-    out = out.select("page_id", F.col("pos").cast("integer").alias("pos"), link.alias("link"))
-    out = out.where(F.col("link").isNotNull() & ~has_any(F.lower("link"), SKIPPED)).withColumn("k", U.crawl_key(F.col("link")))
-    return out.groupBy("page_id", "k").agg(F.min(F.struct("pos", "link")).alias("f")).select("page_id", "f.link", "f.pos")
+    """http links of every page (page_id, link, pos), resolved against its url, the first place of each; null for a url that is no base."""
+    out = html.extracted(pages, want=("hrefs",)).withColumn("base", U.url_parts(F.col("url"))).where("base.scheme is not null")
+    out = out.select("page_id", "base", F.posexplode("hrefs").alias("pos", "href")).withColumn("ref", U.url_parts(F.trim(F.regexp_replace("href", r"[\t\n\r]", ""))))
+    out = out.select("page_id", "pos", U.resolved(F.col("base"), F.col("ref")).alias("link"))
+    out = out.where(F.rlike("link", F.lit("(?i)^https?://")) & ~has_any(F.lower("link"), SKIPPED)).withColumn("k", U.crawl_key(F.col("link")))
+    return out.groupBy("page_id", "k").agg(F.min(F.struct("pos", "link")).alias("f")).select("page_id", "f.link", F.col("f.pos").cast("integer").alias("pos"))
 
 
 def sql_links(table: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from searchlake.catalog import query
+from searchlake.functions import html
 from searchlake.functions import predicates as P
 from searchlake.functions import text as T
 from searchlake.functions import url as U
@@ -113,7 +114,8 @@ def page_title(spark, sf_dir):
 
 @query("T10", "S1", sql=f"select page_id, main_text, cast(length(main_text) as integer) as n_chars from (select page_id, {T.sql_main_text('html')} as main_text from pages)")
 def page_main_text(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", T.main_text(F.col("html")).alias("main_text")).withColumn("n_chars", F.length("main_text"))
+    e = html.extracted(pages(spark, sf_dir), keep=("page_id",), want=("content",))
+    return e.select("page_id", F.col("content").alias("main_text"), F.length("content").alias("n_chars"))
 
 
 @query("T19", sql=f"select page_id, {T.sql_decoded('html')} as decoded from pages")
@@ -202,9 +204,40 @@ def crawl_to_index(spark, sf_dir):
     )
 
 
-@query("S2", sql=f"select page_id, left({T.sql_untagged('regexp_extract(html, ' + chr(39) + '(?is)<article[^>]*>(.*?)</article>' + chr(39) + ', 1)')}, 5000) as content from pages")
+@query("S2", sql=f"select page_id, {T.sql_one_shot('html')} as content from pages")
 def one_shot_crawl(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.left(T.untagged(F.regexp_extract("html", "(?is)<article[^>]*>(.*?)</article>", 1)), F.lit(5000)).alias("content"))
+    """The text of the first selector with over 200 bytes, white space as it is, at most 5000 characters."""
+    return html.extracted(pages(spark, sf_dir), keep=("page_id",), want=("one_shot",)).withColumnRenamed("one_shot", "content")
+
+
+# a page's own html with the mark of a date in front, and its url with a date in it
+_META = ("property=\"article:published_time\"", "property=\"article:modified_time\"", "name=\"datePublished\"", "name=\"date\"", "name=\"DC.date\"", "name=\"dcterms.modified\"", "itemprop=\"datePublished\"")
+
+
+def _marked(day: str, other: str) -> str:
+    """A mark by page_id: each of the seven metas, a time element, or none; the third in four has another, later meta too, which counts less."""
+    metas = " ".join(f"when {i} then '<meta {m} content=\"' || {day} || 'T08:00:00Z\">'" for i, m in enumerate(_META))
+    return f"case page_id % 12 {metas} when 7 then '<body><time datetime=\"' || {day} || '\">today</time>' else '' end || case when page_id % 4 = 2 then '<meta itemprop=\"datePublished\" content=\"{other}\">' else '' end"
+
+
+def _dated(day: str) -> str:
+    return f"case page_id % 12 when 8 then url || '/' || replace({day}, '-', '/') || '/' when 9 then url || '/' || replace(left({day}, 7), '-', '/') || '/x' when 10 then url || '?on=' || {day} else url end"
+
+
+_OTHER = 20 + 31 * 365  # day 20 of January 2001 in rough days, less the years to 1970
+_ROUGH = f"case when y between 2000 and 2030 and m between 1 and 12 and d between 1 and 31 then ((y - 1970) * 365 + (m - 1) * 30 + d) * 86400 end"
+
+
+@query("T12", "T13", sql=f"""with p as (select page_id, page_id % 12 as mark, page_id % 4 = 2 as two, 1999 + page_id % 33 as y, 1 + page_id % 13 as m, 1 + page_id % 32 as d from pages),
+    r as (select *, {_ROUGH} as rough, case when y between 2000 and 2030 and m between 1 and 12 then ((y - 1970) * 365 + (m - 1) * 30 + 1) * 86400 end as month from p)
+    select page_id, coalesce(cast(case when mark <= 6 then coalesce(rough, case when two and mark < 6 then {_OTHER} * 86400 end) when two then {_OTHER} * 86400 when mark = 9 then month when mark in (7, 8, 10) then rough end as bigint), -1) as published from r""")
+def publication_date(spark, sf_dir):
+    """Pages with dates in metas, time elements and urls, some of them out of bounds: the rough seconds of the first that counts, else -1."""
+    day = F.format_string("%04d-%02d-%02d", 1999 + F.col("page_id") % 33, 1 + F.col("page_id") % 13, 1 + F.col("page_id") % 32)
+    marked = F.concat(F.expr(_marked("day", "2001-01-20")), "html").alias("html")
+    rows = pages(spark, sf_dir).select("page_id", "url", "html", day.alias("day")).select("page_id", F.expr(_dated("day")).alias("url"), marked)
+    found = html.extracted(rows, want=("dates",))
+    return found.select("page_id", F.coalesce(T.publication(F.col("dates"), F.col("url")), F.lit(-1).cast("long")).alias("published"))
 
 
 _TITLED = "case page_id % 7 when 0 then 'free porn' when 1 then 'Adult Education in Essex' when 2 then '150 funny jokes' when 3 then 'apple | meaning' when 4 then 'Top 10 java frameworks' when 5 then 'cheap essay services' else 'Plain page' end"

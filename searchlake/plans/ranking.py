@@ -10,6 +10,7 @@ from searchlake.functions import predicates as P
 from searchlake.functions import text as T
 from searchlake.functions import url as U
 from searchlake.functions.dialect import quantised, sql_quantised
+from searchlake.operators import ingest
 from searchlake.operators import retrieval as R
 from searchlake.operators import search as S
 from searchlake.session import load, spread
@@ -107,9 +108,8 @@ def search_pages(spark, sf_dir):
 
 def page_index(spark, sf_dir):
     """The index of the pages' titles and contents."""
-    source, html = load(spark, sf_dir, "pages"), F.col("html")
-    p = spread(source).select(F.col("page_id").alias("doc_id"), T.page_title(html).alias("title"), T.main_text(html).alias("content"))
-    return S.index_of(spark, source, p, _FIELDS, "pages")
+    source = load(spark, sf_dir, "pages")
+    return S.index_of(spark, source, ingest.extract(spread(source)).withColumnRenamed("page_id", "doc_id"), _FIELDS, "pages")
 
 
 # queries with every operator, made of the first words of a title; and which documents fit each, for the statement

@@ -79,23 +79,44 @@ def moving_average(events: DataFrame, keep: float = 0.7) -> DataFrame:
     return keyed.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, ewma double", "n long, average double", "update", GroupStateTimeout.NoTimeout)
 
 
-def crawl_loop(spark: SparkSession, landing: str, index: str, frontier: str, checkpoint: str, cap: int = 6500):
+#: Entries that the frontier holds, and the share of it from which pages give no more of them.
+FRONTIER_MOST, FRONTIER_FULL = 50_000, 0.8
+
+
+def before(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
+    """Rows that batches before this one have written; none if there are none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < number).drop("batch")
+
+
+def crawl_loop(spark: SparkSession, landing: str, index: str, frontier: str, checkpoint: str, cap: int = 6500, seen: str | None = None, most: int = FRONTIER_MOST):
     """Pages that land in a folder go through extraction and the quality gate into the index; their new links go to the frontier folder.
 
     Structured Streaming has no cycles, so the frontier folder is what the fetcher reads next. Every batch writes to its own
-    folder by number, so a batch that is run again after a failure replaces what it wrote.
+    folders by number and reads those of the batches before it, so a batch that is run again after a failure replaces what it wrote
+    with the same. A link is new if no batch has fetched its page and none has put it into the frontier; from
+    ``FRONTIER_FULL`` of ``most`` entries that wait to be fetched, pages give no more.
     """
     from searchlake.functions import text as T
     from searchlake.functions import url as U
     from searchlake.operators import ingest
 
+    seen = seen or f"{frontier}-seen"
+
     def write(batch: DataFrame, number: int) -> None:
-        rows = ingest.extract(batch).withColumn("content", F.left("content", F.lit(cap))).withColumn("m", T.measures(F.col("content")))
+        rows = ingest.extract(batch, cap).withColumn("m", T.measures(F.col("content")))
         worthy = rows.where(T.indexworthy(F.col("title"), F.col("content"), F.col("m")))
         worthy = worthy.select("url", "title", "content", F.col("page_id").alias("ts"), U.authority(F.col("url")).alias("authority"))
         worthy.write.mode("overwrite").parquet(f"{index}/batch={number}")
-        seen = batch.select(U.crawl_key(F.col("url")).alias("k"))
-        ingest.discover(ingest.page_links(batch), seen).write.mode("overwrite").parquet(f"{frontier}/batch={number}")
+        fetched = batch.select(U.crawl_key(F.col("url")).alias("k")).where("k is not null").distinct()
+        fetched.write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        fetched = before(spark, seen, number + 1, "k string")
+        queued = before(spark, frontier, number, "url string, priority double, source string, found_on long").select(F.col("url").alias("k"))
+        waiting = queued.join(fetched, "k", "left_anti").count()
+        links = ingest.page_links(batch) if waiting < FRONTIER_FULL * most else spark.createDataFrame([], "page_id long, link string, pos int")
+        ingest.discover(links, fetched.unionByName(queued)).write.mode("overwrite").parquet(f"{frontier}/batch={number}")
 
     pages = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", 4).parquet(landing)
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -76,10 +76,7 @@ def test_text(spark):
     assert [one(spark, T.currency(F.col("s")), s=x) for x in ("$5 CAD", "20 euro", "Rs 5", "¥", "?")] == ["CAD", "EUR", "INR", "JPY", "USD"]
 
 
-def test_main_text(spark):
-    long = "word " * 150
-    assert one(spark, T.main_text(F.col("h")), h=f"<body>menu<article><p>{long}</p></article></body>") == long.strip()
-    assert one(spark, T.main_text(F.col("h")), h="<body>menu<article><p>short</p></article></body>") == "menu short"
+def test_page_title(spark):
     assert one(spark, T.page_title(F.col("h")), h="<html></html>") == "No Title"
 
 
