@@ -67,7 +67,14 @@ SAMPLES = (
     "recette gateau pour une fete", "laptop price:200-900 lang:en", "react vs vue", "latest rust releases", "who is ada lovelace", "tell me a joke", "what is dark matter", "alternative to notion",
     "cheap phones in germany en-US", "kubernetes ingress tls configuration", "intitle:guide after:2024-01-01 before:2024-06-01 -site:pinterest.com", "over five years of data inurl github",
 )
-QUERY_TEXT = "case (conv_id + turn) % 20 " + " ".join(f"when {i} then {quoted(t)}" for i, t in enumerate(SAMPLES)) + " else text end"
+def sql_with_samples(rows: str, samples: tuple[str, ...]) -> str:
+    """All rows (conv_id, turn, text) and each sample once, under negative ids."""
+    return f"{rows} union all select * from (values " + ", ".join(f"({-1 - i}, 0, {quoted(t)})" for i, t in enumerate(samples)) + ") as s(conv_id, turn, text)"
+
+
+def with_samples(rows: DataFrame, samples: tuple[str, ...]) -> DataFrame:
+    more = rows.sparkSession.createDataFrame([(-1 - i, 0, t) for i, t in enumerate(samples)], rows.schema)
+    return rows.unionByName(more)
 
 
 def phrases(text: Column) -> Column:

@@ -120,11 +120,8 @@ DEVOPS = ("devops", "ci/cd", "kubernetes", "infrastructure", "terraform", "deplo
 TECH = ("app", "software", "api", "platform", "system", "bot", "code", "develop", "build")
 LIFESTYLE = ("cook", "cooking", "recipe", "bake", "baking", "garden", "gardening", "fitness", "workout", "guitar", "piano", "singing", "meditation", "yoga", "photography")
 ART_WORD = r"(^|\s)(art|artwork)(\s|$)"
-#: Sample goals for the conversation table, whose own words are invented.
-GOAL_TEXT = "case (conv_id + turn) % 15 " + " ".join(
-    f"when {i} then '{t}'"
-    for i, t in enumerate(("Write a fantasy novel", "Design a logo", "Research quantum machine learning", "Learn kubernetes", "Start a SaaS business", "Build a chatbot", "Make an android app", "Create a website", "Design a REST API backend", "Write embedded firmware", "Set up terraform", "Learn guitar", "Practice yoga", "Build some software"))
-) + " else text end"
+#: Sample goals beside the conversations, whose own words are invented.
+GOALS = ("Write a fantasy novel", "Design a logo", "Research quantum machine learning", "Learn kubernetes", "Start a SaaS business", "Build a chatbot", "Make an android app", "Create a website", "Design a REST API backend", "Write embedded firmware", "Set up terraform", "Learn guitar", "Practice yoga", "Build some software")
 
 
 def sub_domain(text: Column) -> Column:

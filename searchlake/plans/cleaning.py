@@ -35,13 +35,15 @@ def page_prices(spark, sf_dir):
     return C.page_prices(load(spark, sf_dir, "pages").select("page_id", F.expr(_OFFER).alias("html")), "page_id")
 
 
-_SNIPPETS = "case doc_id % 3 when 0 then 'Now 19.99 USD in stock' when 1 then 'Price: $5' else text end"
+_FACTS = ("Now 19.99 USD in stock", "Price: $5", "sold out of stock", "no facts at all")
+_SNIPPETS = "select doc_id, text as s from documents union all select -1 - i, s from (values " + ", ".join(f"({i}, {quoted(s)})" for i, s in enumerate(_FACTS)) + ") f(i, s)"
 
 
-@query("C5", sql=f"select doc_id, try_cast(coalesce(nullif(regexp_extract(s, '([0-9]+[.][0-9]+) USD', 1), ''), nullif(regexp_extract(s, '[$]([0-9]+)', 1), '')) as double) as price, case when regexp_matches(s, '[0-9]+[.][0-9]+ USD|[$][0-9]') or regexp_matches(lower(s), '\\b(in stock|out of stock)\\b') then 'snippet_extracted' end as source from (select doc_id, {_SNIPPETS} as s from documents)")
+@query("C5", sql=f"select doc_id, try_cast(coalesce(nullif(regexp_extract(s, '([0-9]+[.][0-9]+) USD', 1), ''), nullif(regexp_extract(s, '[$]([0-9]+)', 1), '')) as double) as price, case when regexp_matches(s, '[0-9]+[.][0-9]+ USD|[$][0-9]') or regexp_matches(lower(s), '\\b(in stock|out of stock)\\b') then 'snippet_extracted' end as source from ({_SNIPPETS})")
 def snippet_prices(spark, sf_dir):
     """Every snippet is searched; one without a price or an availability (documents have no titles, so no names) has no source."""
-    d = load(spark, sf_dir, "documents").select("doc_id", F.expr(_SNIPPETS).alias("s"))
+    d = spread(load(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("s"))
+    d = d.unionByName(spark.createDataFrame([(-1 - i, s) for i, s in enumerate(_FACTS)], "doc_id long, s string"))
     stock = F.rlike(F.lower("s"), F.lit(r"\b(in stock|out of stock)\b"))
     found = F.coalesce(F.nullif(F.regexp_extract("s", "([0-9]+[.][0-9]+) USD", 1), F.lit("")), F.nullif(F.regexp_extract("s", "[$]([0-9]+)", 1), F.lit("")))
     return d.select("doc_id", found.cast("double").alias("price"), F.when(found.isNotNull() | stock, "snippet_extracted").alias("source"))

@@ -9,6 +9,7 @@ from searchlake.catalog import query
 from searchlake.functions import predicates as P
 from searchlake.functions import url as U
 from searchlake.functions.dialect import quantised, sql_quantised
+from searchlake.functions.querylang import sql_with_samples, with_samples
 from searchlake.operators import commerce as C
 from searchlake.session import load
 
@@ -110,9 +111,9 @@ def goal_store(spark, sf_dir):
     return C.goal_ids(c.groupBy(F.lower(F.trim("text")).alias("goal")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first")))
 
 
-@query("Q31", sql=f"select conv_id, turn, {C.sql_sub_domain('t')} as domain from (select conv_id, turn, {C.GOAL_TEXT} as t from conversations)")
+@query("Q31", sql=f"select conv_id, turn, {C.sql_sub_domain('t')} as domain from ({sql_with_samples('select conv_id, turn, text as t from conversations', C.GOALS)})")
 def goal_domain(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(C.GOAL_TEXT).alias("t"))
+    c = with_samples(load(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t")), C.GOALS)
     return c.select("conv_id", "turn", C.sub_domain(F.col("t")).alias("domain"))
 
 

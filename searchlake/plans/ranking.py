@@ -355,9 +355,14 @@ def indexworthy(spark, sf_dir):
     return d.select("doc_id", T.indexworthy(F.col("source"), F.col("text"), F.col("m")).alias("worthy"))
 
 
-@query("F2", "F3", sql=f"select doc_id, {P.sql_junk('t')} as junk, {P.sql_junk('t', 'doc_id % 2 = 0')} as junk_lenient from (select doc_id, case doc_id % 9 when 0 then 'Video Item Preview' when 1 then 'a b c' when 2 then ' ' else text end as t from documents)")
+_JUNK = ("Video Item Preview", "a b c", " ")
+_JUDGED = "select doc_id, text as t from documents union all select -1 - i, t from (values " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_JUNK)) + ") j(i, t)"
+
+
+@query("F2", "F3", sql=f"select doc_id, {P.sql_junk('t')} as junk, {P.sql_junk('t', 'doc_id % 2 = 0')} as junk_lenient from ({_JUDGED})")
 def junk_filter(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.expr("case doc_id % 9 when 0 then 'Video Item Preview' when 1 then 'a b c' when 2 then ' ' else text end").alias("t"))
+    """Every document, and three texts that are junk."""
+    d = docs(spark, sf_dir).select("doc_id", F.col("text").alias("t")).unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_JUNK)], "doc_id long, t string"))
     return d.select("doc_id", P.junk(F.col("t")).alias("junk"), P.junk(F.col("t"), F.col("doc_id") % 2 == 0).alias("junk_lenient"))
 
 

@@ -13,11 +13,12 @@ from searchlake.functions.dialect import quantised, sql_list, sql_quantised
 from searchlake.operators import understand as N
 from searchlake.session import load, spread
 
-_Q = f"select conv_id, turn, {L.QUERY_TEXT} as text from conversations"
+_Q = L.sql_with_samples("select conv_id, turn, text from conversations", L.SAMPLES)
 
 
 def asked(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(L.QUERY_TEXT).alias("text"))
+    """Every text of the conversations, and the sample queries."""
+    return L.with_samples(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), L.SAMPLES)
 
 
 def guessed(spark, sf_dir):
