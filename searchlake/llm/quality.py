@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import fold_column, fold_of, slices, small_batches
+from searchlake.llm.common import Scratch, fold_column, fold_of, slices, small_batches
 
 CHUNK, WIDTH, STRIDE, SIZE, FILTERS, HIDDEN = 256, 8, 2, 6, 40, 16
 LIMIT = 0.7
@@ -109,7 +109,7 @@ class ByteNet:
             "emb": np.stack([np.bincount(flat, spread[:, k], minlength=256) for k in range(SIZE)], axis=1),
         }
 
-    def train(self, rows: np.ndarray, fill: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 3e-3, seed: int = 5) -> None:
+    def train(self, rows: np.ndarray, fill: np.ndarray, labels: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 3e-3, seed: int = 5) -> None:
         """Adam steps over chunks in random order."""
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
@@ -143,9 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         first = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
         order.update((r["doc_id"], y) for r in first.select("doc_id").collect())
     small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # one pass over all documents: what may be learned from is few texts, which are read again from a table of their own
+    scratch = Scratch(spark)
+    named = F.broadcast(spark.createDataFrame([(i,) for i in order], "doc_id long"))
+    few = scratch.save(slim.join(named, "doc_id", "left_semi"), "labelled")
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + CHUNK)
-    sizes = {r["doc_id"]: r["n"] for r in slim.where(F.col("doc_id").isin(list(order))).groupBy("doc_id").agg(size.alias("n")).collect()}
+    sizes = {r["doc_id"]: r["n"] for r in few.groupBy("doc_id").agg(size.alias("n")).collect()}
     chosen, left = {}, {0: most_bytes, 1: most_bytes}
     for name, y in order.items():
         if sizes.get(name, most_bytes + 1) <= left[y]:
@@ -165,8 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     fills += fill.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(chunks, pa.binary()), pa.array(fills, pa.float32())], names=["doc_id", "chunk", "fill"])
 
-    wanted = slim.where(F.col("doc_id").isin(list(chosen)))
+    wanted = few.join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id", "left_semi").select("doc_id", "text")
     got = wanted.mapInArrow(cut, "doc_id long, chunk binary, fill float").orderBy("doc_id", "chunk").collect()  # most_bytes a class, as counted above
+    scratch.drop()
     if not got:
         return None
     rows = np.frombuffer(b"".join(bytes(r["chunk"]) for r in got), dtype=np.uint8).reshape(len(got), -1)
