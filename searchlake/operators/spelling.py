@@ -10,11 +10,14 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from searchlake.functions.dialect import quantised
+from searchlake.functions.metaphone import encode
 from searchlake.functions.text import words_of
 
 # fixed values: thresholds of the ladder
@@ -106,24 +109,54 @@ def osa_distance(a: str, b: str, most: int = MOST_EDITS) -> int:
     return table[len(a), len(b)]
 
 
+def nearest(typos: DataFrame, words: DataFrame) -> DataFrame:
+    """(typo, best, edits, freq): of the words that share a form and are within ``MOST_EDITS`` edits and swaps the nearest, then the most frequent."""
+
+    @F.pandas_udf(IntegerType())
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([osa_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    plain = F.levenshtein("typo", "word")
+    # beyond twice as many plain edits swaps don't help
+    near = meetings(typos, words).where(plain <= 2 * MOST_EDITS)
+    near = near.withColumn("edits", F.when(plain <= 1, plain).otherwise(distance("typo", "word"))).where(F.col("edits") <= MOST_EDITS)
+    best = F.min(F.struct("edits", (-F.col("freq")).alias("minus"), "word")).alias("b")
+    return near.groupBy("typo").agg(best).select("typo", F.col("b.word").alias("best"), F.col("b.edits").cast("int").alias("edits"), (-F.col("b.minus")).alias("freq"))
+
+
 def collapsed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
-_SOUNDS = ((r"^(kn|gn|pn|wr)", "n"), ("ph", "f"), ("gh", ""), ("sch|tch|ch|sh", "x"), ("th", "0"), ("dg", "j"), ("c(?=[eiy])", "s"), ("[cq]", "k"), ("x", "ks"), ("z", "s"), ("[dt]", "t"), ("[bp]", "p"), ("[vf]", "f"), ("g", "k"), ("w|h|y", ""))
+@F.pandas_udf(StringType())
+def sound_code(words: pd.Series) -> pd.Series:
+    """The Double Metaphone code of ASCII words, null for others."""
+    return words.map(lambda w: encode(w) or None if w is not None and w.isascii() else None)
+
+
+def letters_dropped(typo: Column, word: Column) -> Column:
+    """The typo is the word without one or more of its letters."""
+    place = F.aggregate(F.split(typo, ""), F.lit(0), lambda at, c: F.when(at >= 0, F.coalesce(F.nullif(F.call_function("locate", c, word, at + 1), F.lit(0)), F.lit(-1))).otherwise(-1))
+    return (F.length(word) > F.length(typo)) & (place >= 0)
+
+
+def sound_matches(typos: DataFrame, words: DataFrame, most: int = 3) -> DataFrame:
+    """(typo, word, freq, dropped) of common words of the same sound that the typo, absent from the dictionary, drops up to ``most`` letters of: an equi-join on the code."""
+    asked = typos.select(F.col("word").alias("typo")).distinct().join(words.select("word"), F.col("typo") == F.col("word"), "left_anti").withColumn("code", sound_code("typo"))
+    named = words.where(F.col("freq") >= COMMON).select("word", "freq").withColumn("code", sound_code("word"))
+    dropped = F.length("word") - F.length("typo")
+    return asked.where("code is not null").join(named, "code").where(dropped.between(1, most) & letters_dropped(F.col("typo"), F.col("word"))).select("typo", "word", "freq", dropped.alias("dropped"))
 
 
-def sound_key(word: str) -> str:
-    """A short phonetic code: consonants by sound, vowels only at the start (our own simplification of the usual codes)."""
-    out = word.lower()
-    for old, new in _SOUNDS:
-        out = re.sub(old, new, out)
-    head, tail = out[:1], re.sub("[aeiou]", "", out[1:])
-    return collapsed(("a" if head in "aeiou" else head) + tail)
+def with_seeds(words: DataFrame, seeds: dict[str, str] | None = None) -> DataFrame:
+    """The dictionary with the known misspellings, as rare words, and what they stand for."""
+    seeds = SEEDS if seeds is None else seeds
+    more = {right: 0.05 for right in seeds.values()} | {typo: RARE for typo in seeds if typo not in seeds.values()}
+    return words.unionByName(words.sparkSession.createDataFrame(list(more.items()), "word string, freq double").join(words.select("word"), "word", "left_anti"))
 
 
 class Speller:
-    """The correction ladder over a dictionary held in memory."""
+    """The correction ladder: a dictionary with its seeds held in memory, candidates from joins."""
 
     def __init__(self, words: dict[str, float], protected=PROTECTED, seeds=None):
         self.words = dict(words)
@@ -133,12 +166,7 @@ class Speller:
             self.words.setdefault(typo, RARE)
         self.protected = frozenset(protected)
         counts: dict[str, int] = {}
-        #: Words that the seeds bring along, which no dictionary table has.
-        self.added = [w for w in self.words if w not in words]
-        self.by_sound: dict[str, list[str]] = {}
         for word in self.words:
-            if word.isascii():
-                self.by_sound.setdefault(sound_key(word), []).append(word)
             for i in range(len(word) - 1):
                 counts[word[i : i + 2]] = counts.get(word[i : i + 2], 0) + 1
         whole = sum(counts.values()) + 0.5 * len(counts) or 1.0
@@ -156,19 +184,16 @@ class Speller:
 
     def candidates(self, word: str, others) -> list[tuple[int, float, str]]:
         """(edits, -frequency, word) of those among ``others`` that can stand for the word, nearest and most frequent first."""
-        fit = [o for o in {*others, *self.added} if o != word and self.words.get(o, 0) >= RARE and set(o[:3]) & set(word[:3])]
+        fit = [o for o in set(others) if o != word and self.words.get(o, 0) >= RARE and set(o[:3]) & set(word[:3])]
         return sorted((edits, -self.words[o], o) for o in fit if (edits := osa_distance(word, o)) <= MOST_EDITS)
 
-    def sounds_like(self, word: str) -> str | None:
-        """A common word of the same sound that the input drops letters of."""
-        for other in sorted(self.by_sound.get(sound_key(word), ()), key=lambda w: (-self.words[w], w)):
-            letters = iter(other)
-            if self.words[other] >= COMMON and 1 <= osa_distance(word, other) <= 3 and all(c in letters for c in word) and self.strangeness(word, other) <= STRANGE:
-                return other
-        return None
+    def sounds_like(self, word: str, sounds) -> str | None:
+        """Of common words of the same sound that the input drops letters of, the nearest, then the most frequent."""
+        fit = [w for w in set(sounds) if self.strangeness(word, w) <= STRANGE]
+        return min(fit, key=lambda w: (len(w), -self.words[w], w), default=None)
 
-    def correct(self, word: str, others=()) -> str | None:
-        """The correction of a lower-case word, or nothing; ``others`` are the dictionary words that share a delete form with it."""
+    def correct(self, word: str, others=(), sounds=()) -> str | None:
+        """The correction of a lower-case word, or nothing; ``others`` are the dictionary words that share a delete form with it, ``sounds`` its :func:`sound_matches`."""
         if len(word) < 3 or (len(word) == 3 and word in self.words) or word in self.protected:
             return None
         if word in self.seeds:
@@ -178,7 +203,7 @@ class Speller:
             return None
         near = self.candidates(word, others)
         if not near:
-            return self.sounds_like(word) if freq is None and word.isascii() else None
+            return self.sounds_like(word, sounds) if freq is None else None
         edits, minus, best = near[0]
         if freq is not None:
             one_letter = len(word) == len(best) and sum(a != b for a, b in zip(word, best)) == 1
@@ -194,6 +219,7 @@ _SKIP = r"[./\\@#$]|\d"
 
 def correct_words(words: DataFrame, known: DataFrame) -> DataFrame:
     """(word, corrected) of every distinct word that the ladder changes."""
+    known = with_seeds(known)
     table = {r["word"]: r["freq"] for r in known.collect()}  # the dictionary, bounded by its size
     shared = words.sparkSession.sparkContext.broadcast(table)
     schema = pa.schema([("word", pa.string()), ("corrected", pa.string())])
@@ -201,13 +227,15 @@ def correct_words(words: DataFrame, known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(shared.value)
         for batch in batches:
-            rows = [(w, speller.correct(w, others)) for w, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [(w, speller.correct(w, others, sounds)) for w, others, sounds in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             rows = [r for r in rows if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], schema=schema)
 
     asked = words.select("word").distinct().where((F.length("word") >= 4) & ~F.rlike("word", F.lit(_SKIP)))
     near = meetings(asked, known).groupBy(F.col("typo").alias("word")).agg(F.collect_list(F.col("word")).alias("others"))  # of the dictionary, so bounded
-    return asked.join(near, "word", "left").select("word", F.coalesce("others", F.array().cast("array<string>")).alias("others")).mapInArrow(run, "word string, corrected string")
+    heard = sound_matches(asked, known).groupBy(F.col("typo").alias("word")).agg(F.collect_list(F.col("word")).alias("sounds"))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return asked.join(near, "word", "left").join(heard, "word", "left").select("word", listed("others"), listed("sounds")).mapInArrow(run, "word string, corrected string")
 
 
 def correct_queries(queries: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -49,13 +49,63 @@ def median_perplexity(spark, sf_dir):
     return p.agg(F.array_sort(F.collect_list("perplexity")).alias("v")).select(F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median"))
 
 
-@query("J10", "P4", "O9")
+def _sql_bytes(word: str) -> str:
+    """Every letter as one byte: edits are counted in bytes there. Words are in lower case, so capitals are free."""
+    return f"translate({word}, 'àáâäçèéêëìíîïñòóôöùúûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
+
+
+def _sql_forms(table: str, key: str) -> str:
+    """(key, form): the word, and what is left of it without one or two characters."""
+    one = f"select {key}, substr({key}, 1, i - 1) || substr({key}, i + 1) as form from (select {key}, unnest(range(1, length({key})::int + 1)) as i from {table} where length({key}) >= 2)"
+    two = f"select {key}, substr(form, 1, i - 1) || substr(form, i + 1) as form from (select {key}, form, unnest(range(1, length(form)::int + 1)) as i from ({one}) where length({key}) >= 3)"
+    return f"(select {key}, {key} as form from {table} union {one} union {two})"
+
+
+# a misspelling of every word: it lacks one letter, or two neighbours are swapped, by its length and first letter
+_PLACE = "1 + (length(word) * 7 + ascii(word)) % (length(word) - 1)"
+_MISSPELT = f"case when length(word) % 2 = 0 then substr(word, 1, {_PLACE} - 1) || substr(word, {_PLACE} + 1) else substr(word, 1, {_PLACE} - 1) || substr(word, {_PLACE} + 1, 1) || substr(word, {_PLACE}, 1) || substr(word, {_PLACE} + 2) end"
+
+
+def misspelt(words):
+    return words.where(F.length("word") >= 4).select(F.col("word").alias("meant"), F.expr(_MISSPELT.replace("length(word) * 7", "cast(length(word) as int) * 7")).alias("word"))
+
+
+@query("J10", "P4", "O9", sql=f"with {_WORDS} select a.word as typo, b.word, b.freq, levenshtein({_sql_bytes('a.word')}, {_sql_bytes('b.word')})::integer as edits from (select distinct a.word as x, b.word as y from {_sql_forms('dict', 'word')} a join {_sql_forms('dict', 'word')} b using (form)) p join dict a on a.word = p.x join dict b on b.word = p.y where levenshtein({_sql_bytes('a.word')}, {_sql_bytes('b.word')}) <= 2")
 def linear_candidates(spark, sf_dir):
     """Every dictionary word against the whole dictionary."""
     words = known(spark, sf_dir)
     return S.near_words(words.select("word"), words)
 
 
+_TYPOS = f"typos as (select distinct t as typo from (select {_MISSPELT} as t from dict where length(word) >= 4) where t not in (select word from dict))"
+
+
+@query("P3", "P2", "J9", sql=f"""with {_WORDS}, {_TYPOS}, pairs2 as (select distinct typo, word from {_sql_forms('typos', 'typo')} a join {_sql_forms('dict', 'word')} b using (form)),
+    near as (select * from (select typo, word, freq, damerau_levenshtein({_sql_bytes('typo')}, {_sql_bytes('word')}) as edits from pairs2 join dict using (word)) where edits <= 2)
+    select typo, word as best, edits::integer as edits, freq from (select *, row_number() over (partition by typo order by edits, freq desc, word) as r from near) where r = 1""")
+def spell_nearest(spark, sf_dir):
+    """For a misspelling of every dictionary word that is none itself: the nearest word by edits and swaps, then the most frequent."""
+    words = known(spark, sf_dir)
+    typos = misspelt(words).select("word").distinct().join(words.select("word"), "word", "left_anti")
+    return S.nearest(typos, words)
+
+
+@query("J11", "P6")
+def spell_sounds(spark, sf_dir):
+    """For every dictionary word without its vowels after the first letter, and without its last letter: the common words of the same sound that it drops letters of."""
+    words = known(spark, sf_dir)
+    short = F.explode(F.array(F.concat(F.left("word", F.lit(1)), F.regexp_replace(F.substr("word", F.lit(2)), "[aeiou]", "")), F.left("word", F.length("word") - 1)))
+    return S.sound_matches(words.select(short.alias("word")), words)
+
+
+@query("P5", "P6", "P9", "P11", "F20")
+def spell_ladder(spark, sf_dir):
+    """The ladder over the misspellings of the whole dictionary, with what each was meant to be."""
+    words = known(spark, sf_dir)
+    asked = misspelt(words)
+    return asked.join(S.correct_words(asked.select("word"), words), "word").select("meant", "word", "corrected")
+
+
 @query("P8", sql=f"with {_WORDS} select word, array_to_string(list_transform(list_filter(range(1, length(word)::int + 1), lambda i: i = 1 or substr(word, i::int, 1) <> substr(word, i::int - 1, 1)), lambda i: substr(word, i::int, 1)), '') as collapsed from dict")
 def collapse_doubles(spark, sf_dir):
     return known(spark, sf_dir).select("word", F.regexp_replace("word", r"(.)\1+", "$1").alias("collapsed"))

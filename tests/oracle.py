@@ -41,5 +41,7 @@ def compare(spark, con, fn, sql: str, sf_dir: str) -> int:
     names = [d[0] for d in result.description]
     theirs = rows_of(names, result.fetchall())
     assert sorted(df.columns) == sorted(names)
-    assert mine == theirs, f"{[r for r in mine if r not in theirs][:3]} against {[r for r in theirs if r not in mine][:3]}"
+    if mine != theirs:
+        a, b = set(mine), set(theirs)
+        raise AssertionError(f"{[r for r in mine if r not in b][:3]} against {[r for r in theirs if r not in a][:3]}")
     return len(mine)
