@@ -40,14 +40,24 @@ def score_spread(spark, sf_dir):
     return K.spread(predictions(spark, sf_dir), "p")
 
 
-@query("G14")
+def _rounded(found: str) -> str:
+    return f"select round(slope, 4) as slope, round(intercept, 4) as intercept, round(loss, 6) as loss, n, round(base_rate, 6) as base_rate from ({found})"
+
+
+@query("G14", sql=_rounded(K.sql_platt(_P, "p", "y")))
 def platt_fit(spark, sf_dir):
-    return K.platt(predictions(spark, sf_dir), "p", "y")
+    found = K.platt(predictions(spark, sf_dir), "p", "y")
+    return found.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("loss", 6).alias("loss"), "n", F.round("base_rate", 6).alias("base_rate"))
+
+
+@query("G15", sql="select vec_id, label, cast((row_number() over (order by label, vec_id) - 1) % 5 as integer) as fold from embeddings")
+def probe_folds(spark, sf_dir):
+    return K.stratified(load(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 
 @query("G15", "Q24")
 def probe_train(spark, sf_dir):
-    return K.probe_folds(load(spark, sf_dir, "embeddings"))
+    return K.probe_grid(load(spark, sf_dir, "embeddings"))
 
 
 @query("G4", "R13", sql="select doc_id, source, (floor(n_chars / max(n_chars) over (partition by source)::double * 1e6 + 0.5) / 1e6) as score from documents")

@@ -11,6 +11,7 @@ from searchlake.functions import querylang as L
 from searchlake.functions import text as T
 from searchlake.functions.dialect import quantised, sql_list, sql_quantised
 from searchlake.operators import understand as N
+from searchlake.plans.ranking import index
 from searchlake.session import load, spread
 
 _Q = L.sql_with_samples("select conv_id, turn, text from conversations", L.SAMPLES)
@@ -240,17 +241,63 @@ def expand_query(spark, sf_dir):
     return N.expand(guessed(spark, sf_dir))
 
 
-_PAIR = "bigrams as (select w[i:i+1] as b, count(*) as n from (select w, unnest(range(1, length(w)::int)) as i from words) group by 1), total as (select sum(n)::double as t, count(*)::double as k from bigrams)"
-
-
-@query("Q26", "R22", sql=f"""with words as (select distinct unnest({T.sql_words_of('text')}) as w from ({_Q})), corpus as (select term as w, count(*)::double as n from (select unnest({T.sql_words_of('text')}) as term from documents) group by 1),
-    m as (select max(n) as m from corpus) select w as word, {sql_quantised("least(1, (1 - ln(1 + coalesce(n, 0)) / ln(1 + m)) * case when length(w) <= 4 then 1.15 when length(w) >= 10 then 0.7 else 1.0 end)")} as entityness, n is null as rare from words left join corpus using (w) cross join m""")
+_CONSONANTS = "^[^aeiou]{3}$"
+_LETTERS = "letters as (select w, n, unnest(range(1, length(w)::int + 1))::int as i from corpus)"
+_RARITY = f"""corpus as (select term as w, count(*)::double as n from (select unnest({T.sql_words_of('text')}) as term from documents) where regexp_matches(term, '^\\p{{L}}+$') group by 1), {_LETTERS},
+    one as (select part, 1 - f / max(f) over () as rarity from (select substr(w, i, 1) as part, sum(n) as f from letters group by 1)),
+    two as (select part, 1 - f / max(f) over () as rarity from (select substr(w, i, 2) as part, sum(n) as f from letters where i < length(w) group by 1)),
+    words as (select distinct unnest({T.sql_words_of('text')}) as word from ({_Q})), spelt as (select word, unnest(range(1, length(word)::int + 1))::int as i from words where regexp_matches(word, '^\\p{{L}}+$') and strlen(word) >= 2),
+    u as (select word, avg(coalesce(rarity, 1)) as ur from spelt left join one on part = substr(word, i, 1) group by 1), b as (select word, avg(coalesce(rarity, 1)) as br from spelt left join two on part = substr(word, i, 2) where i < length(word) group by 1),
+    e as (select word, case when u.ur is null then 0.3 else least(1, (0.6 * coalesce(br, 0.5) + 0.4 * ur) * case when strlen(word) <= 4 then 1.15 when strlen(word) >= 10 then 0.7 else 1.0 end) end as entityness from words left join u using (word) left join b using (word))"""
+_SHORTENED = f"""case when strlen(word) not between 2 and 8 or not regexp_matches(word, '^\\p{{L}}+$') then 0.0 else least(1, greatest(0,
+    0.5 * greatest(0, 1 - least(1, len(list_filter(string_split(word, ''), lambda c: c in ('a', 'e', 'i', 'o', 'u'))) / length(word)::double / 0.45))
+    + 0.3 * case length(word) when 2 then 0.9 when 3 then 1.0 when 4 then 0.85 when 5 then 0.6 else 0.3 end
+    + 0.2 * len(list_filter(range(3, length(word)::int + 1), lambda i: regexp_matches(substr(word, i - 2, 3), '{_CONSONANTS}'))) / length(word)::double)) end"""
+
+
+def rarities(spark, sf_dir):
+    """Two tables (part, rarity): letters and pairs of letters by how seldom the documents' words have them, against the most common one."""
+    counts = index(spark, sf_dir).postings.where(F.rlike("term", F.lit(r"^\p{L}+$"))).groupBy("term").agg(F.sum("tf").cast("double").alias("n"))
+    letters = counts.select("term", "n", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("i"))
+    out = []
+    for size in (1, 2):
+        f = letters.where(F.col("i") + size - 1 <= F.length("term")).groupBy(F.substring("term", F.col("i"), F.lit(size)).alias("part")).agg(F.sum("n").alias("f"))
+        most = f.agg(F.max("f").alias("m"))
+        out.append(f.join(F.broadcast(most), F.lit(True)).select("part", (1 - F.col("f") / F.col("m")).alias("rarity")))
+    return out
+
+
+@query("Q26", "R22", sql=f"with {_RARITY} select word, {sql_quantised('entityness')} as entityness, {sql_quantised(_SHORTENED)} as abbreviation, word not in (select w from corpus) as rare from e")
 def entityness(spark, sf_dir):
-    """Rarity of a word in the corpus, short words up, long words down; absent words are rare anchors."""
+    """How much a word looks like a name (rare letters and pairs, .4 and .6, short words up, long ones down) and like an abbreviation; and whether the documents lack it."""
     words = asked(spark, sf_dir).select(F.explode(T.words_of(F.col("text"))).alias("word")).distinct()
-    corpus = spread(load(spark, sf_dir, "documents")).select(F.explode(T.words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    most = corpus.agg(F.max("n").alias("m"))
-    rows = words.join(corpus, "word", "left").join(F.broadcast(most), F.lit(True))
-    shape = F.when(F.length("word") <= 4, 1.15).when(F.length("word") >= 10, 0.7).otherwise(1.0)
-    score = F.least(F.lit(1.0), (1 - F.log1p(F.coalesce("n", F.lit(0.0))) / F.log1p("m")) * shape)
-    return rows.select("word", quantised(score).alias("entityness"), F.col("n").isNull().alias("rare"))
+    spelt = words.where(F.rlike("word", F.lit(r"^\p{L}+$")) & (F.octet_length("word") >= 2)).select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    scores = words
+    for size, table, name in zip((1, 2), rarities(spark, sf_dir), ("ur", "br")):
+        parts = spelt.where(F.col("i") + size - 1 <= F.length("word")).withColumn("part", F.substring("word", F.col("i"), F.lit(size)))
+        scores = scores.join(parts.join(table, "part", "left").groupBy("word").agg(F.avg(F.coalesce("rarity", F.lit(1.0))).alias(name)), "word", "left")
+    shape = F.when(F.octet_length("word") <= 4, 1.15).when(F.octet_length("word") >= 10, 0.7).otherwise(1.0)
+    score = F.when(F.col("ur").isNull(), 0.3).otherwise(F.least(F.lit(1.0), (0.6 * F.coalesce("br", F.lit(0.5)) + 0.4 * F.col("ur")) * shape))
+    known = index(spark, sf_dir).terms.where(F.rlike("term", F.lit(r"^\p{L}+$"))).select(F.col("term").alias("word"), F.lit(True).alias("known"))
+    return scores.join(known, "word", "left").select("word", quantised(score).alias("entityness"), quantised(shortened(F.col("word"))).alias("abbreviation"), F.col("known").isNull().alias("rare"))
+
+
+def shortened(word):
+    """Few vowels, few letters and runs of three consonants speak for an abbreviation."""
+    size = F.length(word)
+    vowels = F.size(F.filter(F.split(word, ""), lambda c: c.isin(*"aeiou")))
+    runs = F.size(F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i >= 3) & F.rlike(F.substring(word, i - 2, F.lit(3)), F.lit(_CONSONANTS))))
+    length = F.when(size == 2, 0.9).when(size == 3, 1.0).when(size == 4, 0.85).when(size == 5, 0.6).otherwise(0.3)
+    score = 0.5 * F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), vowels / size / 0.45)) + 0.3 * length + 0.2 * runs / size
+    return F.when(~F.octet_length(word).between(2, 8) | ~F.rlike(word, F.lit(r"^\p{L}+$")), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+
+
+@query("Q26", sql=f"""with {_RARITY}, q as ({_Q}), n as (select word from e where entityness >= 0.5 and strlen(word) >= 3 and regexp_matches(word, '^\\p{{L}}+$')),
+    h as (select distinct conv_id, turn from (select conv_id, turn, unnest({T.sql_words_of('text')}) as word from q) join n using (word))
+    select q.conv_id, q.turn, regexp_matches(text, '(^|\\s)\\p{{Lu}}') or h.conv_id is not null as named from q left join h on h.conv_id = q.conv_id and h.turn = q.turn""")
+def brand_queries(spark, sf_dir):
+    """Whether a text has a word with a capital first, or one of three bytes or more that looks like a name."""
+    q = asked(spark, sf_dir)
+    names = entityness(spark, sf_dir).where((F.col("entityness") >= 0.5) & (F.octet_length("word") >= 3) & F.rlike("word", F.lit(r"^\p{L}+$"))).select("word")
+    hits = q.select("conv_id", "turn", F.explode(F.array_distinct(T.words_of(F.col("text")))).alias("word")).join(names, "word", "left_semi").select("conv_id", "turn", F.lit(True).alias("hit")).distinct()
+    return q.join(hits, ["conv_id", "turn"], "left").select("conv_id", "turn", (F.rlike("text", F.lit(r"(^|\s)\p{Lu}")) | F.coalesce("hit", F.lit(False))).alias("named"))

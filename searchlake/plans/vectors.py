@@ -61,15 +61,39 @@ def centroid_classify(spark, sf_dir):
     return best.select("vec_id", "label", (-F.col("b.k")).alias("predicted"), F.col("b.s").alias("score"))
 
 
-@query("Q24", sql=f"""with {_CENTRE}, z as (select vec_id, centre, exp((4 * s - max(4 * s) over (partition by vec_id)) / 1.2) as z from s)
-    select vec_id, centre as label, {sql_quantised("z / sum(z) over (partition by vec_id)")} as p from z""")
-def probe_softmax(spark, sf_dir):
-    """Softmax with a temperature of at least 1.2 over a linear probe; the weights are four times the class centroids."""
+_SOFTMAX = f"""{_CENTRE}, z as (select vec_id, centre, exp((4 * s - max(4 * s) over (partition by vec_id)) / 1.2) as z from s),
+    probs as (select vec_id, centre as label, {sql_quantised("z / sum(z) over (partition by vec_id)")} as p from z)"""
+
+
+def probe(spark, sf_dir):
+    """(vec_id, z): label and probability of every class, by a softmax with a temperature of 1.2 over a linear probe; its weights are four times the class centroids."""
     e = rows(spark, sf_dir)
     c = V.centroids(e, "label", "v").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
     logits = F.transform("cs", lambda c: 4 * quantised(V.cosine(F.col("v"), c["centroid"])))
     probs = e.join(F.broadcast(c), F.lit(True)).select("vec_id", F.arrays_zip(F.transform("cs", lambda c: c["label"]).alias("label"), V.softmax(logits, 1.2).alias("p")).alias("z"))
-    return probs.select("vec_id", F.explode("z").alias("z")).select("vec_id", F.col("z.label").alias("label"), quantised(F.col("z.p")).alias("p"))
+    return probs.select("vec_id", F.transform("z", lambda z: F.struct(z["label"].alias("label"), quantised(z["p"]).alias("p"))).alias("z"))
+
+
+@query("Q24", sql=f"with {_SOFTMAX} select vec_id, label, p from probs")
+def probe_softmax(spark, sf_dir):
+    return probe(spark, sf_dir).select("vec_id", F.explode("z").alias("z")).select("vec_id", "z.label", "z.p")
+
+
+# the floor is a fixed value; base and slope of the confidence, and the label to fall back to, are our own
+_FLOOR, _BASE, _SLOPE, _FALLBACK = 0.55, 0.5, 1.5, 0
+
+
+@query("Q24", sql=f"""with {_SOFTMAX}, r as (select *, row_number() over (partition by vec_id order by p desc, label) as r from probs),
+    t as (select vec_id, max(label) filter (where r = 1) as winner, max(p) filter (where r = 1) - coalesce(max(p) filter (where r = 2), 0) as margin from r group by 1),
+    sure as (select *, least(greatest({_BASE} + margin * {_SLOPE}, 0), 1) as confidence from t)
+    select vec_id, case when confidence < {_FLOOR} then {_FALLBACK} else winner end as label, winner, {sql_quantised("margin")} as margin, {sql_quantised("confidence")} as confidence from sure""")
+def probe_confidence(spark, sf_dir):
+    """The probe's class with a confidence from the margin of the best two; below the floor the fallback label stands."""
+    order = F.array_sort(F.transform("z", lambda z: F.struct((-z["p"]).alias("minus"), z["label"].alias("label"))))
+    top = probe(spark, sf_dir).select("vec_id", order.alias("o")).select("vec_id", F.get("o", 0)["label"].alias("winner"), (F.coalesce(F.get("o", 1)["minus"], F.lit(0.0)) - F.get("o", 0)["minus"]).alias("margin"))
+    sure = top.withColumn("confidence", F.least(F.greatest(_BASE + F.col("margin") * _SLOPE, F.lit(0.0)), F.lit(1.0)))
+    label = F.when(F.col("confidence") < _FLOOR, F.lit(_FALLBACK).cast("int")).otherwise(F.col("winner"))
+    return sure.select("vec_id", label.alias("label"), "winner", quantised(F.col("margin")).alias("margin"), quantised(F.col("confidence")).alias("confidence"))
 
 
 _GATE = f"""{_PAIRS}, s as (select query_id, vec_id, {sql_quantised('list_inner_product(qv, v)')} as sim from q join e on vec_id <> query_id),
