@@ -382,15 +382,14 @@ def snippet(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@query("G5", sql="with s as (select source, list_sort(list(n_chars)) as v from documents group by 1) select source, (case when len(v) < 16 then 3000 else greatest(2000, least(6500, v[least(floor(len(v) * 0.9), len(v) - 1)::int + 1])) end)::bigint as cap from s")
+@query("G5", sql="with r as (select source, n_chars, row_number() over (partition by source order by doc_id desc) as r from documents), s as (select source, list_sort(list(n_chars)) as v from r where r <= 300 group by 1) select source, (case when len(v) < 16 then 3000 else greatest(2000, least(6500, v[least(floor(len(v) * 0.9), len(v) - 1)::int + 1])) end)::bigint as cap from s")
 def content_cap_p90(spark, sf_dir):
-    """The exact value at index floor(0.9 n); counted per distinct length, so groups stay small."""
-    counts = docs(spark, sf_dir).groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("source").orderBy("n_chars"))
-    total = F.sum("k").over(Window.partitionBy("source"))
-    rows = counts.withColumn("upto", upto).withColumn("n", total)
-    at = rows.where(F.col("upto") > F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1)).groupBy("source").agg(F.min("n_chars").alias("p"), F.max("n").alias("n"))
-    return at.select("source", F.when(F.col("n") < 16, 3000).otherwise(F.greatest(F.lit(2000), F.least(F.lit(6500), F.col("p")))).cast("long").alias("cap"))
+    """The value at index floor(0.9 n) of the last 300 lengths of every source; all others are dropped before the shuffle."""
+    d = load(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    last = d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))).where("r <= 300")
+    v = last.groupBy("source").agg(F.array_sort(F.collect_list("n_chars")).alias("v"))
+    at = F.get("v", F.least(F.floor(F.size("v") * 0.9), F.size("v") - 1).cast("int"))
+    return v.select("source", F.when(F.size("v") < 16, 3000).otherwise(F.greatest(F.lit(2000), F.least(F.lit(6500), at))).cast("long").alias("cap"))
 
 
 @query("W9", sql="select doc_id, count(*) over w::bigint as n, max(n_chars) over w as longest from documents window w as (partition by source order by doc_id rows between 299 preceding and current row)")

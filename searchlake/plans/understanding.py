@@ -9,7 +9,9 @@ from searchlake.catalog import query
 from searchlake.functions import predicates as P
 from searchlake.functions import querylang as L
 from searchlake.functions import text as T
+from searchlake.functions import url as U
 from searchlake.functions.dialect import quantised, sql_list, sql_quantised
+from searchlake.functions.sqlnames import register
 from searchlake.operators import understand as N
 from searchlake.plans.ranking import index
 from searchlake.session import load, spread
@@ -241,6 +243,22 @@ def expand_query(spark, sf_dir):
     return N.expand(guessed(spark, sf_dir))
 
 
+@query("O5", "U3", "U5", "T18", sql=f"select p.page_id, {U.sql_crawl_key('url')} as key, {U.sql_diversity_domain('url')} as domain, case when strlen(html) > 500 then left(html, 500) else html end as snippet, len({T.sql_words_of('html')})::integer as words from pages p")
+def sql_functions(spark, sf_dir):
+    """The pages by the functions' names in SQL text."""
+    register(spark)
+    text = "select page_id, crawl_key(url) as key, result_domain(url) as domain, snippet_of(html) as snippet, size(word_list(html)) as words from {pages}"
+    return spark.sql(text, pages=load(spark, sf_dir, "pages"))
+
+
+@query("Q18", "O5")
+def sql_expansions(spark, sf_dir):
+    """The expansions of all texts, by the table function in SQL text: the rows of ``expand_query``."""
+    register(spark)
+    text = "select q.text, q.intent, e.pos, e.variant from (select distinct text, intent from {asked}) q, lateral expand_query(q.text, q.intent) e"
+    return spark.sql(text, asked=guessed(spark, sf_dir).select("text", "intent"))
+
+
 _CONSONANTS = "^[^aeiou]{3}$"
 _LETTERS = "letters as (select w, n, unnest(range(1, length(w)::int + 1))::int as i from corpus)"
 _RARITY = f"""corpus as (select term as w, count(*)::double as n from (select unnest({T.sql_words_of('text')}) as term from documents) where regexp_matches(term, '^\\p{{L}}+$') group by 1), {_LETTERS},

@@ -47,6 +47,13 @@ def vector_normalize(spark, sf_dir):
     return n.select("vec_id", quantised(F.aggregate("u", F.lit(0.0), lambda s, x: s + x)).alias("total"), quantised(F.get("u", 0)).alias("first"))
 
 
+@query("R5", sql=f"with e as ({_E}), parts as (select label, i, avg(x) as x from (select label, unnest(v) as x, unnest(range(len(v))) as i from e) group by 1, 2), p as (select label, list(x order by i) as m from parts group by 1) select label, {sql_quantised('list_sum(list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))))')} as total, {sql_quantised('m[1] / sqrt(list_inner_product(m, m))')} as first from p")
+def vector_mean_pool(spark, sf_dir):
+    """The vectors of every label pooled by their mean and brought to length one, as an encoder pools those of a text's tokens."""
+    pooled = V.centroids(rows(spark, sf_dir), "label", "v").select("label", V.normalised(F.col("centroid")).alias("u"))
+    return pooled.select("label", quantised(F.aggregate("u", F.lit(0.0), lambda s, x: s + x)).alias("total"), quantised(F.get("u", 0)).alias("first"))
+
+
 _CENTRE = f"""e as ({_E}), parts as (select label, i, avg(x) as x from (select label, unnest(v) as x, unnest(range(len(v))) as i from e) group by 1, 2),
     c as (select label as centre, list(x order by i) as cv from parts group by 1),
     s as (select vec_id, label, centre, {sql_quantised('list_cosine_similarity(v, cv)')} as s from e cross join c)"""
