@@ -327,6 +327,28 @@ _MARK = re.compile(r"(?i)(?:^|(?<=\s))(?:" + "|".join(sorted(NEGATIONS, key=len,
 _STOP_AT = re.compile(r"(?i)\b(?:but|for|with|in|on|that|which|learn|using|and then)\b|[,.;]")
 _REFER = re.compile(r"(?i)\b(?:" + "|".join(REFERENCES) + r")\s+(\S+)")
 _COMPARE = re.compile(r"(?i)\b(?:" + "|".join(COMPARISONS) + r")\s+(\S+)")
+_ALTERNATIVE = ("alternative to", "alternatives to")
+
+
+def _named_after(phrases) -> str:
+    return r"(?i)(?:^|\s)(?:" + "|".join(phrases) + r")\s+(\S+)"
+
+
+#: What a query refers to, compares with, and asks for alternatives to.
+RELATIONS = {"references": _named_after(REFERENCES), "comparisons": _named_after(COMPARISONS), "replaced": _named_after(_ALTERNATIVE)}
+
+
+def named(text: Column, relation: str) -> Column:
+    """The words that stand after the phrases of a relation, in lower case and without marks around them."""
+    found = F.regexp_extract_all(text, F.lit(RELATIONS[relation]), 1)
+    return F.filter(F.transform(found, lambda w: F.lower(F.regexp_replace(w, "^[.,;]+|[.,;]+$", ""))), lambda w: w != "")
+
+
+def sql_named(text: str, relation: str) -> str:
+    pattern = RELATIONS[relation].replace("'", "''")
+    return f"list_filter(list_transform(regexp_extract_all({text}, '{pattern}', 1), lambda w: lower(regexp_replace(w, '^[.,;]+|[.,;]+$', '', 'g'))), lambda w: w <> '')"
+
+
 _OPERATOR = re.compile(r"(?i)(?<!\S)(-?)(" + "|".join(OPERATORS) + r"):(\S*)")
 _WORD = re.compile(r"[^\W_][\w.+#-]*")
 

@@ -44,6 +44,12 @@ def written_operators(texts: pd.Series) -> pd.Series:
     return texts.map(L.canonical_operators, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def compressed(texts: pd.Series) -> pd.Series:
+    """Texts of over eight words by their most telling ones."""
+    return texts.map(lambda t: L.compressed(t, STOPS, TECHNICAL), na_action="ignore")
+
+
 def understand(queries: DataFrame, text: str = "text") -> DataFrame:
     """One row per distinct query text with its structured constraints and its compressed form."""
     fields = [f.split(" ", 1) for f in SCHEMA.split(", ")]

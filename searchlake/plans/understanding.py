@@ -238,6 +238,27 @@ def spoken_operators(spark, sf_dir):
     return e.select("event_id", "said", N.written_operators(F.col("said")).alias("text"))
 
 
+@query("Q7", sql="select conv_id, turn, " + ", ".join(f"array_to_string({L.sql_named('text', r)}, '|') as {r}" for r in L.RELATIONS) + f" from ({_Q})")
+def query_relations(spark, sf_dir):
+    """What a text refers to, compares with and asks for alternatives to."""
+    return asked(spark, sf_dir).select("conv_id", "turn", *(F.array_join(L.named(F.col("text"), r), "|").alias(r) for r in L.RELATIONS))
+
+
+_TELLING = f"""((case when clean in {sql_list(sorted(N.STOPS))} then 0.0 else 1.0 end + case when clean in {sql_list(sorted(N.TECHNICAL))} then 2.0 else 0.0 end
+    + case when i > 0 and not regexp_matches(w[i], '[.!?]$') and regexp_matches(word, '^\\p{{Lu}}') then 1.5 else 0.0 end + case when length(word) >= 2 and not regexp_matches(word, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') then 1.5 else 0.0 end
+    + case when length(clean) >= 6 then 0.5 else 0.0 end)::double * (1 - 0.3::double * i / len(w)))"""
+
+
+@query("Q16", "L6", sql=f"""with t as (select conv_id, turn, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from ({_Q})),
+    e as (select conv_id, turn, w, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from t where len(w) > 8), c as (select *, regexp_replace(lower(word), '[^\\p{{L}}\\p{{N}}.+#]', '', 'g') as clean from e),
+    s as (select *, {_TELLING} as score from c where clean <> ''), r as (select *, row_number() over (partition by conv_id, turn order by score desc, i) as r from s where score > 0),
+    b as (select conv_id, turn, string_agg(word, ' ' order by i) as text from r where r <= case when len(w) > 20 then 14 else 10 end group by 1, 2)
+    select t.conv_id, t.turn, coalesce(b.text, t.text) as compressed from t left join b on b.conv_id = t.conv_id and b.turn = t.turn""")
+def query_compressed(spark, sf_dir):
+    """Texts of over eight words by their ten most telling words, fourteen of over twenty, in their order."""
+    return asked(spark, sf_dir).select("conv_id", "turn", N.compressed("text").alias("compressed"))
+
+
 @query("Q18", "Q19", "Q20")
 def expand_query(spark, sf_dir):
     return N.expand(guessed(spark, sf_dir))
