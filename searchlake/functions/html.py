@@ -163,15 +163,25 @@ def selected(page: Page, selectors: tuple[str, ...], enough: int) -> str:
     return out
 
 
-def facts(source: str | None, cap: int) -> dict:
-    page = parse(source)
-    title = page.first("title")
-    content = " ".join(selected(page, CONTENT, CONTENT_BYTES).split())
-    dates = [e.attributes.get(key) if (e := page.first(s)) is not None else None for s, key in DATES]
-    return {
-        "title": page.text(title, "") if title is not None else "No Title", "content": content[:cap], "raw_len": len(content), "one_shot": selected(page, ONE_SHOT, ONE_SHOT_BYTES).strip()[:ONE_SHOT_CHARS],
-        "hrefs": [e.attributes["href"] for e in page.elements if e.name == "a" and "href" in e.attributes], "dates": dates,
-    }
+ALL = ("title", "content", "raw_len", "one_shot", "hrefs", "dates")
+
+
+def facts(source: str | None, cap: int, want: tuple[str, ...] = ALL) -> dict:
+    """What is wanted of a page."""
+    page, out = parse(source), {}
+    if "title" in want:
+        title = page.first("title")
+        out["title"] = page.text(title, "") if title is not None else "No Title"
+    if "content" in want or "raw_len" in want:
+        content = " ".join(selected(page, CONTENT, CONTENT_BYTES).split())
+        out |= {"content": content[:cap], "raw_len": len(content)}
+    if "one_shot" in want:
+        out["one_shot"] = selected(page, ONE_SHOT, ONE_SHOT_BYTES).strip()[:ONE_SHOT_CHARS]
+    if "hrefs" in want:
+        out["hrefs"] = [e.attributes["href"] for e in page.elements if e.name == "a" and "href" in e.attributes]
+    if "dates" in want:
+        out["dates"] = [e.attributes.get(key) if (e := page.first(s)) is not None else None for s, key in DATES]
+    return out
 
 
 _FACTS = (("title", pa.string(), "string"), ("content", pa.string(), "string"), ("raw_len", pa.int64(), "long"), ("one_shot", pa.string(), "string"), ("hrefs", pa.list_(pa.string()), "array<string>"), ("dates", pa.list_(pa.string()), "array<string>"))
@@ -184,7 +194,7 @@ def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), want
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [facts(h, cap) for h in batch.column(len(keep)).to_pylist()]
+            found = [facts(h, cap, want) for h in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([f[name] for f in found], kind) for name, kind, _ in made]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *(f[0] for f in made)])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from searchlake.functions import html
@@ -21,11 +21,16 @@ def extract(pages: DataFrame, cap: int = 6500) -> DataFrame:
     return html.extracted(pages, want=("title", "content"), cap=cap)
 
 
+def once(value: Column) -> Column:
+    """A value as a generator's only row: what uses it reads it, and no filter or projection computes it again."""
+    return F.explode(F.array(value))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """http links of every page (page_id, link, pos), resolved against its url, the first place of each; null for a url that is no base."""
     out = html.extracted(pages, want=("hrefs",)).withColumn("base", U.url_parts(F.col("url"))).where("base.scheme is not null")
     out = out.select("page_id", "base", F.posexplode("hrefs").alias("pos", "href")).withColumn("ref", U.url_parts(F.trim(F.regexp_replace("href", r"[\t\n\r]", ""))))
-    out = out.select("page_id", "pos", U.resolved(F.col("base"), F.col("ref")).alias("link"))
+    out = out.select("page_id", "pos", once(U.resolved(F.col("base"), F.col("ref"))).alias("link"))
     out = out.where(F.rlike("link", F.lit("(?i)^https?://")) & ~has_any(F.lower("link"), SKIPPED)).withColumn("k", U.crawl_key(F.col("link")))
     return out.groupBy("page_id", "k").agg(F.min(F.struct("pos", "link")).alias("f")).select("page_id", "f.link", F.col("f.pos").cast("integer").alias("pos"))
 
