@@ -39,13 +39,15 @@ class Scratch:
     """Intermediate Parquet tables in the shared folder; :meth:`drop` removes one that is done with.
 
     A written table cuts the lineage: a lost executor costs the tasks it was running and no more. Results are lazy and
-    read these tables, so what is left of them goes when the process ends, or when :meth:`drop` is called.
+    read these tables, so what is left of them goes when the process ends, or when :meth:`drop` is called. With ``keep`` it
+    stays: files that were asked for.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, keep: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/searchlake-{uuid.uuid4().hex}"
-        atexit.register(self._close)
+        if not keep:
+            atexit.register(self._close)
 
     def _close(self) -> None:
         try:

@@ -252,12 +252,12 @@ _FILES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: str | None = None, most_ids: int = 500_000, scratch: Scratch | None = None, parts: int | None = None) -> DataFrame:
     """Encode all documents and write shard files in ascending id order.
 
-    Returns the file table (part, block, doc_ids, n_tokens, data), written in the shared folder; files
+    Returns the file table (part, block, doc_ids, n_tokens, data), written to a new folder of the shared one, where it stays; files
     hold at most ``most_ids`` ids, or one document.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(spark, keep=True)
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
