@@ -64,16 +64,17 @@ _GOALS = ("Write a fantasy novel", "Learn AI")
 
 @query(
     "M2",
-    sql=f"""with g as (select unnest([{', '.join(quoted(g) for g in _GOALS)}]) as goal),
+    sql=f"""with g as (select distinct regexp_replace(text, '[^\\x00-\\x7F]', 'o', 'g') as goal from conversations where role = 'user' union select unnest([{', '.join(quoted(g) for g in _GOALS)}])),
     w as (select goal, list_filter(regexp_split_to_array(lower(goal), '[^\\p{{L}}\\p{{N}}]+'), lambda w: (length(w) >= 3 or w in {sql_list(C.SHORT)}) and w not in {sql_list(C.TOPIC_STOPS)}) as w from g),
     t as (select goal, case when len(w) > 0 then array_to_string(w, ' ') else goal end as topic, unnest([1, 2, 3, 4]) as phase from w)
-    select goal, phase, case phase when 1 then 'Phase 1: Plan & Begin ' when 4 then 'Phase 4: Finish & Review ' else 'Phase ' || phase || ': Build ' end || chr(39) || goal || chr(39) as title,
+    select goal, phase, case phase when 1 then 'Phase 1: Plan & Begin ' when 4 then 'Phase 4: Finish & Review ' else 'Phase ' || phase || ': Build ' end || chr(39) || {T.sql_truncated('goal', 85)} || chr(39) as title,
     case phase when 1 then 'foundation' when 4 then 'completion' else 'progress' end as kind,
     'Define the scope and success criteria for ' || chr(39) || topic || chr(39) || '. Set up the foundation before building ' || chr(39) || topic || chr(39) || '.' as objectives from t""",
 )
 def phase_content(spark, sf_dir):
-    goals = spark.createDataFrame([(g,) for g in _GOALS], "goal string")
-    return C.phase_titles(goals)
+    """The phases of every text that a user has written (in ASCII, where both engines cut alike), and of two goals in plain words."""
+    said = load(spark, sf_dir, "conversations").where("role = 'user'").select(F.regexp_replace("text", r"[^\x00-\x7F]", "o").alias("goal"))
+    return C.phase_titles(said.unionByName(spark.createDataFrame([(g,) for g in _GOALS], "goal string")).distinct())
 
 
 @query("G20", sql="select count(distinct source)::bigint as sources, count(distinct lang)::bigint as languages, count(distinct text)::bigint as texts from documents")
