@@ -34,6 +34,7 @@ class Index:
     fields: tuple[str, ...]
     count: int
     means: dict[str, float]  # mean length of a field in words
+    folder: str = ""
 
 
 _KEPT: dict[tuple, Index] = {}
@@ -49,11 +50,16 @@ def stamp(df: DataFrame) -> tuple:
 def index_of(spark: SparkSession, source: DataFrame, docs: DataFrame, fields: tuple[str, ...], name: str) -> Index:
     """The index of ``docs``, which are made of the files of ``source`` in the way that ``name`` stands for; kept for the session."""
     key = (spark.sparkContext.applicationId, name, *stamp(source))
-    if key not in _KEPT:
+    if key not in _KEPT or not all(exists(spark, f"{_KEPT[key].folder}/{part}/_SUCCESS") for part in ("docs", "postings", "terms")):
         _KEPT[key] = build(docs, fields)
     return _KEPT[key]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def build(docs: DataFrame, fields: tuple[str, ...]) -> Index:
     """Writes postings, frequencies and texts. A null text counts as an empty one; the rows of one id as one document each."""
     spark, folder = docs.sparkSession, fresh_folder(docs.sparkSession, "index")
@@ -72,7 +78,7 @@ def build(docs: DataFrame, fields: tuple[str, ...]) -> Index:
     terms = kept(postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), "terms")
     count = docs.count()
     lengths = {r["field"]: r["n"] for r in postings.groupBy("field").agg(F.sum("tf").alias("n")).collect()}  # one number a field
-    return Index(docs, postings, terms, fields, count, {f: (lengths.get(f, 0) / count if count else 0.0) or 1.0 for f in fields})
+    return Index(docs, postings, terms, fields, count, {f: (lengths.get(f, 0) / count if count else 0.0) or 1.0 for f in fields}, folder)
 
 
 def parse_queries(queries: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import shutil
 from collections import Counter
 
 import pytest
@@ -120,6 +121,8 @@ def test_the_index_follows_its_files(spark, tmp_path):
     again = S.index_of(spark, source, source, ("content",), "documents")
     assert again is made[1]
     assert Counter(r.term for r in again.terms.collect()) == {"tin": 1}
+    shutil.rmtree(f"{again.folder}/terms")  # a folder that was cleared is written again
+    assert S.index_of(spark, source, source.select("doc_id", source.text.alias("content")), ("content",), "documents").terms.count() == 1
 
 
 def test_an_empty_table(spark):
