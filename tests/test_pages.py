@@ -1,8 +1,10 @@
 """Element trees, references against a base, publication dates and the frontier of the crawl loop."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from searchlake.catalog import all_oracles, all_queries
 from searchlake.functions import html as H
 from searchlake.functions import text as T
 from searchlake.functions import url as U
@@ -128,3 +130,15 @@ def test_a_full_frontier_takes_no_more(spark, tmp_path):
         S.crawl_loop(spark, f"{folder}/landing", f"{folder}/index", f"{folder}/frontier", f"{folder}/ckpt", most=5).trigger(availableNow=True).start().awaitTermination(120)
     # four of five wait when the second batch comes; two wait when the third comes
     assert frontier_of(spark, folder) == [(f"https://a.org/{k}", b) for k, b in ((2, 0), (3, 0), (4, 0), (5, 0), (20, 2), (30, 2), (40, 3))]
+
+
+def test_references_that_are_cut_stay_as_written(spark, tmp_path):
+    """As the statements have it, only what ends with a semicolon is a reference."""
+    assert H.facts("<article>a &amp</article> b &copy; &#233; &#xe9; &nosuch; &notit; &copy=1", 100)["content"] == "a &amp b © é é &nosuch; &notit; &copy=1"
+    assert H.facts("<a href='/x?a=1&copy=2&amp;b=3'>y</a>", 100, ("hrefs",))["hrefs"] == ["/x?a=1&copy=2&b=3"]
+    page = f"<title>t</title><article><h1>R&amp</h1>{'word ' * 120}</article>"
+    spark.createDataFrame([(1, "https://a.org/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_main_text", "one_shot_crawl"):
+        assert [tuple(r) for r in all_queries()[name](spark, str(tmp_path)).collect()] == con.execute(all_oracles()[name]).fetchall()
