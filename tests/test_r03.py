@@ -21,3 +21,10 @@ def test_probe_binds_vectors_before_its_lambdas(spark):
     plan = all_queries()["probe_softmax"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     logits = next(line for line in plan.splitlines() if "exp(" in line.lower())
     assert len(re.findall(r"\bcs#\d+", logits)) <= 2  # the classes of the labels, and of the logits
+
+
+def test_no_sketch_for_every_part(spark):
+    """Beside a distinct count in the same aggregate, every part would get a sketch of the parts."""
+    df = all_queries()["ext_approximate_counts"](spark, SMALL)
+    aggregates = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "approx_count_distinct" in line]
+    assert aggregates and all("keys=[]" in line for line in aggregates)
