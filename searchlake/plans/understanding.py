@@ -296,7 +296,7 @@ _SHORTENED = f"""case when strlen(word) not between 2 and 8 or not regexp_matche
 
 def rarities(spark, sf_dir):
     """Two tables (part, rarity): letters and pairs of letters by how seldom the documents' words have them, against the most common one."""
-    counts = index(spark, sf_dir).postings.where(F.rlike("term", F.lit(r"^\p{L}+$"))).groupBy("term").agg(F.sum("tf").cast("double").alias("n"))
+    counts = index(spark, sf_dir).terms.where(F.rlike("term", F.lit(r"^\p{L}+$"))).groupBy("term").agg(F.sum("cf").cast("double").alias("n"))
     letters = counts.select("term", "n", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("i"))
     out = []
     for size in (1, 2):

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from searchlake.catalog import all_queries
+from searchlake.operators import search as S
 from searchlake.operators import vectors as V
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,3 +29,39 @@ def test_no_sketch_for_every_part(spark):
     df = all_queries()["ext_approximate_counts"](spark, SMALL)
     aggregates = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "approx_count_distinct" in line]
     assert aggregates and all("keys=[]" in line for line in aggregates)
+
+
+def _shuffled(df):
+    """The exchanges by keys of a plan."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    rows = [(1, "b a b"), (2, ""), (3, None), (4, "é b É é"), (5, "a a"), (5, "a b"), (5, "c")]
+    index = S.build(spark.createDataFrame(rows, "doc_id long, content string"), ("content",))
+    assert sorted((r.term, r.doc_id, r.dl, r.tf) for r in index.postings.collect()) == [("a", 1, 3, 1), ("a", 5, 2, 3), ("b", 1, 3, 2), ("b", 4, 4, 1), ("b", 5, 2, 1), ("c", 5, 1, 1), ("é", 4, 4, 3)]
+    assert sorted((r.term, r.df, r.cf) for r in index.terms.collect()) == [("a", 2, 4), ("b", 3, 4), ("c", 1, 1), ("é", 1, 3)] and index.count == 7
+    assert not _shuffled(S._listed(spark.createDataFrame([(1, "content", ["a"])], "doc_id long, field string, w array<string>")))
+    assert not _shuffled(index.postings)
+
+
+def test_pairs_of_queries_and_documents_stay_in_their_blocks(spark):
+    """The pairs that share a word are made inside a block; a shuffle by (query_id, doc_id) would move all of them."""
+    docs = spark.createDataFrame([(i, f"common word{i % 3} tail a b") for i in range(60)], "doc_id long, content string")
+    index = S.build(docs, ("content",))
+    asked = spark.createDataFrame([(1, "common word1"), (2, 'word2 AND "a b"'), (3, '"b a"')], "query_id long, text string")
+    found = S.scores(asked, index)
+    assert not [line for line in _shuffled(found) if "query_id" in line and "doc_id" in line]
+    assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(1, i) for i in range(60)] + [(2, i) for i in range(2, 60, 3)]
+    topics = spark.createDataFrame([(1, "common"), (1, "word1"), (1, "none"), (2, "word2")], "query_id long, term string")
+    assert sorted((r.query_id, r.doc_id, r.score) for r in S.shared(topics, index, 2).collect()) == [(1, i, 2.0) for i in range(1, 60, 3)]
+
+
+def test_small_blocks_find_the_same(spark):
+    held = spark.createDataFrame([(d, f"k{k}", float(d % 7 + k)) for d in range(40) for k in range(3) if (d + k) % 2], "doc_id long, key string, part double")
+    asked = spark.createDataFrame([(q, True, [(0, f"k{q % 3}", 1.0 + q), (1, "k1", 0.5)], []) for q in range(5)], "query_id long, plain boolean, units array<struct<leaf:int,key:string,weight:double>>, steps array<struct<kind:string,a:int,b:int,c:int>>")
+    whole, cut = (sorted(map(tuple, S.met(asked, held, 40, docs=d, queries=q).collect())) for d, q in ((4096, 512), (3, 2)))
+    assert whole == cut and len(whole) > 100
+    best = {q: sorted((r for r in whole if r[0] == q), key=lambda r: (-r[2], r[1]))[:4] for q in range(5)}
+    found = sorted(map(tuple, S.met(asked, held, 40, top=4).collect()))
+    assert found == sorted(r for rows in best.values() for r in rows)
