@@ -2,11 +2,13 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from searchlake.catalog import all_queries
 from searchlake.operators import search as S
 from searchlake.operators import vectors as V
+from searchlake.session import load
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -65,3 +67,20 @@ def test_small_blocks_find_the_same(spark):
     best = {q: sorted((r for r in whole if r[0] == q), key=lambda r: (-r[2], r[1]))[:4] for q in range(5)}
     found = sorted(map(tuple, S.met(asked, held, 40, top=4).collect()))
     assert found == sorted(r for rows in best.values() for r in rows)
+
+
+def test_python_gets_small_batches(spark):
+    """Of a partition with more rows, no batch that a worker holds has over 1,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        for name in ("clean_content", "crawl_to_index", "platt_fit", "spell_ladder"):
+            all_queries()[name](spark, SMALL)
+            assert int(spark.conf.get(key)) <= 1000
+            spark.conf.set(key, "10000")
+        load(spark, SMALL, "pages")
+        sizes = spark.range(0, 3500, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) <= 1000
+    finally:
+        spark.conf.set(key, before)
